@@ -52,3 +52,28 @@ def exclusive_prefix_sum(
 def ordinal(df: DataFrame, group: list[str], order: list[str], out: str, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """0-based position of each row inside its group (skew-safe ``row_number() - 1``)."""
     return exclusive_prefix_sum(df, group, order, F.lit(1), out, bucket_size)
+
+
+def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
+    """Exact 0-based position in a total order, without a single-partition window.
+
+    ``orderBy`` range-partitions and sorts in parallel; each row's position is
+    the number of rows in earlier partitions (a prefix sum over a table with
+    one row per partition) plus its index inside its partition.  ``order``
+    must be a total order (add a unique tie-breaker) so the result is
+    deterministic across re-computation.
+    """
+    tagged = (
+        df.orderBy(*order)
+        .withColumn("__pid", F.spark_partition_id().cast("bigint"))
+        .withColumn("__mid", F.monotonically_increasing_id())
+    )
+    tagged = tagged.withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid"), 33))
+    counts = tagged.groupBy("__pid").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    return (
+        tagged.join(F.broadcast(offsets), "__pid")
+        .withColumn(out, F.col("__off") + F.col("__local"))
+        .drop("__pid", "__mid", "__local", "__off")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convlens.plans import q_bow, q_sentiment, q_transcripts  # noqa: F401  (registers queries)
+from convlens.plans import q_bow, q_profile, q_sentiment, q_transcripts, q_vectors  # noqa: F401  (registers queries)
 from convlens.plans.registry import ORACLES, QUERIES
 from convlens.plans.registry import table as _table
 

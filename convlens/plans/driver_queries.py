@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from convlens.plans import q_bow, q_profile, q_sentiment, q_transcripts, q_vectors  # noqa: F401  (registers queries)
+from convlens.plans import (  # noqa: F401  (importing registers the queries)
+    q_align,
+    q_bow,
+    q_features,
+    q_profile,
+    q_sentiment,
+    q_transcripts,
+    q_vectors,
+)
 from convlens.plans.registry import ORACLES, QUERIES
-from convlens.plans.registry import table as _table
 
 
 def flagship(spark, sf_dir):
-    from convlens.operators import transcripts as TR
-
-    return TR.transcript_features(TR.parts_from_conversations(_table(spark, sf_dir, "conversations")))
+    """Per-conversation feature table (G1): the reference's feature extraction entry point."""
+    return q_features.feature_table(spark, sf_dir)
 
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]

@@ -128,6 +128,12 @@ def c10(spark, sf):
     return B.fingerprint(_cv(spark, sf)[0], 5).withColumnRenamed("id", "doc_id")
 
 
+def wl_cte(source: str, ids: str, name: str = "wlf") -> str:
+    """CTE ``name`` with the word-length features (id column ``id``)."""
+    body = _wl_sql(source, ids).replace("i.id AS doc_id", "i.id AS id")
+    return body.replace("\nSELECT i.id", f",\n{name} AS (SELECT i.id", 1) + ")"
+
+
 def _wl_sql(source: str, ids: str) -> str:
     shares = ",\n".join(
         f"CASE WHEN coalesce(wl.total, 0) = 0 THEN NULL ELSE coalesce(wl.l{k}, 0)::DOUBLE / wl.total END AS word_length_{k}"
@@ -150,9 +156,7 @@ def c11(spark, sf):
     return B.word_length_features(counts, docs, "doc_id").withColumnRenamed("id", "doc_id")
 
 
-CONV_CV_CTE = (
-    TURNS_CTE
-    + r""",
+CONV_CV_BODY = r"""
 ctok AS (SELECT id, unnest(regexp_extract_all(lower(interviewee_text), '[\p{L}\p{N}_]{2,}')) AS term FROM st),
 ckept AS (SELECT id, term FROM ctok WHERE term NOT IN (%s)),
 ccnt AS (SELECT id, term, count(*)::BIGINT AS n FROM ckept GROUP BY id, term),
@@ -162,11 +166,14 @@ cvoc AS (
 ),
 ccv AS (SELECT id, term, n FROM ccnt WHERE term IN (SELECT term FROM cvoc))
 """
-)
+
+
+def conv_cv_body() -> str:
+    return CONV_CV_BODY % _stop_list_sql()
 
 
 def conv_cv_cte() -> str:
-    return CONV_CV_CTE % _stop_list_sql()
+    return TURNS_CTE + "," + conv_cv_body()
 
 
 def interviewee_counts(spark, sf):

@@ -136,7 +136,7 @@ def b12(spark, sf):
     return TR.filler_percent(conv_labelled(spark, sf), "interviewee", DRIVER_FILLERS)
 
 
-SENTENCES_CTE = TURNS_CTE + r""",
+SENTENCES_BODY = r"""
 fullt AS (
   SELECT id, string_agg(regexp_replace(regexp_replace(part, 'Interviewer:\s*', '', 'g'), 'Interviewee:\s*', '', 'g'), ' ' ORDER BY turn, sub) AS c
   FROM p GROUP BY id
@@ -145,6 +145,7 @@ sp AS (SELECT id, string_split(regexp_replace(c, '([.!?])\s+', '\1' || chr(1), '
 ex AS (SELECT id, unnest(range(len(arr))) AS sentence_no, unnest(arr) AS s FROM sp),
 csent AS (SELECT id, sentence_no, """ + strip("s") + " AS sentence FROM ex WHERE " + strip("s") + """ <> '')
 """
+SENTENCES_CTE = TURNS_CTE + "," + SENTENCES_BODY
 SENTENCES_SQL = "WITH " + SENTENCES_CTE + "SELECT id, sentence_no, sentence FROM csent"
 
 

@@ -63,9 +63,7 @@ def rcount(expr: str, pattern: str) -> str:
 
 # individual table of the driver binding: per conversation lengths, ratio,
 # cosine of the speakers' term counts and cluster = conv_id mod 5
-INDIVIDUAL_CTE = (
-    TURNS_CTE
-    + r""",
+INDIVIDUAL_BODY = r"""
 lens AS (
   SELECT id, length(interviewer_text) AS interviewer_length, length(interviewee_text) AS interviewee_length
   FROM st
@@ -94,4 +92,4 @@ ind AS (
   FROM lens l LEFT JOIN dotp d ON l.id = d.id LEFT JOIN nrm n ON l.id = n.id
 )
 """
-)
+INDIVIDUAL_CTE = TURNS_CTE + "," + INDIVIDUAL_BODY

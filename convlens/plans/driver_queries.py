@@ -5,9 +5,13 @@ from __future__ import annotations
 from convlens.plans import (  # noqa: F401  (importing registers the queries)
     q_align,
     q_bow,
+    q_charseq,
+    q_eval,
     q_features,
+    q_models,
     q_profile,
     q_sentiment,
+    q_sources,
     q_transcripts,
     q_vectors,
 )

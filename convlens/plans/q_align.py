@@ -9,10 +9,11 @@ from convlens.operators import prep as H
 from convlens.plans.registry import query, table
 
 def li_key():
-    return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    """Unique row key of lineitem ((order, line) alone repeats in the driver data)."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
 
-LI_KEY_SQL = "l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR"
+LI_KEY_SQL = "l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR"
 
 
 # ---------------------------------------------------------------- G
@@ -124,9 +125,9 @@ SELECT l_orderkey, l_linenumber, {cols} FROM s, fit WHERE is_test"""
 
 @query("h2_minmax_fit_apply", _h2_sql())
 def h2(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *H2_COLS)
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *H2_COLS)
     train, test = H.train_test_split(li, li_key(), test_size=0.5, seed=42)
-    return H.minmax_scale(test, H2_COLS, fit_on=train)
+    return H.minmax_scale(test, H2_COLS, fit_on=train).drop("l_partkey", "l_suppkey")
 
 
 @query("h3_zscore", """
@@ -142,9 +143,9 @@ def h3(spark, sf):
 @query("h4_split", f"""
 SELECT l_orderkey, l_linenumber, substr(md5('42:' || {LI_KEY_SQL}), 1, 8) < '{"%08x" % int(0.3 * 2**32)}' AS is_test FROM lineitem""")
 def h4(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    train, test = H.train_test_split(li, li_key(), test_size=0.3, seed=42)
-    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", li_key().alias("k"))
+    train, test = H.train_test_split(li, "k", test_size=0.3, seed=42)
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True))).drop("k")
 
 
 @query("h4_split_exact", f"""
@@ -152,9 +153,9 @@ WITH r AS (SELECT l_orderkey, l_linenumber,
                   row_number() OVER (ORDER BY substr(md5('1:' || {LI_KEY_SQL}), 1, 8), {LI_KEY_SQL}) - 1 AS pos FROM lineitem)
 SELECT l_orderkey, l_linenumber, pos < round(0.2 * (SELECT count(*) FROM lineitem)) AS is_test FROM r""")
 def h4_exact(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    train, test = H.train_test_split(li, li_key(), test_size=0.2, seed=1, exact=True)
-    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", li_key().alias("k"))
+    train, test = H.train_test_split(li, "k", test_size=0.2, seed=1, exact=True)
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True))).drop("k")
 
 
 H5_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

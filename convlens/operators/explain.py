@@ -130,7 +130,7 @@ def fit_additive(
     d = len(features)
     lr = learning_rate if learning_rate is not None else 1.0 / d
     edges = bin_edges(df, features, max_bins)
-    data = binned(df, features, edges, label).where(F.col("y").isNotNull())
+    data = binned(df, features, edges, label).where(F.col("y").isNotNull()).cache()
     intercept = float(data.agg(F.avg("y")).first()[0])
     scores = [[0.0] * (max_bins + 1) for _ in features]
     counts = [[0] * (max_bins + 1) for _ in features]
@@ -167,7 +167,7 @@ def fit_additive(
 
 def _fit_pairs(cur: DataFrame, features, edges, top: int, coarse: int):
     """I8: rank feature pairs by the residual variance their coarse cell means
-    explain, keep ``top`` pairs, one shrunken pass each."""
+    explain and keep ``top`` pairs, each fitted as its cell means (one pass)."""
     d = len(features)
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
     cells = []

@@ -72,11 +72,13 @@ def grid_search(
         for name, values in (grid or DEFAULT_GBT_GRID).items():
             b = b.addGrid(est.getParam(name), values)
         param_maps = b.build()
-    data = _prep(df, features, label, key, folds, seed)
+    # the prepared rows are read once per fold and map: keep them cached for the search
+    data = _prep(df, features, label, key, folds, seed).select("features", "label", "fold").cache()
     cv = CrossValidator(
         estimator=est, estimatorParamMaps=param_maps, evaluator=_mae(), numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed
     )
     model = cv.fit(data)
+    data.unpersist()
     rows = [
         (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(metric))
         for m, metric in zip(param_maps, model.avgMetrics)
@@ -165,9 +167,11 @@ def cv_score(df: DataFrame, features: list[str], label: str, estimator, folds: i
     """Mean MAE over k hash folds for one fixed model."""
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = _prep(df, features, label, key, folds, seed)
+    data = _prep(df, features, label, key, folds, seed).select("features", "label", "fold").cache()
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=_mae(), numFolds=folds, foldCol="fold")
-    return float(cv.fit(data).avgMetrics[0])
+    score = float(cv.fit(data).avgMetrics[0])
+    data.unpersist()
+    return score
 
 
 def predict_evaluate(model, df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -67,3 +67,27 @@ def t_two_sided_p(t: float | None, dof: float | None) -> float | None:
 @F.pandas_udf(TY.DoubleType())
 def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(t, dof)], dtype="float64")
+
+
+def _pairwise(a, b):
+    a, b = (F.col(a) if isinstance(a, str) else a), (F.col(b) if isinstance(b, str) else b)
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+
+
+def safe_corr(a, b):
+    """Pearson r over rows where both are present; null (not an ANSI error) when
+    either side is constant or fewer than two rows remain."""
+    x, y = _pairwise(a, b)
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
+def safe_slope(y, x):
+    """Least-squares slope of y on x; null when x is constant."""
+    xx, yy = _pairwise(x, y)
+    return F.try_divide(F.covar_pop(xx, yy), F.nullif(F.var_pop(xx), F.lit(0.0)))
+
+
+def safe_intercept(y, x):
+    xx, yy = _pairwise(x, y)
+    return F.avg(yy) - safe_slope(y, x) * F.avg(xx)

@@ -153,7 +153,8 @@ def split_sentences_runs(c) -> Column:
 
 
 def ends_with_terminator(c) -> Column:
-    return as_col(c).rlike(r"[.!?]$")
+    # \z, not $: Java's $ also matches before a final line break
+    return as_col(c).rlike(r"[.!?]\z")
 
 
 def pack_chunks(sentences, token_counts, max_tokens: int = 126) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.functions.stats import t_pvalue
+from convlens.functions.stats import safe_corr, t_pvalue
 from convlens.operators.align import rename_first_numeric
 
 EPSILON = 1e-10
@@ -14,7 +14,7 @@ EPSILON = 1e-10
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None, with_p: bool = True) -> DataFrame:
     """``(n, r, t, p)``; ``t = r * sqrt((n - 2) / (1 - r^2))``, p two-sided, null for n < 3."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    agg = pairs.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"))
+    agg = pairs.groupBy(*(by or [])).agg(F.count("*").alias("n"), safe_corr(a, b).alias("r"))
     t = F.when(F.col("n") >= 3, F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r"))))
     out = agg.withColumn("t", t)
     if with_p:
@@ -103,11 +103,11 @@ def evaluate_predictions(
         F.count("*").alias("n"),
         F.avg("score_diff").alias("mae"),
         F.sqrt(F.avg(dn * dn)).alias("rmse"),
-        F.corr("predicted_score_norm", "actual_score_norm").alias("pearson_correlation"),
+        safe_corr("predicted_score_norm", "actual_score_norm").alias("pearson_correlation"),
         F.avg("rel_error").alias("mean_are"),
         F.avg(F.abs(do)).alias("orig_mae"),
         F.sqrt(F.avg(do * do)).alias("orig_rmse"),
-        F.corr(pred_col, "actual_score").alias("orig_corr"),
+        safe_corr(pred_col, "actual_score").alias("orig_corr"),
         F.min(pred_col).alias("min_pred"),
         F.max(pred_col).alias("max_pred"),
         F.min("actual_score").alias("min_actual"),

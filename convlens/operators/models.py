@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions.common import md5_hex8
+from convlens.functions.stats import safe_corr
 from convlens.operators.prep import apply_minmax, fit_minmax, train_test_split
 
 DEFAULT_GBT_GRID = {"maxIter": [20, 60, 120], "maxDepth": [5, 10, 20]}
@@ -179,7 +180,7 @@ def predict_evaluate(model, df: DataFrame, features: list[str], label: str) -> D
     pred = model.transform(_prep(df, features, label))
     return pred.agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("prediction", "label").alias("r"),
+        safe_corr("prediction", "label").alias("r"),
         F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"),
     )
 

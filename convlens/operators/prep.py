@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions.common import as_col, md5_hex8
+from convlens.functions.stats import safe_corr
 from convlens.operators.align import cleanse_id_column, drop_columns, join_scores
 from convlens.operators.sequence import global_rank
 
@@ -104,7 +105,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     constant column -> null."""
     pairs = [(a, b) for a in cols for b in cols]
     uniq = list(combinations(cols, 2))
-    agg = df.agg(*[F.corr(a, b).alias(f"{a}\u0001{b}") for a, b in uniq])
+    agg = df.agg(*[safe_corr(a, b).alias(f"{a}\u0001{b}") for a, b in uniq])
     entries = []
     for a, b in pairs:
         if a == b:
@@ -141,7 +142,7 @@ def f_regression(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
     One aggregation computes every correlation and the row count.
     """
-    agg = df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f, label).alias(f) for f in features])
+    agg = df.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(f, label).alias(f) for f in features])
     rows = agg.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in features])).alias("e"))
     scored = rows.select(
         "e.feature",

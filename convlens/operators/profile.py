@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlens.functions.stats import safe_intercept, safe_slope
 from convlens.operators.sequence import global_rank
 
 PROFILE_METRICS = ["similarity", "interviewer_length", "interviewee_length", "ratio"]
@@ -64,7 +65,7 @@ def winsorize(df: DataFrame, col: str, q: float = 0.95, out: str | None = None)
 
 def linear_trend(df: DataFrame, y: str, x: str) -> DataFrame:
     """least-squares line ``y = slope * x + intercept``."""
-    return df.agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
+    return df.agg(safe_slope(y, x).alias("slope"), safe_intercept(y, x).alias("intercept"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -209,8 +209,8 @@ def _multiword_splits(fillers):
         if pattern is not None or len(ws) < 2:
             continue
         for j in range(1, len(ws)):
-            tail = r"(^|\W)" + T._regex_quote(" ".join(ws[:j])) + "$"
-            head = "^" + T._regex_quote(" ".join(ws[j:])) + r"(\W|$)"
+            tail = r"(^|\W)" + T._regex_quote(" ".join(ws[:j])) + r"\z"
+            head = "^" + T._regex_quote(" ".join(ws[j:])) + r"(\W|\z)"
             out.append((name, tail, head))
     return out
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convlens.functions.stats import safe_corr
 from convlens.operators import bow as B
 from convlens.operators import explain as X
 from convlens.operators import models as M
@@ -136,7 +137,7 @@ def i8(spark, sf):
     train, test = _split(spark, sf)
     m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=32, passes=10, checkpoint_every=0, interactions=10, interaction_bins=8)
     pred = m.predict(test, keep=["doc_id", "quality"])
-    return pred.agg(F.count(F.lit(1)).alias("n"), F.corr("prediction", "quality").alias("r"), F.avg(F.abs(F.col("prediction") - F.col("quality"))).alias("mae"))
+    return pred.agg(F.count(F.lit(1)).alias("n"), safe_corr("prediction", "quality").alias("r"), F.avg(F.abs(F.col("prediction") - F.col("quality"))).alias("mae"))
 
 
 @query("i9_importance", "WITH " + _one_pass_sql()[6:] + """

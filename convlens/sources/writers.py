@@ -2,11 +2,12 @@
 
 Result tables are written by Spark tasks in parallel (one file per partition,
 header included).  Reports are small ``(section, metric, value)`` tables that
-are formatted with ``format_string`` and written as text.
+are formatted (Python fixed-point rules, like the reference) and written as text.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -45,17 +46,32 @@ REPORT_FORMATS = {
 }
 
 
+@F.pandas_udf(TY.StringType())
+def _fixed(value: pd.Series, decimals: pd.Series) -> pd.Series:
+    # Python's fixed-point formatting (round half to even on the exact binary
+    # value), which the reports use; Java's %.nf rounds ties up.
+    return pd.Series([None if pd.isna(v) else format(float(v), f".{int(d)}f") for v, d in zip(value, decimals)], dtype="object")
+
+
 def report_lines(summary: DataFrame) -> DataFrame:
-    """``(section, metric, line)`` text lines from ``(section, metric, value)`` rows."""
-    line = None
-    for metric, (label, dec, unit) in REPORT_FORMATS.items():
-        fmt = f"  {label}: %.{dec}f{unit}" if dec else f"  {label}: %.0f{unit}"
+    """``(section, metric, line)`` text lines from ``(section, metric, value)`` rows.
+
+    The summary has a handful of rows; numbers are formatted in one Arrow batch.
+    """
+    label = F.lit(None).cast("string")
+    dec = F.lit(4)
+    unit = F.lit("")
+    for metric, (lab, d, u) in REPORT_FORMATS.items():
         cond = F.col("metric") == F.lit(metric)
-        expr = F.format_string(fmt, F.col("value"))
-        line = F.when(cond, expr) if line is None else line.when(cond, expr)
-    cluster_line = F.format_string("  Cluster %s: %.0f transcripts", F.regexp_extract("metric", r"cluster_(.*)", 1), F.col("value"))
-    line = line.when(F.col("section") == F.lit("cluster"), cluster_line).otherwise(F.format_string("  %s: %.4f", F.col("metric"), F.col("value")))
-    return summary.select("section", "metric", line.alias("line"))
+        label = F.when(cond, F.lit(lab)).otherwise(label)
+        dec = F.when(cond, F.lit(d)).otherwise(dec)
+        unit = F.when(cond, F.lit(u)).otherwise(unit)
+    is_cluster = F.col("section") == F.lit("cluster")
+    dec = F.when(is_cluster, F.lit(0)).otherwise(dec)
+    num = _fixed(F.col("value"), dec)
+    cluster_line = F.concat(F.lit("  Cluster "), F.regexp_extract("metric", r"cluster_(.*)", 1), F.lit(": "), num, F.lit(" transcripts"))
+    other = F.concat(F.lit("  "), F.coalesce(label, F.col("metric")), F.lit(": "), num, unit)
+    return summary.select("section", "metric", F.when(is_cluster, cluster_line).otherwise(other).alias("line"))
 
 
 def write_report(lines: DataFrame, path: str, header: str | None = None) -> None:

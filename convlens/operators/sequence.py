@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlens.session import cut_lineage
+
 DEFAULT_BUCKET = 4096
 
 
@@ -69,6 +71,10 @@ def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
         .withColumn("__mid", F.monotonically_increasing_id())
     )
     tagged = tagged.withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid"), 33))
+    # materialise the sorted, tagged rows once (reliable checkpoint in the shared
+    # folder): the counts and the final join must see the same partitioning,
+    # also after an executor loss, and the sort is not repeated
+    tagged = cut_lineage(tagged)
     counts = tagged.groupBy("__pid").agg(F.count("*").alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")

@@ -163,10 +163,13 @@ def _speaker_sum(name: str, value) -> F.Column:
     return F.sum(F.when(F.col("speaker") == F.lit(name), value).otherwise(F.lit(0)))
 
 
-def text_stats(labelled: DataFrame, speakers=SPEAKERS) -> DataFrame:
-    """Per transcript and speaker the joined length and the word count.
+def text_stats(labelled: DataFrame, speakers=SPEAKERS, fillers=None, filler_speaker: str = "interviewee") -> DataFrame:
+    """B7, B9 (+ in-part filler hits): one aggregation per transcript.
 
     length(join(parts, ' ')) = sum(length(part)) + (n_parts - 1) for n_parts > 0.
+    With ``fillers``, ``part_filler_hits`` sums the dictionary's hits inside
+    each part of ``filler_speaker`` (phrases across parts are added by
+    ``cross_part_filler_hits``).
     """
     aggs = []
     for name, _ in speakers:
@@ -176,6 +179,8 @@ def text_stats(labelled: DataFrame, speakers=SPEAKERS) -> DataFrame:
             F.when(n > 0, chars + n - 1).otherwise(F.lit(0)).cast("bigint").alias(f"{name}_length"),
             _speaker_sum(name, T.word_count("text")).cast("bigint").alias(f"{name}_words"),
         ]
+    if fillers is not False and fillers is not None:
+        aggs.append(_speaker_sum(filler_speaker, T.filler_hits("text", fillers)).cast("bigint").alias("part_filler_hits"))
     return labelled.groupBy("id").agg(*aggs)
 
 
@@ -260,17 +265,30 @@ def _cross_part_hits(mine: DataFrame, splits) -> DataFrame:
     return pairs.groupBy("id", F.element_at(names, F.col("k") + 1).alias("filler")).agg(F.count("*").cast("bigint").alias("x"))
 
 
-def filler_percent(labelled: DataFrame, speaker: str = "interviewee", fillers=None) -> DataFrame:
+def cross_part_filler_hits(labelled: DataFrame, speaker: str = "interviewee", fillers=None) -> DataFrame | None:
+    """``(id, cross_hits)``: multi-word phrases straddling two consecutive parts; None
+    when the dictionary has no multi-word literal."""
+    splits = _multiword_splits(fillers)
+    if not splits:
+        return None
+    mine = labelled.where(F.col("speaker") == F.lit(speaker))
+    return _cross_part_hits(mine, splits).groupBy("id").agg(F.sum("x").alias("cross_hits"))
+
+
+def filler_percent(labelled: DataFrame, speaker: str = "interviewee", fillers=None, stats: DataFrame | None = None) -> DataFrame:
     """Total filler hits / whitespace words of the speaker, 0 when no words."""
-    hits = filler_counts(labelled, speaker, fillers).groupBy("id").agg(F.sum("n").alias("filler_hits"))
-    words = labelled.groupBy("id").agg(
-        F.sum(F.when(F.col("speaker") == F.lit(speaker), T.word_count("text")).otherwise(F.lit(0))).alias("words")
-    )
-    return words.join(hits, "id", "left").select(
+    st = stats if stats is not None else text_stats(labelled, fillers=fillers or T.DEFAULT_FILLERS, filler_speaker=speaker)
+    cross = cross_part_filler_hits(labelled, speaker, fillers)
+    hits = F.col("part_filler_hits")
+    if cross is not None:
+        st = st.join(cross, "id", "left")
+        hits = hits + F.coalesce(F.col("cross_hits"), F.lit(0))
+    words = F.col(f"{speaker}_words")
+    return st.select(
         "id",
-        F.coalesce(F.col("filler_hits"), F.lit(0)).cast("bigint").alias("filler_hits"),
-        F.col("words").cast("bigint").alias("words"),
-        T.share(F.coalesce(F.col("filler_hits"), F.lit(0)), F.col("words")).alias("filler_pct"),
+        hits.cast("bigint").alias("filler_hits"),
+        words.cast("bigint").alias("words"),
+        T.share(hits, words).alias("filler_pct"),
     )
 
 
@@ -341,12 +359,20 @@ def chunk_text(df: DataFrame, text_col: str, max_length: int = 128, token_count=
 
 
 # ---------------------------------------------------------------- one row per transcript
-def transcript_features(parts: DataFrame, fillers=None) -> DataFrame:
-    """Lengths, ratio, word counts, speaker balance and filler share per transcript."""
-    labelled = label_parts(parts)
-    stats = text_stats(labelled)
-    fill = filler_percent(labelled, "interviewee", fillers).select("id", "filler_hits", "filler_pct")
-    return stats.join(fill, "id", "left").select(
+def transcript_features(parts: DataFrame, fillers=None, labelled: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Lengths, ratio, word counts, speaker balance and filler share per transcript.
+
+    One aggregation per transcript for all per-part sums (``text_stats``),
+    plus the cross-part phrase correction joined by id.
+    """
+    labelled = labelled if labelled is not None else label_parts(parts)
+    st = stats if stats is not None else text_stats(labelled, fillers=fillers or T.DEFAULT_FILLERS)
+    cross = cross_part_filler_hits(labelled, "interviewee", fillers)
+    hits = F.col("part_filler_hits")
+    if cross is not None:
+        st = st.join(cross, "id", "left")
+        hits = hits + F.coalesce(F.col("cross_hits"), F.lit(0))
+    return st.select(
         "id",
         "interviewer_length",
         "interviewee_length",
@@ -354,6 +380,6 @@ def transcript_features(parts: DataFrame, fillers=None) -> DataFrame:
         "interviewer_words",
         "interviewee_words",
         T.share("interviewee_words", F.col("interviewer_words") + F.col("interviewee_words")).alias("speaker_balance"),
-        F.coalesce("filler_hits", F.lit(0)).cast("bigint").alias("filler_hits"),
-        F.coalesce("filler_pct", F.lit(0.0)).alias("filler_pct"),
+        hits.cast("bigint").alias("filler_hits"),
+        T.share(hits, F.col("interviewee_words")).alias("filler_pct"),
     )

@@ -17,6 +17,7 @@ from convlens.operators import profile as P
 from convlens.operators import sentiment as S
 from convlens.operators import transcripts as TR
 from convlens.operators import vectors as VO
+from convlens.session import cut_lineage
 
 
 def speaker_tokens(labelled: DataFrame) -> DataFrame:
@@ -26,20 +27,21 @@ def speaker_tokens(labelled: DataFrame) -> DataFrame:
     )
 
 
-def individual_table(parts: DataFrame) -> DataFrame:
+def individual_table(parts: DataFrame, labelled: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``(id, interviewer_length, interviewee_length, ratio, similarity)`` per transcript.
 
     Similarity is the cosine of the two speakers' term-count vectors (the
     built-in embedder); ``transcript_analysis`` can use a plugged embedder.
+    ``stats`` (from ``text_stats``) is reused when the caller has it.
     """
-    labelled = TR.label_parts(parts)
-    lens = TR.length_features(labelled)
+    labelled = labelled if labelled is not None else TR.label_parts(parts)
+    st = stats if stats is not None else TR.text_stats(labelled)
     sim = VO.term_cosine(speaker_tokens(labelled))
-    return lens.join(sim, "id", "left").select(
+    return st.join(sim, "id", "left").select(
         "id",
         "interviewer_length",
         "interviewee_length",
-        "ratio",
+        T.length_ratio("interviewee_length", "interviewer_length").alias("ratio"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
     )
 
@@ -54,8 +56,9 @@ def feature_table(parts: DataFrame, lexicon, fillers=None, stop_words=None) -> D
     by id (one exchange per block).
     """
     labelled = TR.label_parts(parts)
-    ids = parts.select("id").distinct()
-    feats = TR.transcript_features(parts, fillers).select("id", "filler_pct", "speaker_balance")
+    stats = TR.text_stats(labelled, fillers=fillers or T.DEFAULT_FILLERS)
+    ids = stats.select("id")
+    feats = TR.transcript_features(parts, fillers, labelled, stats).select("id", "filler_pct", "speaker_balance")
     mine = labelled.where(F.col("speaker") == "interviewee").select("id", "text")
     counts = B.term_counts(B.remove_stop_words(B.tokenize(mine, "id", "text"), stop_words))
     n_docs = ids.agg(F.count("*").alias("n_docs"))
@@ -64,7 +67,7 @@ def feature_table(parts: DataFrame, lexicon, fillers=None, stop_words=None) -> D
     kept = counts.join(vocab, "term", "left_semi")
     wl = B.word_length_features(kept, ids, "id")
     sent = S.sentiment_summary(S.score_sentences(TR.sentence_table(parts), lexicon), ids)
-    ind = individual_table(parts)
+    ind = individual_table(parts, labelled, stats)
     return feats.join(wl, "id").join(sent, "id").join(ind, "id")
 
 
@@ -76,11 +79,13 @@ def transcript_analysis(parts: DataFrame, k: int = 5, seed: int = 42, dim: int =
     """
     spark = parts.sparkSession
     labelled = TR.label_parts(parts)
-    ind = individual_table(parts)
+    ind = individual_table(parts, labelled)
     ids = parts.select("id").distinct()
     mine = labelled.where(F.col("speaker") == "interviewee").select("id", "text")
     counts = B.term_counts(B.tokenize(mine, "id", "text"))
-    emb = VO.hashed_embedding(counts, ids, dim=dim)
+    # k-means iterates over the vectors and the distances read them again:
+    # write them once to the shared checkpoint folder
+    emb = cut_lineage(VO.hashed_embedding(counts, ids, dim=dim))
     model, assigned = VO.kmeans_clusters(emb, "id", "embedding", k=k, seed=seed)
     cents = VO.centroids_frame(spark, model)
     dist = VO.centroid_distance(emb.join(assigned, "id"), "cluster", "embedding", cents)

@@ -383,3 +383,24 @@ def transcript_features(parts: DataFrame, fillers=None, labelled: DataFrame | No
         hits.cast("bigint").alias("filler_hits"),
         T.share(hits, F.col("interviewee_words")).alias("filler_pct"),
     )
+
+
+def transcript_features_rowwise(df: DataFrame, text_col: str = "transcript", fillers=None) -> DataFrame:
+    """The same features as ``transcript_features`` on the string form, row-local.
+
+    Each transcript row is parsed and measured in place (no shuffle), which
+    suits streams of whole transcripts.  Equal to the long form (see tests).
+    """
+    parsed = parse_transcript(df, text_col)
+    er, ee = F.col("interviewer_text"), F.col("interviewee_text")
+    return parsed.select(
+        "id",
+        F.length(er).cast("bigint").alias("interviewer_length"),
+        F.length(ee).cast("bigint").alias("interviewee_length"),
+        T.length_ratio(F.length(ee), F.length(er)).alias("ratio"),
+        T.word_count(er).cast("bigint").alias("interviewer_words"),
+        T.word_count(ee).cast("bigint").alias("interviewee_words"),
+        T.share(T.word_count(ee), T.word_count(er) + T.word_count(ee)).alias("speaker_balance"),
+        T.filler_hits(ee, fillers).cast("bigint").alias("filler_hits"),
+        T.share(T.filler_hits(ee, fillers), T.word_count(ee)).alias("filler_pct"),
+    )

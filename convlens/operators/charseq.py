@@ -48,7 +48,8 @@ def char_vocabulary(df: DataFrame, text_col: str, extra: str = "") -> DataFrame:
     The distinct set is bounded by the alphabet, so the final numbering is a
     window over a small table.
     """
-    ch = df.select(F.explode(chars(F.col(text_col))).alias("ch")).where(F.col("ch") != "")
+    # distinct inside each row first: a row contributes at most its alphabet
+    ch = df.select(F.explode(F.array_distinct(chars(F.col(text_col)))).alias("ch")).where(F.col("ch") != "")
     if extra:
         ch = ch.unionByName(df.sparkSession.createDataFrame([(c,) for c in extra], "ch string"))
     distinct = ch.distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions import text as T
-from convlens.operators.sequence import exclusive_prefix_sum, ordinal
+from convlens.operators.sequence import DEFAULT_BUCKET, exclusive_prefix_sum, ordinal
 
 SPEAKERS = (("interviewer", T.INTERVIEWER_LABEL), ("interviewee", T.INTERVIEWEE_LABEL))
 
@@ -220,7 +220,7 @@ def _multiword_splits(fillers):
     return out
 
 
-def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=None) -> DataFrame:
+def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=None, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """``(id, filler, n)`` hits of each dictionary entry in one speaker's joined text.
 
     Counted per part (patterns are literals, compiled once) and summed; phrases
@@ -241,7 +241,7 @@ def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=Non
 
     splits = _multiword_splits(fillers)
     if splits:
-        cross = _cross_part_hits(mine, splits)
+        cross = _cross_part_hits(mine, splits, bucket_size)
         counts = (
             counts.join(cross, ["id", "filler"], "left")
             .select("id", "filler", (F.col("n") + F.coalesce(F.col("x"), F.lit(0))).cast("bigint").alias("n"))
@@ -249,8 +249,8 @@ def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=Non
     return counts
 
 
-def _cross_part_hits(mine: DataFrame, splits) -> DataFrame:
-    ordered = ordinal(mine.select("id", "turn", "sub", "text"), ["id"], ["turn", "sub"], "ord")
+def _cross_part_hits(mine: DataFrame, splits, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+    ordered = ordinal(mine.select("id", "turn", "sub", "text"), ["id"], ["turn", "sub"], "ord", bucket_size)
     lowered = F.lower(F.col("text"))
     tails = [F.when(lowered.rlike(t), F.lit(i)) for i, (_, t, _) in enumerate(splits)]
     heads = [F.when(lowered.rlike(h), F.lit(i)) for i, (_, _, h) in enumerate(splits)]
@@ -265,14 +265,14 @@ def _cross_part_hits(mine: DataFrame, splits) -> DataFrame:
     return pairs.groupBy("id", F.element_at(names, F.col("k") + 1).alias("filler")).agg(F.count("*").cast("bigint").alias("x"))
 
 
-def cross_part_filler_hits(labelled: DataFrame, speaker: str = "interviewee", fillers=None) -> DataFrame | None:
+def cross_part_filler_hits(labelled: DataFrame, speaker: str = "interviewee", fillers=None, bucket_size: int = DEFAULT_BUCKET) -> DataFrame | None:
     """``(id, cross_hits)``: multi-word phrases straddling two consecutive parts; None
     when the dictionary has no multi-word literal."""
     splits = _multiword_splits(fillers)
     if not splits:
         return None
     mine = labelled.where(F.col("speaker") == F.lit(speaker))
-    return _cross_part_hits(mine, splits).groupBy("id").agg(F.sum("x").alias("cross_hits"))
+    return _cross_part_hits(mine, splits, bucket_size).groupBy("id").agg(F.sum("x").alias("cross_hits"))
 
 
 def filler_percent(labelled: DataFrame, speaker: str = "interviewee", fillers=None, stats: DataFrame | None = None) -> DataFrame:
@@ -293,7 +293,7 @@ def filler_percent(labelled: DataFrame, speaker: str = "interviewee", fillers=No
 
 
 # ---------------------------------------------------------------- B13 sentences (long form)
-def sentence_table(parts: DataFrame) -> DataFrame:
+def sentence_table(parts: DataFrame, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """``(id, sentence_no, sentence)`` of the whole transcript.
 
     All raw turns (labelled or not) have their labels removed (B6) and are
@@ -314,7 +314,7 @@ def sentence_table(parts: DataFrame) -> DataFrame:
         T.sentence_pieces("c").alias("pieces"),
         T.ends_with_terminator("c").alias("ends"),
     ).withColumn("nb", F.size("pieces") - 1 + F.when(F.col("ends"), 1).otherwise(0))
-    numbered = exclusive_prefix_sum(with_b, ["id"], ["turn", "sub"], "nb", "base")
+    numbered = exclusive_prefix_sum(with_b, ["id"], ["turn", "sub"], "nb", "base", bucket_size)
     pieces = numbered.select(
         "id", "turn", "sub", "base", F.posexplode("pieces").alias("j", "piece")
     ).select(
@@ -359,7 +359,9 @@ def chunk_text(df: DataFrame, text_col: str, max_length: int = 128, token_count=
 
 
 # ---------------------------------------------------------------- one row per transcript
-def transcript_features(parts: DataFrame, fillers=None, labelled: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def transcript_features(
+    parts: DataFrame, fillers=None, labelled: DataFrame | None = None, stats: DataFrame | None = None, bucket_size: int = DEFAULT_BUCKET
+) -> DataFrame:
     """Lengths, ratio, word counts, speaker balance and filler share per transcript.
 
     One aggregation per transcript for all per-part sums (``text_stats``),
@@ -367,7 +369,7 @@ def transcript_features(parts: DataFrame, fillers=None, labelled: DataFrame | No
     """
     labelled = labelled if labelled is not None else label_parts(parts)
     st = stats if stats is not None else text_stats(labelled, fillers=fillers or T.DEFAULT_FILLERS)
-    cross = cross_part_filler_hits(labelled, "interviewee", fillers)
+    cross = cross_part_filler_hits(labelled, "interviewee", fillers, bucket_size)
     hits = F.col("part_filler_hits")
     if cross is not None:
         st = st.join(cross, "id", "left")

@@ -9,6 +9,8 @@ is the brute-force reference.
 import random
 import re
 
+import pytest
+
 from convlens.functions import text as T
 from convlens.operators import transcripts as TR
 
@@ -16,9 +18,9 @@ WORDS = ["you", "know", "uh", "uhh", "um", "like", "i", "mean", "so", "kind", "o
 SEPS = [" ", "  ", "\n", " . ", "! ", "? "]
 
 
-def rand_transcript(rng: random.Random) -> str:
+def rand_transcript(rng: random.Random, max_turns: int = 6) -> str:
     turns = []
-    for _ in range(rng.randint(0, 6)):
+    for _ in range(rng.randint(0, max_turns)):
         label = rng.choice(["Interviewer: ", "Interviewee: ", "", "  Interviewee:", " "])
         body = "".join(rng.choice(WORDS) + rng.choice(SEPS) for _ in range(rng.randint(0, 8)))
         turns.append(label + body)
@@ -52,16 +54,20 @@ def py_sentences(t: str):
     return [(i, p.strip()) for i, p in enumerate(pieces) if p.strip()]
 
 
-def test_parts_features_equal_brute_force(spark):
-    rng = random.Random(7)
-    rows = [(f"t{i}", rand_transcript(rng)) for i in range(300)]
+@pytest.mark.parametrize("bucket_size,n_turns", [(4096, 6), (2, 40)])
+def test_parts_features_equal_brute_force(spark, bucket_size, n_turns):
+    """bucket_size=2 with long transcripts spreads every transcript over many
+    buckets, the path a very large conversation takes."""
+    rng = random.Random(7 + bucket_size)
+    rows = [(f"t{i}", rand_transcript(rng, n_turns)) for i in range(300 if n_turns < 10 else 60)]
     df = spark.createDataFrame(rows, "id string, transcript string")
     parts = TR.parts_from_transcripts(df)
-    feats = {r["id"]: r for r in TR.transcript_features(parts).collect()}
+    feats = {r["id"]: r for r in TR.transcript_features(parts, bucket_size=bucket_size).collect()}
     texts = {r["id"]: r for r in TR.speaker_texts(TR.label_parts(parts)).collect()}
     rowwise = {r["id"]: r for r in TR.parse_transcript(df).collect()}
+    rowfeats = {r["id"]: r for r in TR.transcript_features_rowwise(df).collect()}
     sents: dict = {}
-    for r in TR.sentence_table(parts).collect():
+    for r in TR.sentence_table(parts, bucket_size).collect():
         sents.setdefault(r["id"], []).append((r["sentence_no"], r["sentence"]))
     for rid, t in rows:
         er, ee = py_parse(t)
@@ -71,4 +77,5 @@ def test_parts_features_equal_brute_force(spark):
         assert f["interviewer_length"] == len(er) and f["interviewee_length"] == len(ee), t
         assert f["interviewer_words"] == len(er.split()) and f["interviewee_words"] == len(ee.split()), t
         assert f["filler_hits"] == py_fillers(ee), (t, ee)
+        assert rowfeats[rid].asDict() == f.asDict(), t
         assert sorted(sents.get(rid, [])) == py_sentences(t), t

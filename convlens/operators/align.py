@@ -72,10 +72,20 @@ def numeric_columns(df: DataFrame, integral_only: bool = False, exclude=()) -> l
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in exclude]
 
 
-def mean_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Mean of every numeric column per key; null keys dropped."""
+def mean_by_key(df: DataFrame, key: str, decimal_scale: int | None = None) -> DataFrame:
+    """Mean of every numeric column per key; null keys dropped.
+
+    ``decimal_scale`` sums in DECIMAL(38, scale) so the mean does not depend
+    on the order in which partial sums meet (exact for decimal inputs).
+    """
     cols = numeric_columns(df, exclude=(key,))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.avg(c).alias(c) for c in cols])
+
+    def mean(c):
+        if decimal_scale is None:
+            return F.avg(c)
+        return F.avg(F.col(c).cast(f"decimal(38,{decimal_scale})")).cast("double")
+
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[mean(c).alias(c) for c in cols])
 
 
 def first_numeric_column(df: DataFrame, exclude=("id",)) -> str:

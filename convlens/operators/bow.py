@@ -87,7 +87,8 @@ def count_vectors(
     toks = remove_stop_words(tokenize(docs, id_col, text_col), stop_words)
     counts = term_counts(toks)
     n_docs = docs.agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count("*").cast("bigint").alias("df")).crossJoin(F.broadcast(n_docs))
+    # count(n), not count(*): keeps n in the plan so the (id, term) exchange is reused
+    df = counts.groupBy("term").agg(F.count("n").cast("bigint").alias("df")).crossJoin(F.broadcast(n_docs))
     lo = F.lit(min_df) if isinstance(min_df, int) else F.lit(min_df) * F.col("n_docs")
     hi = F.lit(max_df) if isinstance(max_df, int) else F.lit(max_df) * F.col("n_docs")
     vocab = df.where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term", "df")

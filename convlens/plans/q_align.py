@@ -65,11 +65,11 @@ def g7(spark, sf):
 
 @query("g8_mean_by_key", rf"""
 SELECT lower(nullif(regexp_extract({EVENT_KEY_SQL}, '^(PP?\d+)', 1), '')) AS participant,
-       avg(event_id) AS event_id, avg(user_id) AS user_id, avg(value) AS value
+       avg(event_id) AS event_id, avg(user_id) AS user_id, avg(value::DECIMAL(38, 10))::DOUBLE AS value
 FROM events GROUP BY 1""")
 def g8(spark, sf):
     e = _events_keyed(spark, sf).withColumn("participant", G.participant_key("participant_question")).drop("participant_question")
-    return G.mean_by_key(e, "participant")
+    return G.mean_by_key(e, "participant", decimal_scale=10)
 
 
 @query("g9_numeric_columns", """

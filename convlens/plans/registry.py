@@ -25,4 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; small single-row-group inputs are spread over all cores."""
+    from convlens.sources.readers import spread_small
+
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

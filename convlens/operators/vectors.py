@@ -99,7 +99,7 @@ def mean_pool(df: DataFrame, keys: list[str], vec_col: str, out: str = "mean") -
 def mean_pool_long(df: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
     """E2 in long form ``(keys, dim_index, value)``."""
     long = df.select(*keys, F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim_index", "x"))
-    return long.groupBy(*keys, "dim_index").agg(F.avg("x").alias("value"))
+    return long.groupBy(*keys, F.col("dim_index").cast("bigint").alias("dim_index")).agg(F.avg("x").alias("value"))
 
 
 # ---------------------------------------------------------------- E3 similarity

@@ -33,6 +33,15 @@ def norm(v):
     return v
 
 
+def canon_spark(t: str) -> str:
+    return {"bigint": "int64", "int": "int32", "smallint": "int16", "double": "float64", "float": "float32", "string": "string", "boolean": "bool"}.get(t, t)
+
+
+def canon_duck(t: str) -> str:
+    t = t.upper()
+    return {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "DOUBLE": "float64", "FLOAT": "float32", "VARCHAR": "string", "BOOLEAN": "bool", "STRING": "string", "NUMBER": "float64"}.get(t, t.lower())
+
+
 def rows_of(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in records]
@@ -81,6 +90,11 @@ def main():
             print(f"FAIL {name}: columns {sorted(cols)} vs {sorted(dcols)}")
             bad += 1
             continue
+        stypes = {f.name: canon_spark(f.dataType.simpleString()) for f in df.schema.fields}
+        dtypes = {d[0]: canon_duck(str(d[1])) for d in res.description}
+        type_diff = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
+        if type_diff:
+            print(f"TYPE {name}: {type_diff}")
         a, b = rows_of(cols, recs), rows_of(dcols, drecs)
         if a != b:
             bad += 1

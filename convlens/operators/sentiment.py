@@ -135,6 +135,44 @@ def score_sentences(
     )
 
 
+def score_pieces(pieces: DataFrame, lexicon, keys=("id", "sentence_no"), piece_col: str = "piece") -> DataFrame:
+    """D1 base form from sentence pieces, without assembling sentence text.
+
+    A token never crosses a piece boundary, so a sentence's sums are the sums
+    over its pieces' tokens: one aggregation per sentence whose shuffle
+    carries partial sums (tokens of one sentence mostly meet map-side).
+    Blank sentences are dropped; a sentence without tokens scores
+    compound 0, neu 1.  Equal to ``score_sentences`` on ``sentence_table``.
+    """
+    spark = pieces.sparkSession
+    keys = list(keys)
+    lex = lexicon_frame(spark, lexicon)
+    small = not isinstance(lexicon, DataFrame)
+    toks = pieces.select(
+        *keys,
+        (F.regexp_replace(F.col(piece_col), r"^\s+|\s+$", "") != F.lit("")).alias("nonblank"),
+        F.explode_outer(F.regexp_extract_all(F.col(piece_col), F.lit(SENTIMENT_TOKEN), 0)).alias("orig"),
+    ).withColumn("token", F.lower("orig"))
+    scored = toks.join(_lexicon_join_side(lex, small), "token", "left").withColumn(
+        "v", F.when(F.col("token").isNotNull(), F.coalesce(F.col("valence"), F.lit(0.0)))
+    )
+    agg = scored.groupBy(*keys).agg(
+        F.max("nonblank").alias("nonblank"),
+        F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"),
+        F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("ps"),
+        F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("ns"),
+        F.sum(F.when(F.col("v") == 0, 1.0).otherwise(0.0)).alias("neu_count"),
+    ).where(F.col("nonblank"))
+    total = F.col("ps") + F.abs("ns") + F.col("neu_count")
+    return agg.select(
+        *keys,
+        (F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(ALPHA))).alias("compound"),
+        F.coalesce(F.try_divide(F.abs("ps"), total), F.lit(0.0)).alias("pos"),
+        F.coalesce(F.try_divide(F.col("neu_count"), total), F.lit(1.0)).alias("neu"),
+        F.coalesce(F.try_divide(F.abs("ns"), total), F.lit(0.0)).alias("neg"),
+    )
+
+
 def _punctuation_emphasis(c):
     ex = F.least(F.regexp_count(c, F.lit("!")), F.lit(4)).cast("double") * F.lit(EXCLAMATION_INCREMENT)
     qm = F.regexp_count(c, F.lit(r"\?"))

@@ -293,18 +293,15 @@ def filler_percent(labelled: DataFrame, speaker: str = "interviewee", fillers=No
 
 
 # ---------------------------------------------------------------- B13 sentences (long form)
-def sentence_table(parts: DataFrame, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
-    """``(id, sentence_no, sentence)`` of the whole transcript.
-
-    All raw turns (labelled or not) have their labels removed (B6) and are
-    joined by a space; the text is split after ``[.!?]`` + whitespace and blank
-    sentences are dropped.  ``sentence_no`` is the position in the split
-    (blank ones included), so numbering equals a split of the joined text.
-
-    Long form: each part is split into pieces; a part that ends with a
-    terminator closes its last sentence at the join.  The sentence number of a
-    piece is a skew-safe prefix sum of boundaries over the parts before it.
-    Pieces of one sentence are gathered per (id, sentence_no).
+def sentence_pieces(parts: DataFrame, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+    """``(id, sentence_no, turn, sub, j, piece)``: every piece of every sentence.
+
+    All raw turns (labelled or not) have their labels removed (B6); a part is
+    split after ``[.!?]`` + whitespace into pieces, and a part that ends with a
+    terminator closes its last sentence at the space that joins it to the
+    next part.  The sentence number of a piece is a skew-safe prefix sum of
+    boundaries over the parts before it, so numbering equals a split of the
+    joined text.
     """
     cleaned = parts.select("id", "turn", "sub", T.clean_speaker_labels(F.col("part")).alias("c"))
     with_b = cleaned.select(
@@ -315,13 +312,21 @@ def sentence_table(parts: DataFrame, bucket_size: int = DEFAULT_BUCKET) -> DataF
         T.ends_with_terminator("c").alias("ends"),
     ).withColumn("nb", F.size("pieces") - 1 + F.when(F.col("ends"), 1).otherwise(0))
     numbered = exclusive_prefix_sum(with_b, ["id"], ["turn", "sub"], "nb", "base", bucket_size)
-    pieces = numbered.select(
-        "id", "turn", "sub", "base", F.posexplode("pieces").alias("j", "piece")
-    ).select(
-        "id",
-        (F.col("base") + F.col("j")).alias("sentence_no"),
-        F.struct("turn", "sub", "piece").alias("tp"),
+    return numbered.select("id", "turn", "sub", "base", F.posexplode("pieces").alias("j", "piece")).select(
+        "id", (F.col("base") + F.col("j")).alias("sentence_no"), "turn", "sub", "j", "piece"
     )
+
+
+def sentence_table(parts: DataFrame, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+    """``(id, sentence_no, sentence)`` of the whole transcript.
+
+    Turns are joined by a space and split after ``[.!?]`` + whitespace; blank
+    sentences are dropped.  ``sentence_no`` is the position in the split
+    (blank ones included).  Pieces of one sentence are gathered per
+    ``(id, sentence_no)`` to build its text; scores that do not need the text
+    use ``sentence_pieces`` directly.
+    """
+    pieces = sentence_pieces(parts, bucket_size).select("id", "sentence_no", F.struct("turn", "sub", "piece").alias("tp"))
     sent = pieces.groupBy("id", "sentence_no").agg(
         T.strip_ws(F.array_join(F.transform(F.array_sort(F.collect_list("tp")), lambda x: x["piece"]), " ")).alias(
             "sentence"

@@ -66,7 +66,8 @@ def feature_table(parts: DataFrame, lexicon, fillers=None, stop_words=None) -> D
     vocab = df.where((F.col("df") >= 2) & (F.col("df") <= F.lit(0.95) * F.col("n_docs"))).select("term")
     kept = counts.join(vocab, "term", "left_semi")
     wl = B.word_length_features(kept, ids, "id")
-    sent = S.sentiment_summary(S.score_sentences(TR.sentence_table(parts), lexicon), ids)
+    # base-form sentiment straight from sentence pieces (no sentence text gather)
+    sent = S.sentiment_summary(S.score_pieces(TR.sentence_pieces(parts), lexicon), ids)
     ind = individual_table(parts, labelled, stats)
     return feats.join(wl, "id").join(sent, "id").join(ind, "id")
 

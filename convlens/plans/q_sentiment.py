@@ -131,7 +131,8 @@ FROM ids LEFT JOIN scored USING (id) GROUP BY ids.id""",
 )
 def d4(spark, sf):
     ids = table(spark, sf, "conversations").select(F.col("conv_id").alias("id")).distinct()
-    return S.sentiment_summary(conv_sentence_scores(spark, sf), ids)
+    # the summary needs no sentence text: score the pieces directly
+    return S.sentiment_summary(S.score_pieces(TR.sentence_pieces(conv_parts(spark, sf)), DRIVER_LEXICON), ids)
 
 
 @query(

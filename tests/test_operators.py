@@ -184,3 +184,21 @@ def test_strict_drop_raises(spark):
 def test_participant_key(spark):
     df = spark.createDataFrame([("P5Q1",), ("PP5Q1",), ("x",)], "k string")
     assert [r[0] for r in df.select(G.participant_key("k")).collect()] == ["p5", "pp5", None]
+
+
+def test_piece_scores_equal_sentence_scores(spark):
+    from tests.test_longform_equivalence import rand_transcript
+    import random
+
+    from convlens.operators import transcripts as TR
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(f"t{i}", rand_transcript(rng, 12)) for i in range(120)], "id string, transcript string")
+    parts = TR.parts_from_transcripts(df)
+    lex = {"you": 1.2, "know": -0.7, "like": 2.0, "um": -1.5, "élan": 0.4}
+    a = {(r["id"], r["sentence_no"]): r for r in S.score_sentences(TR.sentence_table(parts, 3), lex).collect()}
+    b = {(r["id"], r["sentence_no"]): r for r in S.score_pieces(TR.sentence_pieces(parts, 3), lex).collect()}
+    assert set(a) == set(b) and len(a) > 100
+    for k in a:
+        for c in ("compound", "pos", "neu", "neg"):
+            assert abs(a[k][c] - b[k][c]) < 1e-12, (k, c)

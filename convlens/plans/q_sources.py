@@ -97,4 +97,4 @@ summary AS (
 SELECT section, metric, CASE WHEN section = 'cluster' THEN printf('  Cluster %s: %.0f transcripts', substr(metric, 9), value) """
     + _report_sql() + " END AS line FROM summary")
 def a8(spark, sf):
-    return W.report_lines(VO.collection_summary(individual(spark, sf)))
+    return W.report_lines(VO.collection_summary(individual(spark, sf))).drop("ord")

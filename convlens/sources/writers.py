@@ -71,12 +71,18 @@ def report_lines(summary: DataFrame) -> DataFrame:
     num = _fixed(F.col("value"), dec)
     cluster_line = F.concat(F.lit("  Cluster "), F.regexp_extract("metric", r"cluster_(.*)", 1), F.lit(": "), num, F.lit(" transcripts"))
     other = F.concat(F.lit("  "), F.coalesce(label, F.col("metric")), F.lit(": "), num, unit)
-    return summary.select("section", "metric", F.when(is_cluster, cluster_line).otherwise(other).alias("line"))
+    # line order: report position of the metric, then clusters by number
+    pos = F.lit(len(REPORT_FORMATS))
+    for i, metric in enumerate(REPORT_FORMATS):
+        pos = F.when(F.col("metric") == F.lit(metric), F.lit(i)).otherwise(pos)
+    cluster_no = F.regexp_extract("metric", r"cluster_(-?\d+)", 1).try_cast("double")
+    order = F.when(is_cluster, F.lit(1000.0) + F.coalesce(cluster_no, F.lit(0.0))).otherwise(pos.cast("double"))
+    return summary.select("section", "metric", F.when(is_cluster, cluster_line).otherwise(other).alias("line"), order.alias("ord"))
 
 
 def write_report(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """Write report lines as one text file (the report is a handful of rows)."""
-    df = lines.select(F.col("line").alias("value"))
+    """Write report lines, in report order, as one text file (a handful of rows)."""
+    df = lines.select(F.col("ord"), F.col("line").alias("value"))
     if header:
-        df = lines.sparkSession.createDataFrame([(header,)], "value string").unionByName(df)
-    df.coalesce(1).write.mode("overwrite").text(path)
+        df = lines.sparkSession.createDataFrame([(-1.0, header)], "ord double, value string").unionByName(df)
+    df.repartition(1).sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)

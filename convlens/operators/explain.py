@@ -121,6 +121,7 @@ def fit_additive(
     checkpoint_every: int = 10,
     interactions: int = 0,
     interaction_bins: int = 16,
+    edges: dict | None = None,
 ) -> AdditiveModel:
     """I7 (+ I8 when ``interactions`` > 0): fit the binned additive model.
 
@@ -129,7 +130,7 @@ def fit_additive(
     """
     d = len(features)
     lr = learning_rate if learning_rate is not None else 1.0 / d
-    edges = bin_edges(df, features, max_bins)
+    edges = edges or bin_edges(df, features, max_bins)
     data = binned(df, features, edges, label).where(F.col("y").isNotNull()).cache()
     intercept = float(data.agg(F.avg("y")).first()[0])
     scores = [[0.0] * (max_bins + 1) for _ in features]
@@ -165,6 +166,34 @@ def fit_additive(
     return model
 
 
+def fit_additive_bagged(
+    df: DataFrame,
+    features: list[str],
+    label: str,
+    key,
+    bags: int = 8,
+    bag_fraction: float = 0.85,
+    seed: int = 42,
+    **kw,
+) -> AdditiveModel:
+    """I7 with outer bags: fit on ``bags`` hash subsamples of the rows (each a
+    deterministic ``bag_fraction`` by md5 of seed, bag and key) and average
+    the intercepts and score tables.  Bin edges are shared (fitted on all rows).
+    """
+    max_bins = kw.pop("max_bins", 256)
+    edges = bin_edges(df, features, max_bins)
+    threshold = "%08x" % min(int(bag_fraction * 2**32), 2**32 - 1)
+    models = []
+    for b in range(bags):
+        sub = df.where(md5_hex8(key, f"{seed}:{b}") < F.lit(threshold))
+        models.append(fit_additive(sub, features, label, max_bins=max_bins, edges=edges, **kw))
+    k = len(models)
+    scores = [[sum(m.scores[f][i] for m in models) / k for i in range(max_bins + 1)] for f in range(len(features))]
+    counts = [[sum(m.counts[f][i] for m in models) for i in range(max_bins + 1)] for f in range(len(features))]
+    intercept = sum(m.intercept for m in models) / k
+    return AdditiveModel(features, edges, intercept, scores, counts)
+
+
 def _fit_pairs(cur: DataFrame, features, edges, top: int, coarse: int):
     """I8: rank feature pairs by the residual variance their coarse cell means
     explain and keep ``top`` pairs, each fitted as its cell means (one pass)."""

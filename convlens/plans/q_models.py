@@ -132,6 +132,13 @@ def i7(spark, sf):
     return m.term_table(spark)
 
 
+@query("i7_additive_bagged", None)
+def i7_bagged(spark, sf):
+    train, _ = _split(spark, sf)
+    m = X.fit_additive_bagged(train, DOC_FEATURES, "quality", key="doc_id", bags=4, max_bins=32, passes=10, checkpoint_every=0)
+    return m.importance(spark)
+
+
 @query("i8_interactions", None)
 def i8(spark, sf):
     train, test = _split(spark, sf)

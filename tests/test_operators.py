@@ -202,3 +202,11 @@ def test_piece_scores_equal_sentence_scores(spark):
     for k in a:
         for c in ("compound", "pos", "neu", "neg"):
             assert abs(a[k][c] - b[k][c]) < 1e-12, (k, c)
+
+
+def test_additive_bagging_averages(spark):
+    rows = [(f"r{i}", float(i % 10), 5.0 if i % 10 >= 5 else 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    m = X.fit_additive_bagged(df, ["x"], "y", key="k", bags=3, max_bins=10, passes=20, checkpoint_every=0)
+    pred = m.predict(df, keep=["y"])
+    assert pred.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.1

@@ -13,7 +13,7 @@ from tests.oracle_check import TABLES, rows_of
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 # model-fitting queries are exercised by unit tests; they take minutes each here
-SLOW = {"h10_ablation", "i1_gbt_grid_search", "i3_random_search", "i5_cv_score", "i7_additive_model", "i8_interactions", "h6_rf_importance", "h6_rf_importance_docs"}
+SLOW = {"h10_ablation", "i1_gbt_grid_search", "i3_random_search", "i5_cv_score", "i7_additive_model", "i7_additive_bagged", "i8_interactions", "h6_rf_importance", "h6_rf_importance_docs"}
 
 
 @pytest.fixture(scope="module")

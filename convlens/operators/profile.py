@@ -49,17 +49,46 @@ def histogram(df: DataFrame, col: str, bins: int = 19) -> DataFrame:
     )
 
 
+def exact_percentiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, ``(by..., q, value)``.
+
+    Spark's exact ``percentile`` keeps every distinct value of a group in one
+    buffer; here the values are ranked by a distributed sort over
+    ``(by, value)`` (``global_rank``), each group's size and first rank come
+    from one aggregation, and only the two rows around each requested
+    position are fetched.  No group is gathered into one task.
+    """
+    by = list(by or [])
+    vals = df.select(*by, F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    ranked = global_rank(vals, [*[F.col(b).asc_nulls_first() for b in by], F.col("__v").asc()], "__r")
+    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__r").alias("__start"))
+    pos = (
+        groups.select(*by, "__n", "__start", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+        .withColumn("__pos", F.col("q") * (F.col("__n") - 1))
+        .withColumn("__lo", F.col("__start") + F.floor("__pos").cast("bigint"))
+        .withColumn("__hi", F.col("__start") + F.ceil("__pos").cast("bigint"))
+        .withColumn("__frac", F.col("__pos") - F.floor("__pos"))
+    )
+    at = ranked.select("__r", "__v")
+    lo = at.select(F.col("__r").alias("__lo"), F.col("__v").alias("__vlo"))
+    hi = at.select(F.col("__r").alias("__hi"), F.col("__v").alias("__vhi"))
+    return pos.join(lo, "__lo").join(hi, "__hi").select(
+        *by, "q", (F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))).alias("value")
+    )
+
+
 def percentile(df: DataFrame, col: str, q: float = 0.95, by: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """percentile with linear interpolation (``exact``) or the mergeable
-    approximate sketch (``percentile_approx``) for very large groups."""
-    expr = F.percentile(F.col(col), F.lit(q)) if exact else F.percentile_approx(F.col(col), F.lit(q), 10000)
-    agg = expr.cast("double").alias(f"p{int(round(q * 100))}")
-    return df.groupBy(*(by or [])).agg(agg)
+    """percentile with linear interpolation (``exact``, distributed) or the
+    mergeable approximate sketch (``percentile_approx``)."""
+    name = f"p{int(round(q * 100))}"
+    if exact:
+        return exact_percentiles(df, col, [q], by).select(*(by or []), F.col("value").alias(name))
+    return df.groupBy(*(by or [])).agg(F.percentile_approx(F.col(col), F.lit(q), 10000).cast("double").alias(name))
 
 
 def winsorize(df: DataFrame, col: str, q: float = 0.95, out: str | None = None) -> DataFrame:
-    """cap the upper side at the ``q`` percentile."""
-    cap = df.agg(F.percentile(F.col(col), F.lit(q)).alias("__cap"))
+    """cap the upper side at the ``q`` percentile (a one-row scalar)."""
+    cap = exact_percentiles(df, col, [q]).select(F.col("value").alias("__cap"))
     return df.crossJoin(F.broadcast(cap)).withColumn(out or f"{col}_capped", F.least(F.col(col), F.col("__cap"))).drop("__cap")
 
 
@@ -75,8 +104,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     """quartiles, whiskers (most extreme point inside 1.5 IQR) and outlier count per group."""
-    q = df.groupBy(by).agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    pct = exact_percentiles(df, col, [0.25, 0.5, 0.75], [by])
+    q = pct.groupBy(by).agg(
+        F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
+        F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
+        F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"),
+    )
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     )

@@ -210,3 +210,19 @@ def test_additive_bagging_averages(spark):
     m = X.fit_additive_bagged(df, ["x"], "y", key="k", bags=3, max_bins=10, passes=20, checkpoint_every=0)
     pred = m.predict(df, keep=["y"])
     assert pred.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.1
+
+
+def test_exact_percentiles_match_numpy(spark):
+    import numpy as np
+
+    from convlens.operators import profile as P
+
+    rng = np.random.default_rng(1)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 300), np.round(rng.normal(size=300), 1))]
+    rows += [(9, 5.0), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in P.exact_percentiles(df, "v", [0.0, 0.25, 0.5, 0.95, 1.0], ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        vals = np.array([v for k, v in rows if k == g])
+        for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+            assert abs(got[(g, q)] - np.percentile(vals, q * 100)) < 1e-12, (g, q)

@@ -74,3 +74,10 @@ def test_filters_and_pruning_reach_the_scan(spark):
 
     plan = _plan(B.tokenize(docs, "doc_id", "text"))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["c9_top_terms_per_doc", "e6_representatives"])
+def test_topk_in_groups_limits_before_the_shuffle(spark, name):
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
+    assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
+

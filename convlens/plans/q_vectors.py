@@ -155,5 +155,12 @@ def e9(spark, sf):
 
 @query("e10_transcript_analysis", None)
 def e10(spark, sf):
-    with_cluster, _, _ = PL.transcript_analysis(conv_parts(spark, sf), k=5, seed=42, dim=64)
-    return with_cluster
+    """Individual table with cluster, the cluster's size and whether the row is
+    one of its representatives, so the whole analysis is executed."""
+    with_cluster, clusters, _ = PL.transcript_analysis(conv_parts(spark, sf), k=5, seed=42, dim=64)
+    c = clusters.select(F.col("cluster_id").alias("cluster"), F.col("size").alias("cluster_size"), "representative_ids")
+    return (
+        with_cluster.join(c, "cluster", "left")
+        .withColumn("is_representative", F.coalesce(F.array_contains("representative_ids", F.col("id").cast("string")), F.lit(False)))
+        .drop("representative_ids")
+    )

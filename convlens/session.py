@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,9 +65,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and
+    read it back: the plan is computed once (``DataFrame.checkpoint`` computes
+    it twice unless cached), the data is columnar, and it survives executor
+    loss.  Never a machine-local folder on a cluster, never ``localCheckpoint``.
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

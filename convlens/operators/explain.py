@@ -34,13 +34,30 @@ MAX_ATTRIBUTION_ROWS = 50_000_000
 
 
 # ---------------------------------------------------------------- I7-I9 additive model
-def bin_edges(df: DataFrame, features: list[str], max_bins: int = 256) -> dict:
-    """Equal-width bins per feature from one min/max aggregation: ``{f: (lo, hi, bins)}``."""
+def bin_edges(df: DataFrame, features: list[str], max_bins: int = 256, method: str = "uniform") -> dict:
+    """Bins per feature from one aggregation.
+
+    ``uniform``: ``{f: (lo, hi, bins)}`` equal-width bins from min/max.
+    ``quantile``: ``{f: ("quantile", cuts, bins)}`` with up to ``max_bins - 1``
+    distinct cut points from approximate quantiles (mergeable sketches, one pass).
+    """
+    if method == "quantile":
+        probs = [i / max_bins for i in range(1, max_bins)]
+        row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), F.array(*[F.lit(p) for p in probs]), 10000).alias(f"q_{i}") for i, f in enumerate(features)]).first()
+        return {f: ("quantile", sorted({float(v) for v in (row[f"q_{i}"] or [])}), max_bins) for i, f in enumerate(features)}
     row = df.agg(*[F.min(f).alias(f"lo_{i}") for i, f in enumerate(features)], *[F.max(f).alias(f"hi_{i}") for i, f in enumerate(features)]).first()
     return {f: (float(row[f"lo_{i}"] or 0.0), float(row[f"hi_{i}"] or 0.0), max_bins) for i, f in enumerate(features)}
 
 
-def _bin_expr(f: str, lo: float, hi: float, bins: int):
+def _bin_expr(f: str, a, b, bins: int):
+    """Bin of feature ``f``; ``bins`` (the last slot) holds missing values."""
+    if a == "quantile":
+        # number of cut points <= x (cuts are few and sorted; JVM-side fold)
+        cuts = F.array(*[F.lit(float(c)) for c in b]) if b else F.array().cast("array<double>")
+        x = F.col(f).cast("double")
+        raw = F.aggregate(cuts, F.lit(0), lambda acc, c: acc + F.when(x >= c, 1).otherwise(0))
+        return F.when(F.col(f).isNull(), F.lit(bins)).otherwise(raw)
+    lo, hi = a, b
     width = (hi - lo) / bins if hi > lo else 1.0
     raw = F.floor((F.col(f).cast("double") - F.lit(lo)) / F.lit(width)).cast("int")
     return F.when(F.col(f).isNull(), F.lit(bins)).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)))
@@ -90,15 +107,19 @@ class AdditiveModel:
         """``(term, bin, bin_lo, bin_hi, score, n)`` for every main-effect cell."""
         rows = []
         for f, s, c in zip(self.features, self.scores, self.counts):
-            lo, hi, bins = self.edges[f]
-            width = (hi - lo) / bins if hi > lo else 1.0
+            a, e, bins = self.edges[f]
             for b in range(bins + 1):
                 if c[b] == 0:
                     continue
                 if b == bins:
                     rows.append((f, b, None, None, float(s[b]), int(c[b])))
+                elif a == "quantile":
+                    lo_v = e[b - 1] if b >= 1 else None
+                    hi_v = e[b] if b < len(e) else None
+                    rows.append((f, b, lo_v, hi_v, float(s[b]), int(c[b])))
                 else:
-                    rows.append((f, b, lo + b * width, lo + (b + 1) * width, float(s[b]), int(c[b])))
+                    width = (e - a) / bins if e > a else 1.0
+                    rows.append((f, b, a + b * width, a + (b + 1) * width, float(s[b]), int(c[b])))
         return spark.createDataFrame(rows, "term string, bin int, bin_lo double, bin_hi double, score double, n long")
 
     def importance(self, spark) -> DataFrame:
@@ -122,15 +143,17 @@ def fit_additive(
     interactions: int = 0,
     interaction_bins: int = 16,
     edges: dict | None = None,
+    binning: str = "uniform",
 ) -> AdditiveModel:
     """I7 (+ I8 when ``interactions`` > 0): fit the binned additive model.
 
     All features are updated together each pass (Jacobi backfitting), so the
-    default learning rate is ``1 / n_features``.
+    default learning rate is ``1 / n_features``.  ``binning``: ``uniform``
+    (equal width) or ``quantile`` (approximate quantile cut points).
     """
     d = len(features)
     lr = learning_rate if learning_rate is not None else 1.0 / d
-    edges = edges or bin_edges(df, features, max_bins)
+    edges = edges or bin_edges(df, features, max_bins, binning)
     data = binned(df, features, edges, label).where(F.col("y").isNotNull()).cache()
     intercept = float(data.agg(F.avg("y")).first()[0])
     scores = [[0.0] * (max_bins + 1) for _ in features]
@@ -181,7 +204,7 @@ def fit_additive_bagged(
     the intercepts and score tables.  Bin edges are shared (fitted on all rows).
     """
     max_bins = kw.pop("max_bins", 256)
-    edges = bin_edges(df, features, max_bins)
+    edges = bin_edges(df, features, max_bins, kw.pop("binning", "uniform"))
     threshold = "%08x" % min(int(bag_fraction * 2**32), 2**32 - 1)
     models = []
     for b in range(bags):

@@ -128,7 +128,7 @@ def i7_one(spark, sf):
 @query("i7_additive_model", None)
 def i7(spark, sf):
     train, _ = _split(spark, sf)
-    m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=32, passes=20, checkpoint_every=10)
+    m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=32, passes=20, checkpoint_every=10, binning="quantile")
     return m.term_table(spark)
 
 

@@ -226,3 +226,13 @@ def test_exact_percentiles_match_numpy(spark):
         vals = np.array([v for k, v in rows if k == g])
         for q in (0.0, 0.25, 0.5, 0.95, 1.0):
             assert abs(got[(g, q)] - np.percentile(vals, q * 100)) < 1e-12, (g, q)
+
+
+def test_additive_quantile_bins(spark):
+    rows = [(float(i) ** 2, 5.0 if i >= 30 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    m = X.fit_additive(df, ["x"], "y", max_bins=8, passes=10, checkpoint_every=0, learning_rate=1.0, binning="quantile")
+    t = m.term_table(spark).collect()
+    assert len(t) >= 6 and abs(sum(r["n"] for r in t) - 60) == 0
+    pred = m.predict(df, keep=["y"])
+    assert pred.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.3

@@ -86,11 +86,10 @@ def count_vectors(
     """
     toks = remove_stop_words(tokenize(docs, id_col, text_col), stop_words)
     counts = term_counts(toks)
-    n_docs = docs.agg(F.count("*").alias("n_docs"))
-    # count(n), not count(*): keeps n in the plan so the (id, term) exchange is reused
-    df = counts.groupBy("term").agg(F.count("n").cast("bigint").alias("df")).crossJoin(F.broadcast(n_docs))
-    lo = F.lit(min_df) if isinstance(min_df, int) else F.lit(min_df) * F.col("n_docs")
-    hi = F.lit(max_df) if isinstance(max_df, int) else F.lit(max_df) * F.col("n_docs")
+    n_docs = docs.agg(F.count("*")).scalar()  # scalar subquery, no join
+    df = counts.groupBy("term").agg(F.count("n").cast("bigint").alias("df"))
+    lo = F.lit(min_df) if isinstance(min_df, int) else F.lit(min_df) * n_docs
+    hi = F.lit(max_df) if isinstance(max_df, int) else F.lit(max_df) * n_docs
     vocab = df.where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term", "df")
     kept = counts.join(vocab.select("term"), "term", "left_semi")
     return kept.select("id", "term", "n"), vocab
@@ -120,7 +119,7 @@ def corpus_stats(counts: DataFrame, vocab: DataFrame, docs: DataFrame, id_col: s
         F.max("len").alias("max_length"),
         F.avg("len").alias("mean_length"),
     )
-    return lens.crossJoin(vocab.agg(F.count("*").alias("vocabulary_size")))
+    return lens.withColumn("vocabulary_size", vocab.agg(F.count("*")).scalar())
 
 
 def top_terms(counts: DataFrame, n: int = 20) -> DataFrame:

@@ -56,16 +56,17 @@ def char_vocabulary(df: DataFrame, text_col: str, extra: str = "") -> DataFrame:
     return distinct.withColumn("idx", (F.row_number().over(Window.orderBy("ch")) - 1).cast("int"))
 
 
-def _vocab_map(vocab: DataFrame, inverse: bool = False) -> DataFrame:
+def _vocab_map(vocab: DataFrame, inverse: bool = False):
+    """The (small) vocabulary as one map value, attached as a scalar subquery."""
     kv = F.struct("idx", "ch") if inverse else F.struct("ch", "idx")
-    return vocab.agg(F.map_from_entries(F.collect_list(kv)).alias("__m"))
+    return vocab.agg(F.map_from_entries(F.collect_list(kv))).scalar()
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """L3: characters -> ids; unknown characters map to null."""
-    m = _vocab_map(vocab)
+    # the scalar is projected first: lambdas cannot hold a subquery themselves
     return (
-        df.crossJoin(F.broadcast(m))
+        df.withColumn("__m", _vocab_map(vocab))
         .withColumn(out, F.transform(F.filter(chars(F.col(text_col)), lambda c: c != ""), lambda c: F.element_at(F.col("__m"), c)))
         .drop("__m")
     )
@@ -73,9 +74,8 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "ids") ->
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """L3 inverse: ids -> string (unknown ids dropped)."""
-    m = _vocab_map(vocab, inverse=True)
     return (
-        df.crossJoin(F.broadcast(m))
+        df.withColumn("__m", _vocab_map(vocab, inverse=True))
         .withColumn(out, F.array_join(F.transform(F.col(ids_col), lambda i: F.element_at(F.col("__m"), i)), ""))
         .drop("__m")
     )
@@ -108,9 +108,8 @@ def load_vocabulary(spark, path: str) -> DataFrame:
 
 def remove_unknown(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "safe_text") -> DataFrame:
     """Drop characters outside the vocabulary and flag rows that changed."""
-    m = _vocab_map(vocab)
     return (
-        df.crossJoin(F.broadcast(m))
+        df.withColumn("__m", _vocab_map(vocab))
         .withColumn(out, F.array_join(F.filter(chars(F.col(text_col)), lambda c: F.map_contains_key(F.col("__m"), c)), ""))
         .withColumn("changed", F.length(out) != F.length(text_col))
         .drop("__m")

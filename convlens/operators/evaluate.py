@@ -78,22 +78,22 @@ def evaluate_predictions(
     s = scores.withColumnRenamed(score_key, key) if score_key in scores.columns else scores
     s = rename_first_numeric(s, "actual_score", exclude=(key,)).select(key, "actual_score")
     p = predictions
-    dropped = p.agg(F.sum(F.when(F.col(pred_col) == -1, 1).otherwise(0)).alias("dropped_invalid"))
+    dropped = p.agg(F.sum(F.when(F.col(pred_col) == -1, 1).otherwise(0))).scalar()
     if valid_only:
         p = p.where(F.col(pred_col) != -1)
     merged = p.join(s, key, "inner")
     mm = merged.agg(
-        F.min(pred_col).alias("__pmin"), F.max(pred_col).alias("__pmax"), F.min("actual_score").alias("__amin"), F.max("actual_score").alias("__amax")
-    )
+        F.struct(
+            F.min(pred_col).alias("pmin"), F.max(pred_col).alias("pmax"), F.min("actual_score").alias("amin"), F.max("actual_score").alias("amax")
+        )
+    ).scalar()  # one scalar subquery holding the four ranges
 
     def scale(c, lo, hi):
-        return F.coalesce(F.try_divide(F.col(c).cast("double") - F.col(lo), F.nullif(F.col(hi) - F.col(lo), F.lit(0))), F.lit(0.0))
+        return F.coalesce(F.try_divide(F.col(c).cast("double") - mm[lo], F.nullif(mm[hi] - mm[lo], F.lit(0))), F.lit(0.0))
 
     rows = (
-        merged.crossJoin(F.broadcast(mm))
-        .withColumn("predicted_score_norm", scale(pred_col, "__pmin", "__pmax"))
-        .withColumn("actual_score_norm", scale("actual_score", "__amin", "__amax"))
-        .drop("__pmin", "__pmax", "__amin", "__amax")
+        merged.withColumn("predicted_score_norm", scale(pred_col, "pmin", "pmax"))
+        .withColumn("actual_score_norm", scale("actual_score", "amin", "amax"))
         .withColumn("score_diff", F.abs(F.col("predicted_score_norm") - F.col("actual_score_norm")))
         .withColumn("rel_error", F.col("score_diff") / (F.col("actual_score_norm") + F.lit(EPSILON)))
     )
@@ -112,7 +112,7 @@ def evaluate_predictions(
         F.max(pred_col).alias("max_pred"),
         F.min("actual_score").alias("min_actual"),
         F.max("actual_score").alias("max_actual"),
-    ).crossJoin(dropped)
+    ).withColumn("dropped_invalid", dropped)
     t = F.col("pearson_correlation") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("pearson_correlation") ** 2))
     metrics = metrics.withColumn("p_value", F.when(F.col("n") >= 3, t_pvalue(t, (F.col("n") - 2).cast("double"))))
     return rows, metrics

@@ -273,11 +273,10 @@ def permutation_attributions(
     perms = [rng.sample(range(d), d) for _ in range(permutations)]
     perm_lit = F.array(*[F.array(*[F.lit(i) for i in perm]) for perm in perms])
     bg = background.select(F.array(*[F.col(f).cast("double") for f in features]).alias("z"))
-    bg_one = bg.agg(F.collect_list("z").alias("zs"))  # one row holding the bounded background set
+    zs = bg.agg(F.collect_list("z")).scalar()  # the bounded background set as one value
     x = explain.select(F.col(id_col).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     rows = (
-        x.join(F.broadcast(bg_one), how="inner")  # attach the one-row background list
-        .select("id", "x", F.posexplode("zs").alias("zid", "z"))
+        x.select("id", "x", F.posexplode(zs).alias("zid", "z"))
         .select("id", "x", "zid", "z", F.posexplode(perm_lit).alias("perm", "order"))
         .select("id", "x", "zid", "z", "perm", "order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("k"))
     )

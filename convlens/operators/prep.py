@@ -43,15 +43,16 @@ def fit_minmax(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_minmax(df: DataFrame, params: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """Scale to [0, 1] by fitted min/max (values outside the fit range leave it);
-    a constant column maps to 0."""
-    out = df.crossJoin(F.broadcast(params))
+    a constant column maps to 0.  The one-row fit is a scalar subquery."""
+    p = params.select(F.struct(*params.columns)).scalar()
+    out = df
     for c in cols:
-        lo, hi = F.col(f"min_{c}"), F.col(f"max_{c}")
+        lo, hi = p[f"min_{c}"], p[f"max_{c}"]
         out = out.withColumn(
             c + suffix,
             F.coalesce(F.try_divide(F.col(c).cast("double") - lo, F.nullif(hi - lo, F.lit(0))), F.when(F.col(c).isNotNull(), F.lit(0.0))),
         )
-    return out.drop(*[f"min_{c}" for c in cols], *[f"max_{c}" for c in cols])
+    return out
 
 
 def minmax_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, suffix: str = "") -> DataFrame:
@@ -62,17 +63,17 @@ def minmax_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None
 def zscore(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, suffix: str = "") -> DataFrame:
     """H3: ``(x - mean) / stddev_pop``; a constant column maps to 0."""
     src = fit_on if fit_on is not None else df
-    params = src.agg(*[F.avg(c).alias(f"mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(params))
+    p = src.agg(F.struct(*[F.avg(c).alias(f"mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols])).scalar()
+    out = df
     for c in cols:
         out = out.withColumn(
             c + suffix,
             F.coalesce(
-                F.try_divide(F.col(c).cast("double") - F.col(f"mu_{c}"), F.nullif(F.col(f"sd_{c}"), F.lit(0.0))),
+                F.try_divide(F.col(c).cast("double") - p[f"mu_{c}"], F.nullif(p[f"sd_{c}"], F.lit(0.0))),
                 F.when(F.col(c).isNotNull(), F.lit(0.0)),
             ),
         )
-    return out.drop(*[f"mu_{c}" for c in cols], *[f"sd_{c}" for c in cols])
+    return out
 
 
 # ---------------------------------------------------------------- H4 split
@@ -105,7 +106,8 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     constant column -> null."""
     pairs = [(a, b) for a in cols for b in cols]
     uniq = list(combinations(cols, 2))
-    agg = df.agg(*[safe_corr(a, b).alias(f"{a}\u0001{b}") for a, b in uniq])
+    # one aggregation: every pairwise correlation and every column's deviation
+    agg = df.agg(*[safe_corr(a, b).alias(f"{a}\u0001{b}") for a, b in uniq], *[F.stddev_pop(c).alias(f"sd\u0001{c}") for c in cols])
     entries = []
     for a, b in pairs:
         if a == b:
@@ -114,8 +116,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         else:
             name = f"{a}\u0001{b}" if (a, b) in uniq else f"{b}\u0001{a}"
             entries.append((a, b, name))
-    diag = df.agg(*[F.stddev_pop(c).alias(f"sd\u0001{c}") for c in cols])
-    both = agg.crossJoin(diag)
+    both = agg
     structs = []
     for a, b, name in entries:
         v = F.col(name) if name else F.when(F.col(f"sd\u0001{a}") > 0, F.lit(1.0))

@@ -33,18 +33,15 @@ def histogram(df: DataFrame, col: str, bins: int = 19) -> DataFrame:
     """``(bin, lower, upper, count)`` for ``bins`` equal bins from min to max; empty bins have 0."""
     spark = df.sparkSession
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    mm = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    counts = (
-        vals.crossJoin(F.broadcast(mm))
-        .groupBy(bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-        .agg(F.count("*").cast("bigint").alias("count"))
-    )
-    edges = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(mm))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    mm = vals.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()  # scalar subquery
+    lo, hi = mm["lo"], mm["hi"]
+    counts = vals.groupBy(bin_index(F.col("v"), lo, hi, bins).alias("bin")).agg(F.count("*").cast("bigint").alias("count"))
+    edges = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    width = (hi - lo) / F.lit(bins)
     return edges.join(counts, "bin", "left").select(
         "bin",
-        (F.col("lo") + (F.col("bin") - 1) * width).alias("lower"),
-        (F.col("lo") + F.col("bin") * width).alias("upper"),
+        (lo + (F.col("bin") - 1) * width).alias("lower"),
+        (lo + F.col("bin") * width).alias("upper"),
         F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
     )
 
@@ -88,8 +85,8 @@ def percentile(df: DataFrame, col: str, q: float = 0.95, by: list[str] | None =
 
 def winsorize(df: DataFrame, col: str, q: float = 0.95, out: str | None = None) -> DataFrame:
     """cap the upper side at the ``q`` percentile (a one-row scalar)."""
-    cap = exact_percentiles(df, col, [q]).select(F.col("value").alias("__cap"))
-    return df.crossJoin(F.broadcast(cap)).withColumn(out or f"{col}_capped", F.least(F.col(col), F.col("__cap"))).drop("__cap")
+    cap = exact_percentiles(df, col, [q]).select("value").scalar()  # scalar subquery
+    return df.withColumn(out or f"{col}_capped", F.least(F.col(col), cap))
 
 
 def linear_trend(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -130,14 +127,12 @@ def cluster_profile(df: DataFrame, by: str = "cluster", metrics=PROFILE_METRICS,
 
 def normalize_profile(profile: DataFrame, columns: list[str]) -> DataFrame:
     """F8: min-max scale each column across the (few) profile rows; constant column -> null."""
-    mm = profile.agg(*[F.min(c).alias(f"__min_{c}") for c in columns], *[F.max(c).alias(f"__max_{c}") for c in columns])
-    out = profile.crossJoin(F.broadcast(mm))
+    mm = profile.agg(F.struct(*[F.min(c).alias(f"min_{c}") for c in columns], *[F.max(c).alias(f"max_{c}") for c in columns])).scalar()
+    out = profile
     for c in columns:
-        out = out.withColumn(
-            c,
-            F.try_divide(F.col(c).cast("double") - F.col(f"__min_{c}"), F.nullif(F.col(f"__max_{c}") - F.col(f"__min_{c}"), F.lit(0))),
-        )
-    return out.drop(*[f"__min_{c}" for c in columns], *[f"__max_{c}" for c in columns])
+        lo, hi = mm[f"min_{c}"], mm[f"max_{c}"]
+        out = out.withColumn(c, F.try_divide(F.col(c).cast("double") - lo, F.nullif(hi - lo, F.lit(0))))
+    return out
 
 
 def slice_size(n_rows: int, share: float = 0.1, minimum: int = 5) -> int:

@@ -31,9 +31,9 @@ def hashed_embedding(counts: DataFrame, ids: DataFrame, dim: int = 256, idf: boo
     """
     c = counts
     if idf:
-        n_docs = ids.agg(F.count("*").alias("N"))
-        df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
-        w = df.select("term", F.log((F.col("N") + 1) / (F.col("df") + 1)).alias("idf"))
+        n_docs = ids.agg(F.count("*")).scalar()  # scalar subquery
+        df = counts.groupBy("term").agg(F.count("*").alias("df"))
+        w = df.select("term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"))
         c = counts.join(w, "term").withColumn("w", F.col("n") * F.col("idf"))
     else:
         c = counts.withColumn("w", F.col("n").cast("double"))

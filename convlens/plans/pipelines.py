@@ -61,9 +61,9 @@ def feature_table(parts: DataFrame, lexicon, fillers=None, stop_words=None) -> D
     feats = TR.transcript_features(parts, fillers, labelled, stats).select("id", "filler_pct", "speaker_balance")
     mine = labelled.where(F.col("speaker") == "interviewee").select("id", "text")
     counts = B.term_counts(B.remove_stop_words(B.tokenize(mine, "id", "text"), stop_words))
-    n_docs = ids.agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
-    vocab = df.where((F.col("df") >= 2) & (F.col("df") <= F.lit(0.95) * F.col("n_docs"))).select("term")
+    n_docs = ids.agg(F.count("*")).scalar()  # scalar subquery
+    df = counts.groupBy("term").agg(F.count("n").alias("df"))
+    vocab = df.where((F.col("df") >= 2) & (F.col("df") <= F.lit(0.95) * n_docs)).select("term")
     kept = counts.join(vocab, "term", "left_semi")
     wl = B.word_length_features(kept, ids, "id")
     # base-form sentiment straight from sentence pieces (no sentence text gather)

@@ -186,9 +186,9 @@ def interviewee_counts(spark, sf):
     mine = labelled.where(F.col("speaker") == "interviewee").select("id", "text")
     toks = B.remove_stop_words(B.tokenize(mine, "id", "text"))
     counts = B.term_counts(toks)
-    n_docs = labelled.select("id").distinct().agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
-    vocab = df.where((F.col("df") >= 2) & (F.col("df") <= F.lit(0.95) * F.col("n_docs"))).select("term")
+    n_docs = labelled.select("id").distinct().agg(F.count("*")).scalar()  # scalar subquery
+    df = counts.groupBy("term").agg(F.count("n").alias("df"))
+    vocab = df.where((F.col("df") >= 2) & (F.col("df") <= F.lit(0.95) * n_docs)).select("term")
     return counts.join(vocab, "term", "left_semi").select("id", "term", "n"), labelled.select("id").distinct()
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from convlens.functions.common import as_col
-from convlens.functions.text import _regex_quote
 
 # Fixed value: the rating question appended to each transcript (the whole
 # question; the reference's second sentence was a dangling statement).
@@ -96,4 +95,4 @@ def run_rating(
     return out.where(F.col("error").isNull()) if valid_only else out
 
 
-__all__ = ["DEFAULT_QUESTION", "build_prompt", "score_text", "extract_score", "run_rating", "_regex_quote"]
+__all__ = ["DEFAULT_QUESTION", "build_prompt", "score_text", "extract_score", "run_rating"]

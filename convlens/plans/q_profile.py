@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from convlens.operators import profile as P
 from convlens.plans import pipelines as PL
 from convlens.plans.q_vectors import individual
@@ -127,7 +125,6 @@ def f11(spark, sf):
 @query("f12_visualize_tables", None)
 def f12(spark, sf):
     tables = PL.visualize_tables(individual(spark, sf))
-    # one row per produced table with its row count, as a compact check
-    spark_ = spark
+    # one row per produced table with its row count (each count runs that table's plan)
     rows = [(name, df.count()) for name, df in tables.items()]
-    return spark_.createDataFrame(rows, "table string, n_rows long")
+    return spark.createDataFrame(rows, "table string, n_rows long")

@@ -82,6 +82,24 @@ def embed_with(
     return df.mapInPandas(run, schema)
 
 
+def embed_texts(df: DataFrame, id_col: str, text_col: str, embedder: Callable, dim: int, max_length: int = 128, token_count=None) -> DataFrame:
+    """E1 end to end with a plugged model: ``(id, embedding)`` for every row.
+
+    A text longer than ``max_length - 2`` tokens is packed into sentence chunks
+    (B15) and its chunk vectors are mean-pooled (E2); a shorter text is
+    embedded in one piece; an empty or blank text gets the zero vector of
+    width ``dim``.  Chunks are scored in Arrow batches by ``embed_with``.
+    """
+    from convlens.operators.transcripts import chunk_text
+
+    chunks = chunk_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", max_length, token_count)
+    rows = chunks.select("id", F.explode("chunks").alias("chunk"))
+    pooled = mean_pool(embed_with(rows, "id", "chunk", embedder, dim), ["id"], "embedding", "embedding")
+    return df.select(F.col(id_col).alias("id")).join(pooled, "id", "left").select(
+        "id", F.coalesce(F.col("embedding"), V.zeros(dim)).alias("embedding")
+    )
+
+
 # ---------------------------------------------------------------- E2 mean pooling
 def mean_pool(df: DataFrame, keys: list[str], vec_col: str, out: str = "mean") -> DataFrame:
     """Element-wise mean of the vectors of each group (unweighted).

@@ -53,10 +53,9 @@ def _stub_embedder(texts):
 
 @query("e1_embed_plugin", None)
 def e1_plugin(spark, sf):
-    docs = TR.chunk_text(table(spark, sf, "documents"), "text", 128)
-    chunks = docs.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
-    emb = VO.embed_with(chunks, "doc_id", "chunk", _stub_embedder, 26)
-    return VO.mean_pool(emb, ["doc_id"], "embedding", "embedding")
+    return VO.embed_texts(table(spark, sf, "documents"), "doc_id", "text", _stub_embedder, 26, max_length=128).withColumnRenamed(
+        "id", "doc_id"
+    )
 
 
 @query("e2_mean_pool", """

@@ -236,3 +236,28 @@ def test_additive_quantile_bins(spark):
     assert len(t) >= 6 and abs(sum(r["n"] for r in t) - 60) == 0
     pred = m.predict(df, keep=["y"])
     assert pred.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.3
+
+
+def test_embedder_plug_point_chunks_and_mean_pools(spark):
+    import numpy as np
+
+    from convlens.functions import text as T
+    from convlens.operators import transcripts as TR
+    from convlens.operators import vectors as VO
+
+    def embed(texts):
+        return np.array([[len(t), t.count("a"), 1.0] for t in texts], dtype=float)
+
+    long_text = ". ".join(["a b c d e f"] * 40)  # 240 tokens -> several chunks
+    df = spark.createDataFrame([(1, long_text), (2, "short a text"), (3, "")], "id int, text string")
+    chunks = TR.chunk_text(df, "text", max_length=128).select("id", F.posexplode("chunks").alias("k", "chunk"))
+    pooled = {r["id"]: r["embedding"] for r in VO.mean_pool(VO.embed_with(chunks, "id", "chunk", embed, 3), ["id"], "embedding", "embedding").collect()}
+    parts = spark.createDataFrame([(long_text,)], "t string").select(T.split_sentences_runs("t").alias("s")).first()["s"]
+    assert len(parts) == 40
+    got_chunks = [r["chunk"] for r in chunks.where("id = 1").orderBy("k").collect()]
+    assert len(got_chunks) == 2 and all(len(c.split()) <= 126 for c in got_chunks)
+    assert np.allclose(pooled[1], embed(got_chunks).mean(axis=0))
+    assert np.allclose(pooled[2], embed(["short a text"])[0])
+    assert 3 not in pooled  # an empty text has no chunk ...
+    full = {r["id"]: r["embedding"] for r in VO.embed_texts(df, "id", "text", embed, 3).collect()}
+    assert full[3] == [0.0, 0.0, 0.0] and np.allclose(full[1], pooled[1])  # ... and gets the zero vector

@@ -34,10 +34,18 @@ def score_text(
     df: DataFrame,
     id_col: str,
     prompt_col: str,
-    scorer: Callable[[list[str]], list[str]],
+    scorer: Callable[[list[str]], list[str]] | None = None,
     out: str = "analysis",
+    scorer_factory: Callable[[], Callable[[list[str]], list[str]]] | None = None,
 ) -> DataFrame:
-    """K2: ``(id, analysis, error)`` for every row; ``error`` is null on success."""
+    """K2: ``(id, analysis, error)`` for every row; ``error`` is null on success.
+
+    Pass ``scorer`` (a picklable function) or ``scorer_factory``, which is
+    called once per task so a model or client is built once per partition
+    and reused for all its Arrow batches.
+    """
+    if (scorer is None) == (scorer_factory is None):
+        raise ValueError("pass exactly one of scorer / scorer_factory")
     schema = TY.StructType(
         [
             df.schema[id_col],
@@ -49,19 +57,20 @@ def score_text(
     def run(batches):
         import pandas as pd
 
+        score = scorer if scorer is not None else scorer_factory()
         for pdf in batches:
             texts = pdf[prompt_col].fillna("").astype(str).tolist()
             answers: list = [None] * len(texts)
             errors: list = [None] * len(texts)
             try:
-                res = list(scorer(texts))
+                res = list(score(texts))
                 if len(res) != len(texts):
                     raise ValueError("scorer returned a different number of answers")
                 answers = [None if r is None else str(r) for r in res]
             except Exception:  # noqa: BLE001 - fall back row by row to isolate failures
                 for i, t in enumerate(texts):
                     try:
-                        answers[i] = str(list(scorer([t]))[0])
+                        answers[i] = str(list(score([t]))[0])
                     except Exception as e:  # noqa: BLE001
                         errors[i] = f"{type(e).__name__}: {e}"
             yield pd.DataFrame({id_col: pdf[id_col], out: answers, "error": errors})
@@ -81,15 +90,16 @@ def extract_score(c, low: int = 1, high: int = 7) -> Column:
 
 def run_rating(
     transcripts: DataFrame,
-    scorer: Callable[[list[str]], list[str]],
+    scorer: Callable[[list[str]], list[str]] | None = None,
     id_col: str = "id",
     text_col: str = "transcript",
     prefix: str | None = None,
     valid_only: bool = False,
+    scorer_factory=None,
 ) -> DataFrame:
     """K4: prompt -> score -> extract: ``(id, predicted_score, analysis, error)``."""
     prompts = build_prompt(transcripts, text_col, prefix)
-    scored = score_text(prompts, id_col, "prompt", scorer)
+    scored = score_text(prompts, id_col, "prompt", scorer, scorer_factory=scorer_factory)
     out = scored.withColumn("predicted_score", F.when(F.col("error").isNull(), extract_score("analysis")))
     out = out.select(id_col, "predicted_score", "analysis", "error")
     return out.where(F.col("error").isNull()) if valid_only else out

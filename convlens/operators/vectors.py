@@ -54,25 +54,31 @@ def embed_with(
     df: DataFrame,
     id_col: str,
     chunk_col: str,
-    embedder: Callable,
+    embedder: Callable | None,
     dim: int,
+    embedder_factory: Callable[[], Callable] | None = None,
 ) -> DataFrame:
     """E1 plug point: ``embedder(list[str]) -> sequence of float vectors`` on chunk rows.
 
     ``df`` has one row per (id, chunk); blank chunks get the zero vector.
     Output ``(id, chunk ..., embedding ARRAY<DOUBLE>)`` keeps the input columns.
+    ``embedder_factory`` (instead of ``embedder``) is called once per task, so
+    a model loads once per partition and serves all its Arrow batches.
     """
+    if (embedder is None) == (embedder_factory is None):
+        raise ValueError("pass exactly one of embedder / embedder_factory")
     schema = TY.StructType(list(df.schema.fields) + [TY.StructField("embedding", TY.ArrayType(TY.DoubleType()))])
 
     def run(batches):
         import numpy as np
 
+        model = embedder if embedder is not None else embedder_factory()
         for pdf in batches:
             texts = pdf[chunk_col].fillna("").astype(str).tolist()
             keep = [i for i, t in enumerate(texts) if t.strip()]
             out = [[0.0] * dim for _ in texts]
             if keep:
-                vecs = np.asarray(embedder([texts[i] for i in keep]), dtype="float64")
+                vecs = np.asarray(model([texts[i] for i in keep]), dtype="float64")
                 for j, i in enumerate(keep):
                     out[i] = vecs[j].tolist()
             pdf = pdf.copy()
@@ -82,7 +88,16 @@ def embed_with(
     return df.mapInPandas(run, schema)
 
 
-def embed_texts(df: DataFrame, id_col: str, text_col: str, embedder: Callable, dim: int, max_length: int = 128, token_count=None) -> DataFrame:
+def embed_texts(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    embedder: Callable | None,
+    dim: int,
+    max_length: int = 128,
+    token_count=None,
+    embedder_factory: Callable | None = None,
+) -> DataFrame:
     """E1 end to end with a plugged model: ``(id, embedding)`` for every row.
 
     A text longer than ``max_length - 2`` tokens is packed into sentence chunks
@@ -94,7 +109,7 @@ def embed_texts(df: DataFrame, id_col: str, text_col: str, embedder: Callable, d
 
     chunks = chunk_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", max_length, token_count)
     rows = chunks.select("id", F.explode("chunks").alias("chunk"))
-    pooled = mean_pool(embed_with(rows, "id", "chunk", embedder, dim), ["id"], "embedding", "embedding")
+    pooled = mean_pool(embed_with(rows, "id", "chunk", embedder, dim, embedder_factory), ["id"], "embedding", "embedding")
     return df.select(F.col(id_col).alias("id")).join(pooled, "id", "left").select(
         "id", F.coalesce(F.col("embedding"), V.zeros(dim)).alias("embedding")
     )

@@ -261,3 +261,18 @@ def test_embedder_plug_point_chunks_and_mean_pools(spark):
     assert 3 not in pooled  # an empty text has no chunk ...
     full = {r["id"]: r["embedding"] for r in VO.embed_texts(df, "id", "text", embed, 3).collect()}
     assert full[3] == [0.0, 0.0, 0.0] and np.allclose(full[1], pooled[1])  # ... and gets the zero vector
+
+
+def test_scorer_factory_called_once_per_task(spark):
+    import os
+
+    calls_dir = __import__("tempfile").mkdtemp(prefix="convlens-calls-")
+
+    def factory():
+        open(os.path.join(calls_dir, f"{os.getpid()}-{id(object())}"), "w").close()
+        return lambda texts: ["3. fine" for _ in texts]
+
+    df = spark.createDataFrame([(str(i), "t") for i in range(200)], "id string, transcript string").repartition(4)
+    rows = K.run_rating(df, scorer_factory=factory).collect()
+    assert len(rows) == 200 and all(r["predicted_score"] == 3 for r in rows)
+    assert 1 <= len(os.listdir(calls_dir)) <= 4

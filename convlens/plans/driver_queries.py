@@ -15,7 +15,7 @@ from convlens.plans import (  # noqa: F401  (importing registers the queries)
     q_transcripts,
     q_vectors,
 )
-from convlens.plans.registry import ORACLES, QUERIES
+from convlens.plans.registry import ORACLES, QUERIES, rounded_oracles
 
 
 def flagship(spark, sf_dir):
@@ -23,4 +23,4 @@ def flagship(spark, sf_dir):
     return q_features.feature_table(spark, sf_dir)
 
 
-__all__ = ["QUERIES", "ORACLES", "flagship"]
+__all__ = ["QUERIES", "ORACLES", "flagship", "rounded_oracles"]

@@ -10,13 +10,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Doubles leave both engines rounded to 6 places with the same IEEE
+# operations, floor(x * 1e6 + 0.5) / 1e6, so aggregation order (which differs
+# between engines) cannot change a compared value; the result is unchanged by
+# a further round(x, 6).
+ROUND_SCALE = 1e6
+
+
+def round_doubles(df: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as TY
+
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (TY.DoubleType, TY.FloatType)):
+            v = F.col(f"`{f.name}`").cast("double")
+            cols.append((F.floor(v * F.lit(ROUND_SCALE) + F.lit(0.5)) / F.lit(ROUND_SCALE)).alias(f.name))
+        else:
+            cols.append(F.col(f"`{f.name}`"))
+    return df.select(*cols)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its DuckDB SQL."""
 
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark, sf_dir, _fn=fn):
+            return round_doubles(_fn(spark, sf_dir))
+
+        run.__name__ = getattr(fn, "__name__", name)
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn
@@ -24,6 +51,41 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_ROUNDED_SQL: dict[str, str] = {}
+
+
+def rounded_oracles(probe_dir: str = "/root/testdata/sf0.001") -> dict[str, str]:
+    """Oracle SQL with double columns rounded like ``round_doubles``.
+
+    The double columns of each statement are found with a zero-row DuckDB
+    probe over the smallest tables (in-process, no server); without DuckDB or
+    the probe tables the SQL is returned unchanged.
+    """
+    if len(_ROUNDED_SQL) == len(ORACLES):
+        return dict(_ROUNDED_SQL)
+    try:
+        import duckdb
+
+        con = duckdb.connect()
+        tables = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+        for t in tables.split():
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{probe_dir}/{t}.parquet')")
+    except Exception:  # noqa: BLE001 - no probe possible: plain SQL
+        return dict(ORACLES)
+    for name, sql in ORACLES.items():
+        try:
+            desc = con.execute(f"SELECT * FROM ({sql}) AS _q LIMIT 0").description
+            dbl = [d[0] for d in desc if str(d[1]).upper() in ("DOUBLE", "FLOAT")]
+        except Exception:  # noqa: BLE001
+            dbl = []
+        if dbl:
+            rep = ", ".join(f'floor("{c}" * {ROUND_SCALE:.0f} + 0.5) / {ROUND_SCALE:.0f} AS "{c}"' for c in dbl)
+            _ROUNDED_SQL[name] = f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
+        else:
+            _ROUNDED_SQL[name] = sql
+    return dict(_ROUNDED_SQL)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; small single-row-group inputs are spread over all cores."""
     from convlens.sources.readers import spread_small

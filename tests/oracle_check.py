@@ -18,13 +18,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"  # compare raw values, no rounding
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        r = round(v, 6)
+        r = v if EXACT else round(v, 6)
         return 0.0 if r == 0 else r
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)

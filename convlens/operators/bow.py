@@ -8,34 +8,17 @@ documents map-side before the shuffle.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlens.functions import text as T
 from convlens.functions.common import md5_hex8
+from convlens.functions.stopwords import ENGLISH
 
-# Lists up to this size are applied as an IN-set filter (hash set inside the
-# generated code); larger lists become a shuffle anti-join.
-MAX_INLINE_LIST = 10_000
-
-
-@functools.lru_cache(maxsize=None)
-def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark MLlib's bundled stop-word list, read from the MLlib jar (no JVM needed)."""
-    import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                return tuple(w for w in z.read(name).decode("utf-8").split("\n") if w.strip())
-    raise FileNotFoundError(f"no bundled stop words for {language}")
+def default_stop_words() -> tuple[str, ...]:
+    """The package's fixed English list; nothing is looked up outside the package."""
+    return ENGLISH
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = T.TOKEN_PATTERN) -> DataFrame:
@@ -44,12 +27,9 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = T.TOKEN_P
 
 
 def remove_stop_words(tokens: DataFrame, stop_words=None, term_col: str = "term") -> DataFrame:
-    """Drop stop words (default: Spark's English list)."""
+    """Drop stop words (default: Spark's English list); one anti join for a list of any size."""
     words = list(stop_words if stop_words is not None else default_stop_words())
-    if len(words) <= MAX_INLINE_LIST:
-        return tokens.where(~F.col(term_col).isin(words))
-    spark = tokens.sparkSession
-    stop = spark.createDataFrame([(w,) for w in words], f"{term_col} string")
+    stop = tokens.sparkSession.createDataFrame([(w,) for w in words], f"{term_col} string")
     return tokens.join(stop, term_col, "left_anti")
 
 

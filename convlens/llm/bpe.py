@@ -26,6 +26,8 @@ import hashlib
 
 import numpy as np
 
+from convlens.llm.arrow import prepare, slices
+
 NONE = np.int32(2**31 - 1)
 LONG = 256
 CACHE = 300_000  # pieces kept per Python worker
@@ -240,22 +242,14 @@ def load_tiktoken(path: str, pattern: str) -> Bpe:
     return Bpe(ranks, pattern)
 
 
-def slices(lengths: np.ndarray, most: int):
-    """Row ranges of at most ``most`` characters, one row at least."""
-    total, a = np.cumsum(lengths), 0
-    while a < len(lengths):
-        base = total[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(total, base + most, "right")))
-        yield a, b
-        a = b
-
-
 def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False):
     """One row per document: ``id, n_tokens, ids_sha256, decoded_sha256`` (of the ids as little-endian 32 bits and of
     the bytes they decode to), and with ``ids`` the ids themselves as ``array<int>``.  A map without shuffle."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
+    prepare(docs.sparkSession)
+
     def run(batches):
         bpe = load_tiktoken(path, pattern)
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, exact_dedup, mixing
+from convlens.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from convlens.llm.registry import register
 
 
@@ -70,3 +70,19 @@ SELECT doc_id, size, total AS source_size, target,
 FROM ordered
 """,
 )
+
+
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_copies(_table(spark, sf_dir, "documents"))
+
+
+register("op3_jaccard_join", op3_jaccard_join)
+
+
+def op10_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), quality.rating())
+    return quality.score(docs, model)
+
+
+register("op10_quality", op10_quality)

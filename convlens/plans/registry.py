@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from convlens.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,6 +41,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark, sf_dir, _fn=fn):
+            ship_package(spark)
             return round_doubles(_fn(spark, sf_dir))
 
         run.__name__ = getattr(fn, "__name__", name)

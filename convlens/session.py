@@ -1,9 +1,7 @@
 """Session helpers.
 
-The library never creates its own cluster settings except where a value is
-unset (tests, local runs).  ``spark.checkpoint.dir`` is read from the session;
-only when it is missing do we fall back to a scratch folder, which is what a
-local test wants and what a cluster must never rely on.
+The library sets nothing on a cluster.  ``spark.checkpoint.dir`` is read from the
+session; only a local run may leave it unset.
 """
 
 from __future__ import annotations
@@ -11,9 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Filled in only where the configuration leaves them unset.
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
@@ -28,14 +28,26 @@ _LOCAL_DEFAULTS = {
 
 
 def get_spark(master: str | None = None, app: str = "convlens", **conf: str) -> SparkSession:
-    """Return the active session, or build a local one with sane defaults."""
+    """Return the active session, or build one.
+
+    Values given here win; the defaults are those of a local run, and are set
+    only for a local master and only where the configuration (spark-submit,
+    spark-defaults) says nothing.
+    """
     active = SparkSession.getActiveSession()
     if active is not None and master is None and not conf:
         return active
+    from pyspark import SparkConf
+
+    given = SparkConf()
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**_LOCAL_DEFAULTS, **conf}.items():
+    if (master or given.get("spark.master", "local")).startswith("local"):
+        for k, v in _LOCAL_DEFAULTS.items():
+            if not given.contains(k):
+                builder = builder.config(k, v)
+    for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,11 +56,12 @@ def get_spark(master: str | None = None, app: str = "convlens", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
+    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (a local test) do we create one under the
-    system temp folder and register it, so that ``DataFrame.checkpoint()``
-    works.  Jobs cut lineage with reliable checkpoints, never local ones.
+    Where it is unset, a local master gets a folder under the system's
+    temporary one; any other master is an error, since executors would write
+    to their own disks.  Jobs cut lineage with written tables, never with
+    local checkpoints.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -59,11 +72,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="convlens-ckpt-")
     sc.setCheckpointDir(local)
     return local
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that tasks import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="convlens-code-"), "convlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("convlens", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and
     read it back: the plan is computed once (``DataFrame.checkpoint`` computes

@@ -113,7 +113,8 @@ DEFAULT_FILLERS = [
 
 
 def filler_regex(name: str, pattern: str | None) -> str:
-    return pattern if pattern is not None else r"\b" + _regex_quote(name) + r"\b"
+    # (?U): word borders are Unicode ones whatever the Java version's default
+    return "(?U)" + (pattern if pattern is not None else r"\b" + _regex_quote(name) + r"\b")
 
 
 def filler_table(fillers=None) -> list[tuple[str, str]]:

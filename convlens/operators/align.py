@@ -46,11 +46,11 @@ def sort_by(df: DataFrame, *cols) -> DataFrame:
 
 
 def digits_of(c) -> Column:
-    """G6 expression: keep the digits of an id and read them as an int (null when none).
+    """G6 expression: keep the digits of an id and read them as a bigint (null when none).
 
     Merges id families such as ``p5`` and ``pp5``; never the default join key.
     """
-    return F.nullif(F.regexp_replace(as_col(c), r"\D", ""), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_replace(as_col(c), r"\D", ""), F.lit("")).try_cast("bigint")
 
 
 def cleanse_id_column(df: DataFrame, col: str = "id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Bag of words (inventory C), kept in long form ``(id, term, n)``.
 
 The vocabulary decides a wide schema only in ``wide_counts``, and only for an
-explicit, capped term list.  Every aggregation here is decomposable (counts
+explicit term list.  Every aggregation here is decomposable (counts
 and sums), so Spark's partial aggregation combines hot terms and hot
 documents map-side before the shuffle.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from convlens.functions import text as T
 from convlens.functions.common import md5_hex8
 from convlens.functions.stopwords import ENGLISH
+from convlens.session import cut_lineage
 
 
 def default_stop_words() -> tuple[str, ...]:
@@ -61,26 +62,36 @@ def count_vectors(
 ) -> tuple[DataFrame, DataFrame]:
     """C4: document-term counts over the pruned vocabulary.
 
-    Returns ``(counts (id, term, n), vocabulary (term, df))``.  The document
-    count is a one-row aggregate joined as a scalar.
+    Returns ``(counts (id, term, n), vocabulary (term, df))``.  Texts are read
+    and tokenised once: the combined counts are written to the shared folder,
+    and document frequencies and the pruned counts both come from there.
     """
-    toks = remove_stop_words(tokenize(docs, id_col, text_col), stop_words)
-    counts = term_counts(toks)
+    counts = cut_lineage(term_counts(remove_stop_words(tokenize(docs, id_col, text_col), stop_words)))
     n_docs = docs.agg(F.count("*")).scalar()  # scalar subquery, no join
-    df = counts.groupBy("term").agg(F.count("n").cast("bigint").alias("df"))
-    lo = F.lit(min_df) if isinstance(min_df, int) else F.lit(min_df) * n_docs
-    hi = F.lit(max_df) if isinstance(max_df, int) else F.lit(max_df) * n_docs
-    vocab = df.where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term", "df")
-    kept = counts.join(vocab.select("term"), "term", "left_semi")
-    return kept.select("id", "term", "n"), vocab
-
-
-def wide_counts(counts: DataFrame, terms: list[str], id_name: str = "document_id") -> DataFrame:
-    """One column per term of an explicit (capped) list, 0 where absent."""
-    if len(terms) > 1000:
-        raise ValueError("wide_counts needs an explicit vocabulary of at most 1000 terms")
-    wide = counts.where(F.col("term").isin(terms)).groupBy("id").pivot("term", terms).agg(F.sum("n"))
-    return wide.fillna(0, subset=terms).withColumnRenamed("id", id_name)
+    vocab = vocabulary(counts, n_docs, min_df, max_df)
+    return prune(counts, vocab), vocab
+
+
+def prune(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Combined counts of the vocabulary's terms (not raw tokens, so a frequent term has one row per document)."""
+    return counts.join(vocab.select("term"), "term", "left_semi").select("id", "term", "n")
+
+
+WIDE_GROUP = 200
+
+
+def wide_counts(counts: DataFrame, terms: list[str], docs: DataFrame, id_col: str, id_name: str = "document_id") -> DataFrame:
+    """One row per document and one column per listed term, 0 where absent.
+
+    Terms are widened in groups of columns that are joined by id, so the list
+    may be of any length.
+    """
+    out = docs.select(F.col(id_col).alias("id"))
+    for k in range(0, len(terms), WIDE_GROUP):
+        part = terms[k : k + WIDE_GROUP]
+        wide = counts.where(F.col("term").isin(part)).groupBy("id").pivot("term", part).agg(F.sum("n"))
+        out = out.join(wide, "id", "left")
+    return out.fillna(0, subset=terms).withColumnRenamed("id", id_name)
 
 
 def doc_lengths(counts: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:

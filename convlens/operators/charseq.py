@@ -12,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlens.operators.sequence import exclusive_prefix_sum
-
-MAX_GATHER_CHARS = 50_000_000
+from convlens.operators.sequence import running_sum
 
 
 def chars(c):
@@ -22,24 +20,23 @@ def chars(c):
     return F.split(c, "", -1)
 
 
-def char_offsets(df: DataFrame, id_col: str, text_col: str, sep: str = " ", bucket_size: int = 4096) -> DataFrame:
-    """L1, distributed: ``(id, offset, length)``, the position of each text in
-    the ``sep``-joined corpus ordered by ``id`` (numeric)."""
+def char_offsets(df: DataFrame, id_col: str, text_col: str, sep: str = " ") -> DataFrame:
+    """L1: ``(id, offset, length)``, the position of each text in the
+    ``sep``-joined corpus ordered by ``id`` (of any type)."""
     d = df.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("length"))
     d = d.withColumn("__w", F.col("length") + F.lit(len(sep)))
-    return exclusive_prefix_sum(d, [], ["id"], "__w", "offset", bucket_size).select("id", "offset", "length")
-
-
-def concat_texts(df: DataFrame, id_col: str, text_col: str, sep: str = " ", max_chars: int = MAX_GATHER_CHARS) -> DataFrame:
-    """L1 as one string (only for corpora under ``max_chars``; checked first)."""
-    total = df.agg(F.sum(F.length(text_col) + len(sep))).first()[0] or 0
-    if total > max_chars:
-        raise ValueError(f"corpus has {total} characters; use char_offsets / per-text windows instead")
-    return df.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col), F.col(text_col)))), lambda s: s[text_col]), sep).alias(
-            "text"
-        )
-    )
+    return running_sum(d, ["id"], "__w", "offset").select("id", "offset", "length")
+
+
+def joined_texts(df: DataFrame, id_col: str, text_col: str, sep: str = " ") -> DataFrame:
+    """L1: the ``sep``-joined corpus as a table ``(id, offset, text)`` in its order.
+
+    The corpus is never one string: writing the texts in the order of their
+    offsets with ``sep`` between them gives it.
+    """
+    d = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = d.withColumn("__w", (F.length("text") + F.lit(len(sep))).cast("bigint"))
+    return running_sum(d, ["id"], "__w", "offset").select("id", "offset", "text")
 
 
 def char_vocabulary(df: DataFrame, text_col: str, extra: str = "") -> DataFrame:

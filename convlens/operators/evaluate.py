@@ -73,14 +73,16 @@ def evaluate_predictions(
     ``rows`` adds ``predicted_score_norm, actual_score_norm, score_diff,
     rel_error``; ``metrics`` is one row with normalised and original MAE, RMSE,
     Pearson r / p, mean relative error, ranges and the dropped-row count.
-    ``valid_only`` drops predictions of -1 ("no score") first.
+    ``valid_only`` drops predictions of -1 ("no score") and null ones first;
+    ``dropped_invalid`` counts both.
     """
     s = scores.withColumnRenamed(score_key, key) if score_key in scores.columns else scores
     s = rename_first_numeric(s, "actual_score", exclude=(key,)).select(key, "actual_score")
     p = predictions
-    dropped = p.agg(F.sum(F.when(F.col(pred_col) == -1, 1).otherwise(0))).scalar()
+    missing = F.col(pred_col).isNull() | (F.col(pred_col) == -1)
+    dropped = p.agg(F.coalesce(F.sum(F.when(missing, 1).otherwise(0)), F.lit(0))).scalar()
     if valid_only:
-        p = p.where(F.col(pred_col) != -1)
+        p = p.where(~missing)
     merged = p.join(s, key, "inner")
     mm = merged.agg(
         F.struct(
@@ -89,7 +91,8 @@ def evaluate_predictions(
     ).scalar()  # one scalar subquery holding the four ranges
 
     def scale(c, lo, hi):
-        return F.coalesce(F.try_divide(F.col(c).cast("double") - mm[lo], F.nullif(mm[hi] - mm[lo], F.lit(0))), F.lit(0.0))
+        scaled = F.coalesce(F.try_divide(F.col(c).cast("double") - mm[lo], F.nullif(mm[hi] - mm[lo], F.lit(0))), F.lit(0.0))
+        return F.when(F.col(c).isNotNull(), scaled)  # a missing value stays missing and enters no mean
 
     rows = (
         merged.withColumn("predicted_score_norm", scale(pred_col, "pmin", "pmax"))

@@ -22,6 +22,7 @@ bounded samples chosen by hash order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from convlens.functions.common import md5_hex8
 from convlens.session import cut_lineage
 
-MAX_ATTRIBUTION_ROWS = 50_000_000
+DEALS = 16  # explained rows meet every background row through an equi-join on a deal number
 
 
 # ---------------------------------------------------------------- I7-I9 additive model
@@ -53,7 +54,7 @@ def _bin_expr(f: str, a, b, bins: int):
     """Bin of feature ``f``; ``bins`` (the last slot) holds missing values."""
     if a == "quantile":
         # number of cut points <= x (cuts are few and sorted; JVM-side fold)
-        cuts = F.array(*[F.lit(float(c)) for c in b]) if b else F.array().cast("array<double>")
+        cuts = F.from_json(F.lit(json.dumps(b)), "array<double>")
         x = F.col(f).cast("double")
         raw = F.aggregate(cuts, F.lit(0), lambda acc, c: acc + F.when(x >= c, 1).otherwise(0))
         return F.when(F.col(f).isNull(), F.lit(bins)).otherwise(raw)
@@ -71,9 +72,17 @@ def binned(df: DataFrame, features: list[str], edges: dict, label: str | None =
     return df.select(*(keep or []), *cols)
 
 
-def _lookup(scores: list[list[float]]):
-    """Sum over features of ``scores[f][bins[f]]`` from literal arrays (row-local)."""
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in scores])
+def _table(scores):
+    """Nested lists of scores as one folded literal."""
+    depth = 0
+    x = scores
+    while isinstance(x, list):
+        depth, x = depth + 1, x[0] if x else None
+    return F.from_json(F.lit(json.dumps(scores)), "array<" * depth + "double" + ">" * depth)
+
+
+def _score(table):
+    """Sum over features of ``table[f][bins[f]]`` (row-local)."""
     return F.aggregate(
         F.zip_with(F.col("bins"), F.sequence(F.lit(1), F.size("bins")), lambda b, i: F.element_at(F.element_at(table, i), b + 1)),
         F.lit(0.0),
@@ -81,6 +90,10 @@ def _lookup(scores: list[list[float]]):
     )
 
 
+def _lookup(scores: list[list[float]]):
+    return _score(_table(scores))
+
+
 class AdditiveModel:
     """Fitted binned additive model (I7) with optional pair terms (I8)."""
 
@@ -139,7 +152,7 @@ def fit_additive(
     max_bins: int = 256,
     passes: int = 50,
     learning_rate: float | None = None,
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 2,
     interactions: int = 0,
     interaction_bins: int = 16,
     edges: dict | None = None,
@@ -152,41 +165,56 @@ def fit_additive(
     (equal width) or ``quantile`` (approximate quantile cut points).
     """
     d = len(features)
-    lr = learning_rate if learning_rate is not None else 1.0 / d
     edges = edges or bin_edges(df, features, max_bins, binning)
-    data = binned(df, features, edges, label).where(F.col("y").isNotNull()).cache()
-    intercept = float(data.agg(F.avg("y")).first()[0])
-    scores = [[0.0] * (max_bins + 1) for _ in features]
-    counts = [[0] * (max_bins + 1) for _ in features]
-    cur = data.withColumn("r", F.col("y") - F.lit(intercept))
+    data = binned(df, features, edges, label).where(F.col("y").isNotNull()).withColumn("m", F.array(F.lit(1)))
+    models, cur = _fit_bags(data, features, edges, 1, max_bins, passes, learning_rate, checkpoint_every)
+    if interactions > 0 and d >= 2:
+        left = cut_lineage(cur.select("bins", F.col("r")[0].alias("r")))
+        models[0].pairs = _fit_pairs(left, features, edges, interactions, interaction_bins)
+    return models[0]
+
+
+def _fit_bags(data: DataFrame, features, edges, bags: int, max_bins: int, passes: int, learning_rate, checkpoint_every: int):
+    """One model per bag over rows ``bins, y, m`` (``m``: array of 0/1 memberships), all bags in one grouped
+    aggregation a pass.  Returns the models and the rows with their residuals ``r`` (array by bag)."""
+    d = len(features)
+    lr = learning_rate if learning_rate is not None else 1.0 / d
+    means = data.agg(*[F.try_divide(F.sum(F.col("m")[k] * F.col("y")), F.sum(F.col("m")[k])).alias(f"c{k}") for k in range(bags)]).first()
+    intercepts = [float(means[k] or 0.0) for k in range(bags)]
+    scores = [[[0.0] * (max_bins + 1) for _ in features] for _ in range(bags)]
+    counts = [[[0] * (max_bins + 1) for _ in features] for _ in range(bags)]
+    cur = data.withColumn("r", F.transform(_table(intercepts), lambda c: F.col("y") - c))
+    if passes > 1 and checkpoint_every:
+        cur = cut_lineage(cur)
     for p in range(passes):
         stats = (
-            cur.select(F.posexplode("bins").alias("f", "b"), "r")
+            cur.select(F.posexplode("bins").alias("f", "b"), "m", "r")
             .groupBy("f", "b")
-            .agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+            .agg(*[x for k in range(bags) for x in (F.sum(F.col("m")[k] * F.col("r")[k]).alias(f"s{k}"), F.sum(F.col("m")[k]).alias(f"n{k}"))])
             .collect()  # bounded: features x (bins + 1) rows
         )
-        delta = [[0.0] * (max_bins + 1) for _ in features]
+        delta = [[[0.0] * (max_bins + 1) for _ in features] for _ in range(bags)]
         for row in stats:
-            f, b, n = row["f"], row["b"], row["n"]
-            delta[f][b] = lr * row["s"] / n
-            counts[f][b] = n
-        for f in range(d):
-            for b in range(max_bins + 1):
-                scores[f][b] += delta[f][b]
-        cur = cur.withColumn("r", F.col("r") - _lookup(delta))
-        if checkpoint_every and (p + 1) % checkpoint_every == 0:
+            f, b = row["f"], row["b"]
+            for k in range(bags):
+                if row[f"n{k}"]:
+                    delta[k][f][b] = lr * row[f"s{k}"] / row[f"n{k}"]
+                    scores[k][f][b] += delta[k][f][b]
+                    counts[k][f][b] = row[f"n{k}"]
+        moved = F.zip_with(F.col("r"), _table(delta), lambda r, t: r - _score(t))
+        cur = cur.withColumn("r", moved)
+        if checkpoint_every and (p + 1) % checkpoint_every == 0 and p + 1 < passes:
             cur = cut_lineage(cur)
-    # centre each term (row-weighted) and move its mean into the intercept
-    for f in range(d):
-        tot = sum(counts[f])
-        mean = sum(s * c for s, c in zip(scores[f], counts[f])) / tot if tot else 0.0
-        scores[f] = [s - mean for s in scores[f]]
-        intercept += mean
-    model = AdditiveModel(features, edges, intercept, scores, counts)
-    if interactions > 0 and d >= 2:
-        model.pairs = _fit_pairs(cur, features, edges, interactions, interaction_bins)
-    return model
+    models = []
+    for k in range(bags):
+        # centre each term (row-weighted) and move its mean into the intercept
+        for f in range(d):
+            tot = sum(counts[k][f])
+            mean = sum(s * c for s, c in zip(scores[k][f], counts[k][f])) / tot if tot else 0.0
+            scores[k][f] = [s - mean for s in scores[k][f]]
+            intercepts[k] += mean
+        models.append(AdditiveModel(features, edges, intercepts[k], scores[k], counts[k]))
+    return models, cur
 
 
 def fit_additive_bagged(
@@ -197,36 +225,50 @@ def fit_additive_bagged(
     bags: int = 8,
     bag_fraction: float = 0.85,
     seed: int = 42,
-    **kw,
+    max_bins: int = 256,
+    passes: int = 50,
+    learning_rate: float | None = None,
+    checkpoint_every: int = 2,
+    binning: str = "uniform",
 ) -> AdditiveModel:
-    """I7 with outer bags: fit on ``bags`` hash subsamples of the rows (each a
-    deterministic ``bag_fraction`` by md5 of seed, bag and key) and average
-    the intercepts and score tables.  Bin edges are shared (fitted on all rows).
+    """I7 with outer bags: ``bags`` hash subsamples of the rows (each a
+    deterministic ``bag_fraction`` by md5 of seed, bag and key), fitted
+    together, with intercepts and score tables averaged.  Bin edges are shared
+    (fitted on all rows).
     """
-    max_bins = kw.pop("max_bins", 256)
-    edges = bin_edges(df, features, max_bins, kw.pop("binning", "uniform"))
+    edges = bin_edges(df, features, max_bins, binning)
     threshold = "%08x" % min(int(bag_fraction * 2**32), 2**32 - 1)
-    models = []
-    for b in range(bags):
-        sub = df.where(md5_hex8(key, f"{seed}:{b}") < F.lit(threshold))
-        models.append(fit_additive(sub, features, label, max_bins=max_bins, edges=edges, **kw))
-    k = len(models)
-    scores = [[sum(m.scores[f][i] for m in models) / k for i in range(max_bins + 1)] for f in range(len(features))]
-    counts = [[sum(m.counts[f][i] for m in models) for i in range(max_bins + 1)] for f in range(len(features))]
-    intercept = sum(m.intercept for m in models) / k
-    return AdditiveModel(features, edges, intercept, scores, counts)
+    inside = F.array(*[(md5_hex8(key, f"{seed}:{b}") < F.lit(threshold)).cast("int") for b in range(bags)])
+    data = binned(df.withColumn("m", inside), features, edges, label, keep=["m"]).where(F.col("y").isNotNull())
+    models, _ = _fit_bags(data, features, edges, bags, max_bins, passes, learning_rate, checkpoint_every)
+    scores = [[sum(m.scores[f][i] for m in models) / bags for i in range(max_bins + 1)] for f in range(len(features))]
+    # rows of a bin as in one bag, not summed over the overlapping bags
+    counts = [[round(sum(m.counts[f][i] for m in models) / bags) for i in range(max_bins + 1)] for f in range(len(features))]
+    return AdditiveModel(features, edges, sum(m.intercept for m in models) / bags, scores, counts)
 
 
-def _fit_pairs(cur: DataFrame, features, edges, top: int, coarse: int):
+PAIR_ROUNDS = 4
+PAIR_RATE = 0.5
+PAIR_SHRINK = 5.0  # rows added to a cell's count, so that thin cells move little
+
+
+def _pair_cell(i: int, j: int, features, edges, coarse: int):
+    """Coarse cell of a pair of features as one number."""
+    bi = F.floor(F.col("bins")[i] * coarse / edges[features[i]][2]).cast("int")
+    bj = F.floor(F.col("bins")[j] * coarse / edges[features[j]][2]).cast("int")
+    return bi * 1000 + bj
+
+
+def _fit_pairs(cur: DataFrame, features, edges, top: int, coarse: int, rounds: int = PAIR_ROUNDS, rate: float = PAIR_RATE, shrink: float = PAIR_SHRINK):
     """I8: rank feature pairs by the residual variance their coarse cell means
-    explain and keep ``top`` pairs, each fitted as its cell means (one pass)."""
+    explain and keep ``top`` pairs, fitted one after another.
+
+    Every step moves one pair's cells towards the mean of what all earlier
+    steps left over, at most the whole way, so the training error never rises.
+    """
     d = len(features)
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
-    cells = []
-    for i, j in pairs:
-        bi = F.floor(F.col("bins")[i] * coarse / edges[features[i]][2]).cast("int")
-        bj = F.floor(F.col("bins")[j] * coarse / edges[features[j]][2]).cast("int")
-        cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (bi * 1000 + bj).alias("c")))
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), _pair_cell(i, j, features, edges, coarse).alias("c")) for i, j in pairs]
     stats = (
         cur.select(F.explode(F.array(*cells)).alias("e"), "r")
         .groupBy("e.i", "e.j", "e.c")
@@ -234,11 +276,20 @@ def _fit_pairs(cur: DataFrame, features, edges, top: int, coarse: int):
     )
     gain = stats.groupBy("i", "j").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("gain"))
     best = [(r["i"], r["j"]) for r in gain.orderBy(F.desc("gain"), "i", "j").limit(top).collect()]
-    chosen = stats.join(F.broadcast(cur.sparkSession.createDataFrame(best, "i int, j int")), ["i", "j"]).collect()
-    out = {}
-    for r in chosen:
-        out.setdefault((r["i"], r["j"]), {})[(r["c"] // 1000, r["c"] % 1000)] = r["s"] / r["n"]
-    return [(i, j, coarse, out.get((i, j), {})) for i, j in best]
+    tables: list[dict[int, float]] = [{} for _ in best]
+    for _ in range(rounds):
+        for k, (i, j) in enumerate(best):
+            cell = _pair_cell(i, j, features, edges, coarse)
+            # bounded: the cells of one pair
+            found = cur.groupBy(cell.alias("c")).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+            step = {r["c"]: rate * r["s"] / (r["n"] + shrink) for r in found}
+            for c, v in step.items():
+                tables[k][c] = tables[k].get(c, 0.0) + v
+            if step:
+                moved = F.create_map(*[x for c, v in step.items() for x in (F.lit(int(c)), F.lit(float(v)))])
+                cur = cur.withColumn("r", F.col("r") - F.coalesce(F.element_at(moved, cell), F.lit(0.0)))
+        cur = cut_lineage(cur)
+    return [(i, j, coarse, {(c // 1000, c % 1000): v for c, v in t.items()}) for (i, j), t in zip(best, tables)]
 
 
 # ---------------------------------------------------------------- I10-I11 attributions
@@ -260,23 +311,21 @@ def permutation_attributions(
 
     ``predict`` maps a DataFrame with the feature columns to one with a
     ``prediction`` column (any Spark ML model's ``transform`` or an
-    expression).  Both inputs must be bounded samples; their product is checked.
+    expression).  Both sets are the caller's; every explained row meets every
+    background row, so their product is the work.
     """
     import random
 
     d = len(features)
-    n_x, n_z = explain.count(), background.count()
-    total = n_x * n_z * permutations * (d + 1)
-    if total > MAX_ATTRIBUTION_ROWS:
-        raise ValueError(f"{total} masked rows; sample fewer explained/background rows or permutations")
     rng = random.Random(seed)
     perms = [rng.sample(range(d), d) for _ in range(permutations)]
     perm_lit = F.array(*[F.array(*[F.lit(i) for i in perm]) for perm in perms])
-    bg = background.select(F.array(*[F.col(f).cast("double") for f in features]).alias("z"))
-    zs = bg.agg(F.collect_list("z")).scalar()  # the bounded background set as one value
+    bg = cut_lineage(background.select(F.array(*[F.col(f).cast("double") for f in features]).alias("z")))
+    bg = bg.withColumn("zid", F.monotonically_increasing_id()).withColumn("deal", F.pmod(F.col("zid"), F.lit(DEALS)))
     x = explain.select(F.col(id_col).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     rows = (
-        x.select("id", "x", F.posexplode(zs).alias("zid", "z"))
+        x.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+        .join(bg, "deal")
         .select("id", "x", "zid", "z", F.posexplode(perm_lit).alias("perm", "order"))
         .select("id", "x", "zid", "z", "perm", "order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("k"))
     )

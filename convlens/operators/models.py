@@ -28,6 +28,14 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="skip").transform(df)
 
 
+def incomplete(df: DataFrame, features: list[str]) -> DataFrame:
+    """Number of rows that ``assemble`` leaves out, because a feature is null or NaN."""
+    missing = F.lit(False)
+    for f in features:
+        missing = missing | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    return df.agg(F.count(F.when(missing, 1)).alias("n_dropped"))
+
+
 def fold_column(key, k: int, seed: int = 42):
     """Deterministic fold id in [0, k) from md5 of the key."""
     return (F.conv(md5_hex8(key, f"fold{seed}"), 16, 10).cast("bigint") % F.lit(k)).cast("int")
@@ -176,10 +184,11 @@ def cv_score(df: DataFrame, features: list[str], label: str, estimator, folds: i
 
 
 def predict_evaluate(model, df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """``(n, r, mae)`` of a fitted model on ``df`` in one aggregation."""
+    """``(n, n_dropped, r, mae)`` of a fitted model on ``df``; rows with a null feature have no prediction and are counted."""
     pred = model.transform(_prep(df, features, label))
     return pred.agg(
         F.count(F.lit(1)).alias("n"),
+        incomplete(df, features).scalar().alias("n_dropped"),
         safe_corr("prediction", "label").alias("r"),
         F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"),
     )

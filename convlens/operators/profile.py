@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions.stats import safe_intercept, safe_slope
-from convlens.operators.sequence import global_rank
+from convlens.operators.sequence import global_rank, running_sum
 
 PROFILE_METRICS = ["similarity", "interviewer_length", "interviewee_length", "ratio"]
 
@@ -50,28 +50,35 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float], by: list[str] |
     """Exact percentiles with linear interpolation, ``(by..., q, value)``.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one
-    buffer; here the values are ranked by a distributed sort over
-    ``(by, value)`` (``global_rank``), each group's size and first rank come
-    from one aggregation, and only the two rows around each requested
-    position are fetched.  No group is gathered into one task.
+    buffer; here equal values are counted first (a frequent value is combined
+    map-side), the counts are summed in the order of ``(by, value)`` by
+    ``running_sum``, and each requested position is the smallest value whose
+    running count passes it.  No group is gathered into one task.
     """
     by = list(by or [])
     vals = df.select(*by, F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    ranked = global_rank(vals, [*[F.col(b).asc_nulls_first() for b in by], F.col("__v").asc()], "__r")
-    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__r").alias("__start"))
-    pos = (
-        groups.select(*by, "__n", "__start", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-        .withColumn("__pos", F.col("q") * (F.col("__n") - 1))
-        .withColumn("__lo", F.col("__start") + F.floor("__pos").cast("bigint"))
-        .withColumn("__hi", F.col("__start") + F.ceil("__pos").cast("bigint"))
-        .withColumn("__frac", F.col("__pos") - F.floor("__pos"))
-    )
-    at = ranked.select("__r", "__v")
-    lo = at.select(F.col("__r").alias("__lo"), F.col("__v").alias("__vlo"))
-    hi = at.select(F.col("__r").alias("__hi"), F.col("__v").alias("__vhi"))
-    return pos.join(lo, "__lo").join(hi, "__hi").select(
-        *by, "q", (F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))).alias("value")
-    )
+    counted = vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    order = [*[F.col(b).asc_nulls_first() for b in by], F.col("__v").asc()]
+    placed = running_sum(counted, order, "__c", "__before")
+    sizes = placed.groupBy(*by).agg(F.sum("__c").alias("__n"), F.min("__before").alias("__start"))
+    if by:
+        d = placed.join(sizes.withColumnsRenamed({b: f"__g{k}" for k, b in enumerate(by)}), [F.col(b).eqNullSafe(F.col(f"__g{k}")) for k, b in enumerate(by)])
+    else:
+        one = sizes.select(F.struct("__n", "__start").alias("s")).scalar()  # scalar subquery
+        d = placed.withColumn("__n", one["__n"]).withColumn("__start", one["__start"])
+    upto = F.col("__before") - F.col("__start") + F.col("__c")
+    ends, out = [], []
+    for k, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        ends += [
+            F.min(F.when(upto > F.floor(pos), F.col("__v"))).alias(f"__lo{k}"),
+            F.min(F.when(upto > F.ceil(pos), F.col("__v"))).alias(f"__hi{k}"),
+        ]
+        frac = pos - F.floor(pos)
+        value = F.col(f"__lo{k}") + frac * (F.col(f"__hi{k}") - F.col(f"__lo{k}"))
+        out.append(F.struct(F.lit(float(q)).alias("q"), value.alias("value")))
+    found = d.groupBy(*by).agg(F.max("__n").alias("__n"), *ends)
+    return found.select(*by, F.explode(F.array(*out)).alias("__e")).select(*by, "__e.q", "__e.value")
 
 
 def percentile(df: DataFrame, col: str, q: float = 0.95, by: list[str] | None = None, exact: bool = True) -> DataFrame:

@@ -7,9 +7,8 @@ count a positive token as ``v + 1``, a negative one as ``v - 1`` and any other
 token as 1.  The lexicon is data supplied by the caller as a DataFrame
 ``(token, valence)``; none is shipped.
 
-Execution: tokens are exploded and joined to the lexicon (broadcast when the
-lexicon's checked row count is small, shuffle join otherwise), then summed per
-sentence.  Optional modifiers look back at most three tokens inside the same
+Execution: tokens are exploded and joined to the lexicon (Spark broadcasts it
+when its size in bytes allows), then summed per sentence.  Optional modifiers look back at most three tokens inside the same
 sentence through ``lag`` over a window partitioned by sentence.
 """
 
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 
 ALPHA = 15.0
 SENTIMENT_TOKEN = r"[\p{L}\p{N}_']+"
-MAX_BROADCAST_LEXICON = 2_000_000
 
 # Fixed values from the published rule set.
 NEGATION_SCALAR = -0.74
@@ -65,13 +63,6 @@ def lexicon_frame(spark, lexicon) -> DataFrame:
     return spark.createDataFrame(rows, "token string, valence double")
 
 
-def _lexicon_join_side(lex: DataFrame, known_small: bool) -> DataFrame:
-    if known_small:
-        return F.broadcast(lex)
-    n = lex.count()  # checked size before any broadcast hint
-    return F.broadcast(lex) if n <= MAX_BROADCAST_LEXICON else lex
-
-
 def score_sentences(
     sentences: DataFrame,
     lexicon,
@@ -89,12 +80,11 @@ def score_sentences(
     spark = sentences.sparkSession
     keys = list(keys)
     lex = lexicon_frame(spark, lexicon)
-    small = not isinstance(lexicon, DataFrame)
     toks = sentences.select(
         *keys,
         F.posexplode(F.regexp_extract_all(F.col(sentence_col), F.lit(SENTIMENT_TOKEN), 0)).alias("pos", "orig"),
     ).withColumn("token", F.lower("orig"))
-    scored = toks.join(_lexicon_join_side(lex, small), "token", "left").withColumn(
+    scored = toks.join(lex, "token", "left").withColumn(
         "v", F.coalesce(F.col("valence"), F.lit(0.0))
     )
     if modifiers:
@@ -147,13 +137,12 @@ def score_pieces(pieces: DataFrame, lexicon, keys=("id", "sentence_no"), piece_c
     spark = pieces.sparkSession
     keys = list(keys)
     lex = lexicon_frame(spark, lexicon)
-    small = not isinstance(lexicon, DataFrame)
     toks = pieces.select(
         *keys,
         (F.regexp_replace(F.col(piece_col), r"^\s+|\s+$", "") != F.lit("")).alias("nonblank"),
         F.explode_outer(F.regexp_extract_all(F.col(piece_col), F.lit(SENTIMENT_TOKEN), 0)).alias("orig"),
     ).withColumn("token", F.lower("orig"))
-    scored = toks.join(_lexicon_join_side(lex, small), "token", "left").withColumn(
+    scored = toks.join(lex, "token", "left").withColumn(
         "v", F.when(F.col("token").isNotNull(), F.coalesce(F.col("valence"), F.lit(0.0)))
     )
     agg = scored.groupBy(*keys).agg(
@@ -190,7 +179,8 @@ def _apply_modifiers(scored: DataFrame, sentences: DataFrame, keys, sentence_col
     def is_neg(c):
         return F.coalesce(F.array_contains(neg_words, c) | c.endswith("n't"), F.lit(False))
 
-    negated = is_neg(F.col("p1")) | is_neg(F.col("p2")) | is_neg(F.col("p3"))
+    # each of the three positions before a token applies the factor once
+    negations_before = sum((is_neg(F.col(p)).cast("int") for p in ("p2", "p3")), is_neg(F.col("p1")).cast("int"))
     v = F.col("v")
     if modifiers is True:
         mixed = sentences.select(
@@ -214,7 +204,8 @@ def _apply_modifiers(scored: DataFrame, sentences: DataFrame, keys, sentence_col
             inc = F.when((inc != 0) & F.coalesce(caps_k, F.lit(False)), inc + F.signum(inc) * F.lit(CAPS_INCREMENT)).otherwise(inc)
             boost = boost + F.coalesce(inc, F.lit(0.0)) * F.lit(damp)
         v = F.when(v != 0, v + F.when(F.coalesce(is_caps, F.lit(False)), sign * F.lit(CAPS_INCREMENT)).otherwise(0.0) + sign * boost).otherwise(v)
-    v = F.when((F.col("v") != 0) & negated, v * F.lit(NEGATION_SCALAR)).otherwise(v)
+    factor = F.element_at(F.array(*[F.lit(NEGATION_SCALAR**k) for k in range(4)]), negations_before + 1)
+    v = F.when(F.col("v") != 0, v * factor).otherwise(v)
     return d.withColumn("v", v)
 
 

@@ -83,3 +83,19 @@ def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
         .withColumn(out, F.col("__off") + F.col("__local"))
         .drop("__pid", "__mid", "__local", "__off")
     )
+
+
+def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over all earlier rows of the whole table.
+
+    ``order`` is a total order over values of any type.  Rows are range
+    partitioned and sorted once and written to the shared folder; the sum runs
+    inside each range, and one number per range is summed over ranges.
+    """
+    tagged = cut_lineage(df.orderBy(*order).withColumn("__pid", F.spark_partition_id()))
+    before = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy("__pid").agg(F.sum(value).alias("__t"))
+    ranges = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = totals.select("__pid", F.coalesce(F.sum("__t").over(ranges), F.lit(0)).alias("__off"))
+    local = tagged.withColumn("__local", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return local.join(offsets, "__pid").withColumn(out, F.col("__local") + F.col("__off")).drop("__pid", "__local", "__off")

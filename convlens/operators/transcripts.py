@@ -206,27 +206,25 @@ def speaker_balance(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _multiword_splits(fillers):
-    """(filler name, tail regex, head regex) for every split point of multi-word literals."""
-    out = []
+def _reach(fillers) -> tuple[list[tuple[str, str]], bool]:
+    """What can match across the space between two parts: pairs of neighbouring
+    words of the multi-word literals, and whether a regex entry might (one that
+    can match white space or looks at its surroundings)."""
+    pairs, always = [], False
     for name, pattern in fillers or T.DEFAULT_FILLERS:
-        ws = name.split(" ")
-        if pattern is not None or len(ws) < 2:
-            continue
-        for j in range(1, len(ws)):
-            tail = r"(^|\W)" + T._regex_quote(" ".join(ws[:j])) + r"\z"
-            head = "^" + T._regex_quote(" ".join(ws[j:])) + r"(\W|\z)"
-            out.append((name, tail, head))
-    return out
+        if pattern is not None:
+            always = always or any(x in pattern for x in (" ", r"\s", r"\W", r"\S", ".", "[^", "^", "$", "(?", r"\A", r"\z", r"\Z", r"\D"))
+        else:
+            words = name.lower().split(" ")
+            pairs += list(zip(words, words[1:]))
+    return sorted(set(pairs)), always
 
 
 def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=None, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """``(id, filler, n)`` hits of each dictionary entry in one speaker's joined text.
 
-    Counted per part (patterns are literals, compiled once) and summed; phrases
-    that straddle the space joining two consecutive parts of the speaker are
-    found by pairing each part with the next one (skew-safe ordinal + equi-join).
-    Phrases spanning three or more parts are not counted.
+    Counted per part (patterns are literals, compiled once) and summed, then
+    corrected for the runs of parts that an entry can reach across.
     """
     table = T.filler_table(fillers)
     mine = labelled.where(F.col("speaker") == F.lit(speaker))
@@ -238,41 +236,66 @@ def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=Non
         ).alias("h"),
     ).select("id", F.col("h.filler").alias("filler"), F.col("h.n").cast("bigint").alias("n"))
     counts = per_part.groupBy("id", "filler").agg(F.sum("n").alias("n"))
+    cross = _cross_part_hits(mine, fillers, bucket_size)
+    if cross is None:
+        return counts
+    return counts.join(cross, ["id", "filler"], "left").select(
+        "id", "filler", (F.col("n") + F.coalesce(F.col("x"), F.lit(0))).cast("bigint").alias("n")
+    )
 
-    splits = _multiword_splits(fillers)
-    if splits:
-        cross = _cross_part_hits(mine, splits, bucket_size)
-        counts = (
-            counts.join(cross, ["id", "filler"], "left")
-            .select("id", "filler", (F.col("n") + F.coalesce(F.col("x"), F.lit(0))).cast("bigint").alias("n"))
-        )
-    return counts
 
+def _cross_part_hits(mine: DataFrame, fillers, bucket_size: int = DEFAULT_BUCKET) -> DataFrame | None:
+    """``(id, filler, x)``: hits of the joined text less the hits of its parts; None when no entry can span parts.
 
-def _cross_part_hits(mine: DataFrame, splits, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+    Matching restarts cleanly at the space between two parts unless an entry
+    can reach across it.  Parts are therefore joined only into runs whose
+    inner borders some entry can reach across: the last word before the border
+    and the first word behind it are neighbours in a literal.  A run's text is
+    counted as a whole, so overlapping hits and hits over three or more parts
+    come out as in the joined text.  Only a dictionary with a regex that can
+    match white space makes one run of all parts of a speaker.
+    """
+    pairs, always = _reach(fillers)
+    if not pairs and not always:
+        return None
     ordered = ordinal(mine.select("id", "turn", "sub", "text"), ["id"], ["turn", "sub"], "ord", bucket_size)
     lowered = F.lower(F.col("text"))
-    tails = [F.when(lowered.rlike(t), F.lit(i)) for i, (_, t, _) in enumerate(splits)]
-    heads = [F.when(lowered.rlike(h), F.lit(i)) for i, (_, _, h) in enumerate(splits)]
-    a = ordered.select("id", "ord", F.filter(F.array(*tails), lambda x: x.isNotNull()).alias("tails")).where(
-        F.size("tails") > 0
-    )
-    b = ordered.select("id", (F.col("ord") - 1).alias("ord"), F.filter(F.array(*heads), lambda x: x.isNotNull()).alias("heads")).where(
-        F.size("heads") > 0
+
+    def hits(test) -> F.Column:
+        if always:
+            return F.array(F.lit(0))
+        return F.filter(F.array(*[F.when(test(k), F.lit(k)) for k in range(len(pairs))]), lambda x: x.isNotNull())
+
+    rows = ordered.select(
+        "id", "ord", "text",
+        hits(lambda k: lowered.endswith(pairs[k][0])).alias("tails"),
+        hits(lambda k: lowered.startswith(pairs[k][1])).alias("heads"),
+    )
+    before = rows.where(F.size("tails") > 0).select("id", (F.col("ord") + 1).alias("ord"), F.col("tails").alias("before"))
+    after = rows.where(F.size("heads") > 0).select("id", (F.col("ord") - 1).alias("ord"), F.col("heads").alias("after"))
+    linked = rows.join(before, ["id", "ord"], "left").join(after, ["id", "ord"], "left")
+    to_prev = F.coalesce(F.arrays_overlap("before", "heads"), F.lit(False))
+    to_next = F.coalesce(F.arrays_overlap("after", "tails"), F.lit(False))
+    runs = linked.where(to_prev | to_next).select("id", "ord", "text", F.when(to_prev, 0).otherwise(1).alias("start"))
+    numbered = exclusive_prefix_sum(runs, ["id"], ["ord"], "start", "earlier", bucket_size)
+    joined = numbered.groupBy("id", (F.col("earlier") + F.col("start")).alias("run")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.lower(x["text"])).alias("parts")
     )
-    names = F.array(*[F.lit(n) for n, _, _ in splits])
-    pairs = a.join(b, ["id", "ord"]).select("id", F.explode(F.array_intersect("tails", "heads")).alias("k"))
-    return pairs.groupBy("id", F.element_at(names, F.col("k") + 1).alias("filler")).agg(F.count("*").cast("bigint").alias("x"))
+    whole = F.array_join("parts", " ")
+
+    def extra(rx: str):
+        own = F.aggregate(F.transform("parts", lambda p: T.regex_count(p, rx)), F.lit(0), lambda s, n: s + n)
+        return (T.regex_count(whole, rx) - own).cast("bigint")
+
+    each = F.array(*[F.struct(F.lit(n).alias("filler"), extra(rx).alias("x")) for n, rx in T.filler_table(fillers)])
+    found = joined.select("id", F.explode(each).alias("h")).where(F.col("h.x") != 0)
+    return found.groupBy("id", F.col("h.filler").alias("filler")).agg(F.sum("h.x").alias("x"))
 
 
 def cross_part_filler_hits(labelled: DataFrame, speaker: str = "interviewee", fillers=None, bucket_size: int = DEFAULT_BUCKET) -> DataFrame | None:
-    """``(id, cross_hits)``: multi-word phrases straddling two consecutive parts; None
-    when the dictionary has no multi-word literal."""
-    splits = _multiword_splits(fillers)
-    if not splits:
-        return None
-    mine = labelled.where(F.col("speaker") == F.lit(speaker))
-    return _cross_part_hits(mine, splits, bucket_size).groupBy("id").agg(F.sum("x").alias("cross_hits"))
+    """``(id, cross_hits)``: hits of the joined text less those of its parts; None when no entry can span parts."""
+    cross = _cross_part_hits(labelled.where(F.col("speaker") == F.lit(speaker)), fillers, bucket_size)
+    return None if cross is None else cross.groupBy("id").agg(F.sum("x").alias("cross_hits"))
 
 
 def filler_percent(labelled: DataFrame, speaker: str = "interviewee", fillers=None, stats: DataFrame | None = None) -> DataFrame:

@@ -142,7 +142,12 @@ def term_cosine(labelled_tokens: DataFrame, a: str = "interviewer", b: str = "in
     ``labelled_tokens`` is ``(id, speaker, term)``; the dot product is an
     equi-join on ``(id, term)`` of the two speakers' counts.  Zero vector -> 0.
     """
-    tc = labelled_tokens.groupBy("id", "speaker", "term").agg(F.count("*").cast("double").alias("n"))
+    return count_cosine(labelled_tokens.groupBy("id", "speaker", "term").agg(F.count("*").alias("n")), a, b)
+
+
+def count_cosine(counts: DataFrame, a: str = "interviewer", b: str = "interviewee") -> DataFrame:
+    """E3 from combined counts ``(id, speaker, term, n)``."""
+    tc = counts.withColumn("n", F.col("n").cast("double"))
     left = tc.where(F.col("speaker") == a).select("id", "term", F.col("n").alias("na"))
     right = tc.where(F.col("speaker") == b).select("id", "term", F.col("n").alias("nb"))
     dotp = left.join(right, ["id", "term"]).groupBy("id").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
@@ -160,16 +165,17 @@ def term_cosine(labelled_tokens: DataFrame, a: str = "interviewer", b: str = "in
 
 
 # ---------------------------------------------------------------- E4 clustering
-def kmeans_clusters(df: DataFrame, id_col: str, vec_col: str, k: int = 5, seed: int = 42, max_iter: int = 20):
-    """MLlib k-means with ``k = min(k, n)``; returns ``(model, (id, cluster))``."""
+def kmeans_clusters(df: DataFrame, id_col: str, vec_col: str, k: int = 5, seed: int = 42, max_iter: int = 20, keep_vector: bool = False):
+    """MLlib k-means with ``k = min(k, n)``; returns ``(model, (id, cluster))``, with ``keep_vector`` also the vector."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = df.count()
     k_eff = max(1, min(k, n))
-    data = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    kept = [id_col, vec_col] if keep_vector else [id_col]
+    data = df.select(*kept, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=k_eff, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(data)
-    assigned = model.transform(data).select(id_col, F.col("cluster").cast("int").alias("cluster"))
+    assigned = model.transform(data).select(*kept, F.col("cluster").cast("int").alias("cluster"))
     return model, assigned
 
 

@@ -43,7 +43,7 @@ def g5(spark, sf):
 
 
 @query("g6_cleanse_ids", r"""
-SELECT c_custkey, TRY_CAST(nullif(regexp_replace(c_name, '\D', '', 'g'), '') AS INTEGER) AS id FROM customer ORDER BY id""")
+SELECT c_custkey, TRY_CAST(nullif(regexp_replace(c_name, '\D', '', 'g'), '') AS BIGINT) AS id FROM customer ORDER BY id""")
 def g6(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("id"))
     return G.cleanse_id_column(c, "id")

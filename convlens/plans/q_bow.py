@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convlens.operators import bow as B
 from convlens.operators import transcripts as TR
+from convlens.plans import pipelines as PL
 from convlens.plans.registry import query, table
 from convlens.plans.sqlparts import TURNS_CTE
 
@@ -86,10 +87,10 @@ def c4(spark, sf):
     + doc_cte()
     + "SELECT id AS document_id, "
     + ", ".join(f"coalesce(sum(n) FILTER (WHERE term = '{t}'), 0)::BIGINT AS {t}" for t in WIDE_TERMS)
-    + " FROM cv WHERE term IN (" + ",".join(f"'{t}'" for t in WIDE_TERMS) + ") GROUP BY id",
+    + " FROM (SELECT d.doc_id AS id, cv.term, cv.n FROM documents d LEFT JOIN cv ON cv.id = d.doc_id) GROUP BY id",
 )
 def c5(spark, sf):
-    w = B.wide_counts(_cv(spark, sf)[0], WIDE_TERMS)
+    w = B.wide_counts(_cv(spark, sf)[0], WIDE_TERMS, _docs(spark, sf), "doc_id")
     return w.select("document_id", *[F.col(t).cast("bigint").alias(t) for t in WIDE_TERMS])
 
 
@@ -179,17 +180,11 @@ def conv_cv_cte() -> str:
 def interviewee_counts(spark, sf):
     """Parse -> interviewee document-term counts over the pruned vocabulary.
 
-    Tokens are taken per part (they never straddle the joining space), the
-    documents are the conversations (one per id, empty ones included).
+    The documents are the conversations (one per id, empty ones included).
     """
     labelled = TR.label_parts(TR.parts_from_conversations(table(spark, sf, "conversations")))
-    mine = labelled.where(F.col("speaker") == "interviewee").select("id", "text")
-    toks = B.remove_stop_words(B.tokenize(mine, "id", "text"))
-    counts = B.term_counts(toks)
-    n_docs = labelled.select("id").distinct().agg(F.count("*")).scalar()  # scalar subquery
-    df = counts.groupBy("term").agg(F.count("n").alias("df"))
-    vocab = df.where((F.col("df") >= 2) & (F.col("df") <= F.lit(0.95) * n_docs)).select("term")
-    return counts.join(vocab, "term", "left_semi").select("id", "term", "n"), labelled.select("id").distinct()
+    ids = labelled.select("id").distinct()
+    return PL.speaker_vectors(PL.speaker_counts(labelled), ids, "interviewee"), ids
 
 
 @query("c12_interviewee_word_counts", "WITH " + conv_cv_cte() + "SELECT id, term, n FROM ccv")

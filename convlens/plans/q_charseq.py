@@ -30,9 +30,11 @@ def l1(spark, sf):
     return L.char_offsets(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("l1_concat_texts", "SELECT string_agg(text, ' ' ORDER BY item_id) AS text FROM benchmark")
+@query("l1_concat_texts", """
+SELECT item_id AS id, coalesce(sum(length(coalesce(text, '')) + 1) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset,
+       coalesce(text, '') AS text FROM benchmark""")
 def l1_concat(spark, sf):
-    return L.concat_texts(table(spark, sf, "benchmark"), "item_id", "text")
+    return L.joined_texts(table(spark, sf, "benchmark"), "item_id", "text")
 
 
 @query("l2_char_vocabulary", "WITH " + VOCAB_SQL + "SELECT ch, idx FROM vocab")

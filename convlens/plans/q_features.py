@@ -63,5 +63,6 @@ REDUCED = ["id", "filler_pct", "word_length_6", "word_length_7", "word_length_8_
 
 @query("h8_drop_list", "WITH " + features_cte() + "SELECT " + ", ".join(REDUCED) + " FROM feat")
 def h8(spark, sf):
-    ft = feature_table(spark, sf).withColumn("cluster", F.pmod(F.col("id"), F.lit(5)).cast("int"))
-    return H.reduced_features(ft)
+    parts = conv_parts(spark, sf)
+    members, _, _ = PL.transcript_analysis(parts, k=5, seed=42, dim=64)
+    return H.reduced_features(PL.feature_table(parts, DRIVER_LEXICON, DRIVER_FILLERS, clusters=members.select("id", "cluster")))

@@ -19,7 +19,6 @@ from convlens.plans.q_align import LI_KEY_SQL, li_key
 from convlens.plans.registry import query, table
 
 DOC_FEATURES = ["n_chars", "word_length_2", "word_length_3", "word_length_4", "word_length_5", "word_length_6", "word_length_7", "word_length_8_plus"]
-SMALL_GRID = {"maxIter": [10, 20], "maxDepth": [3, 5]}
 
 
 def doc_features(spark, sf):
@@ -44,7 +43,7 @@ def h10(spark, sf):
 @query("i1_gbt_grid_search", None)
 def i1(spark, sf):
     train, _ = _split(spark, sf)
-    _, t = M.grid_search(train, DOC_FEATURES, "quality", grid=SMALL_GRID, folds=5, key=F.col("doc_id"))
+    _, t = M.grid_search(train, DOC_FEATURES, "quality", folds=5, key=F.col("doc_id"))
     return t
 
 
@@ -128,21 +127,21 @@ def i7_one(spark, sf):
 @query("i7_additive_model", None)
 def i7(spark, sf):
     train, _ = _split(spark, sf)
-    m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=32, passes=20, checkpoint_every=10, binning="quantile")
+    m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=256, passes=30, binning="quantile")
     return m.term_table(spark)
 
 
 @query("i7_additive_bagged", None)
 def i7_bagged(spark, sf):
     train, _ = _split(spark, sf)
-    m = X.fit_additive_bagged(train, DOC_FEATURES, "quality", key="doc_id", bags=4, max_bins=32, passes=10, checkpoint_every=0)
+    m = X.fit_additive_bagged(train, DOC_FEATURES, "quality", key="doc_id", bags=8, max_bins=256, passes=30)
     return m.importance(spark)
 
 
 @query("i8_interactions", None)
 def i8(spark, sf):
     train, test = _split(spark, sf)
-    m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=32, passes=10, checkpoint_every=0, interactions=10, interaction_bins=8)
+    m = X.fit_additive(train, DOC_FEATURES, "quality", max_bins=256, passes=30, interactions=10)
     pred = m.predict(test, keep=["doc_id", "quality"])
     return pred.agg(F.count(F.lit(1)).alias("n"), safe_corr("prediction", "quality").alias("r"), F.avg(F.abs(F.col("prediction") - F.col("quality"))).alias("mae"))
 

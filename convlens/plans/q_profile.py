@@ -5,7 +5,7 @@ from __future__ import annotations
 from convlens.operators import profile as P
 from convlens.plans import pipelines as PL
 from convlens.plans.q_vectors import individual
-from convlens.plans.registry import query, table
+from convlens.plans.registry import query, table, union_tables
 from convlens.plans.sqlparts import INDIVIDUAL_CTE
 
 IND = "WITH " + INDIVIDUAL_CTE
@@ -92,7 +92,7 @@ def f8(spark, sf):
 
 
 TOPBOTTOM_SQL = """,
-n AS (SELECT count(*) AS total, greatest((count(*) * 0.1)::BIGINT, 5) AS k FROM ind WHERE similarity IS NOT NULL),
+n AS (SELECT count(*) AS total, greatest(floor(count(*) * 0.1)::BIGINT, 5) AS k FROM ind WHERE similarity IS NOT NULL),
 r AS (SELECT id, similarity, interviewer_length, interviewee_length, ratio,
              row_number() OVER (ORDER BY similarity, id) - 1 AS position FROM ind WHERE similarity IS NOT NULL),
 sl AS (SELECT 'bottom' AS slice, r.* FROM r, n WHERE position < k
@@ -125,6 +125,5 @@ def f11(spark, sf):
 @query("f12_visualize_tables", None)
 def f12(spark, sf):
     tables = PL.visualize_tables(individual(spark, sf))
-    # one row per produced table with its row count (each count runs that table's plan)
-    rows = [(name, df.count()) for name, df in tables.items()]
-    return spark.createDataFrame(rows, "table string, n_rows long")
+    # all tables one after the other, a row of each as JSON
+    return union_tables(tables)

@@ -46,11 +46,11 @@ def _score_sql(sent: str, keys: str, negation: bool) -> str:
     neg = ", ".join(f"'{w}'" for w in DRIVER_NEGATIONS)
     v = "coalesce(l.valence, 0.0)"
     if negation:
-        lags = " OR ".join(
-            f"coalesce(lag(tk.token, {k}) OVER (PARTITION BY {keys} ORDER BY tk.pos) IN ({neg}) OR ends_with(lag(tk.token, {k}) OVER (PARTITION BY {keys} ORDER BY tk.pos), 'n''t'), false)"
+        lags = " + ".join(
+            f"coalesce(lag(tk.token, {k}) OVER (PARTITION BY {keys} ORDER BY tk.pos) IN ({neg}) OR ends_with(lag(tk.token, {k}) OVER (PARTITION BY {keys} ORDER BY tk.pos), 'n''t'), false)::INTEGER"
             for k in (1, 2, 3)
         )
-        v = f"CASE WHEN coalesce(l.valence, 0.0) <> 0 AND ({lags}) THEN coalesce(l.valence, 0.0) * -0.74 ELSE coalesce(l.valence, 0.0) END"
+        v = f"coalesce(l.valence, 0.0)::DOUBLE * [{', '.join(repr((-0.74) ** k) + '::DOUBLE' for k in range(4))}][{lags} + 1]"
     return f"""
 tk0 AS (SELECT {keys}, regexp_extract_all({sent}.sentence, '[\\p{{L}}\\p{{N}}_'']+') AS arr FROM {sent}),
 tk AS (SELECT {keys}, unnest(range(len(arr))) AS pos, lower(unnest(arr)) AS token FROM tk0),

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from convlens.operators import profile as P
 from convlens.operators import vectors as VO
 from convlens.sources import readers as R
 from convlens.sources import writers as W
@@ -98,3 +99,30 @@ SELECT section, metric, CASE WHEN section = 'cluster' THEN printf('  Cluster %s:
     + _report_sql() + " END AS line FROM summary")
 def a8(spark, sf):
     return W.report_lines(VO.collection_summary(individual(spark, sf))).drop("ord")
+
+
+@query("a8_top_bottom_lines", "WITH " + INDIVIDUAL_CTE + """,
+n AS (SELECT count(*) AS total, greatest(floor(count(*) * 0.1)::BIGINT, 5) AS k FROM ind WHERE similarity IS NOT NULL),
+r AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity, id) - 1 AS position FROM ind WHERE similarity IS NOT NULL)
+SELECT 'top' AS part, '  ID: ' || id || ', Similarity: ' || printf('%.4f', similarity) AS line FROM r, n WHERE position >= total - k
+UNION ALL SELECT 'bottom', '  ID: ' || id || ', Similarity: ' || printf('%.4f', similarity) FROM r, n WHERE position < k
+UNION ALL SELECT 'top', 'Top Interview IDs by Similarity:' UNION ALL SELECT 'top', '' UNION ALL SELECT 'bottom', 'Bottom Interview IDs by Similarity:'""")
+def a8_top_bottom(spark, sf):
+    lines = W.top_bottom_lines(P.top_bottom(individual(spark, sf)))
+    return lines.select(F.when(F.col("ord") < 1e15, F.lit("top")).otherwise(F.lit("bottom")).alias("part"), "line")
+
+
+@query("a8_profile_lines", "WITH " + INDIVIDUAL_CTE + """,
+d AS (SELECT count(*) AS n, avg(similarity) AS s, min(similarity) AS lo, max(similarity) AS hi, avg(interviewer_length) AS er,
+             avg(interviewee_length) AS ee, avg(ratio) AS r FROM ind),
+c AS (SELECT cluster, count(*) AS n, avg(similarity) AS s, avg(ratio) AS r FROM ind GROUP BY cluster)
+SELECT unnest(['Dataset Statistics:', '  Number of Interviews: ' || n, '  Average Similarity: ' || printf('%.4f', s),
+               '  Similarity Range: ' || printf('%.4f', lo) || ' to ' || printf('%.4f', hi),
+               '  Average Interviewer Length: ' || printf('%.1f', er) || ' characters',
+               '  Average Interviewee Length: ' || printf('%.1f', ee) || ' characters',
+               '  Average Length Ratio: ' || printf('%.2f', r), '', 'Cluster Information:']) AS line FROM d
+UNION ALL
+SELECT unnest(['  Cluster ' || cluster || ':', '    Size: ' || n || ' interviews', '    Average Similarity: ' || printf('%.4f', s),
+               '    Average Ratio: ' || printf('%.2f', r)]) FROM c""")
+def a8_profile(spark, sf):
+    return W.profile_lines(P.summary_report(individual(spark, sf))).select("line")

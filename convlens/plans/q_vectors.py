@@ -10,7 +10,7 @@ from convlens.operators import transcripts as TR
 from convlens.operators import vectors as VO
 from convlens.plans import pipelines as PL
 from convlens.plans.q_transcripts import conv_parts
-from convlens.plans.registry import query, table
+from convlens.plans.registry import query, table, union_tables
 from convlens.plans.sqlparts import INDIVIDUAL_CTE
 
 
@@ -154,12 +154,6 @@ def e9(spark, sf):
 
 @query("e10_transcript_analysis", None)
 def e10(spark, sf):
-    """Individual table with cluster, the cluster's size and whether the row is
-    one of its representatives, so the whole analysis is executed."""
-    with_cluster, clusters, _ = PL.transcript_analysis(conv_parts(spark, sf), k=5, seed=42, dim=64)
-    c = clusters.select(F.col("cluster_id").alias("cluster"), F.col("size").alias("cluster_size"), "representative_ids")
-    return (
-        with_cluster.join(c, "cluster", "left")
-        .withColumn("is_representative", F.coalesce(F.array_contains("representative_ids", F.col("id").cast("string")), F.lit(False)))
-        .drop("representative_ids")
-    )
+    """The three tables of the whole analysis, rows as JSON."""
+    with_cluster, clusters, summary = PL.transcript_analysis(conv_parts(spark, sf), k=5, seed=42, dim=64)
+    return union_tables({"individual": with_cluster, "clusters": clusters, "summary": summary})

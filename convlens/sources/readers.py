@@ -6,7 +6,6 @@ returns a DataFrame whose later projections Spark prunes at the scan.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +81,15 @@ def load_checked(df: DataFrame, required=("id", "similarity", "interviewer_lengt
 
 def read_checked(spark: SparkSession, path: str, **kw):
     """A5 from a file: missing file and missing columns are errors."""
-    if "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(f"File not found: {path}")
-    return load_checked(spark.read.option("header", True).option("inferSchema", True).csv(path), **kw)
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    except AnalysisException as e:  # Spark's own lookup: works on any file system the cluster reads
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"File not found: {path}") from e
+        raise
+    return load_checked(df, **kw)
 
 
 def cluster_count(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -95,27 +100,3 @@ def cluster_count(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per file ``(path, text)`` (UTF-8, whole file)."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-
-
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Spread a small input over all cores.
-
-    A table stored as one row group is read by one task however it is split,
-    so CPU-heavy row-local work (regexes, tokenising) would run on one core.
-    When the optimizer's size estimate is under ``max_bytes`` and the scan has
-    fewer partitions than the cluster's parallelism, rows are redistributed
-    round-robin.  Large inputs (many row groups) are returned unchanged, so at
-    scale this is a no-op.
-    """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: leave the input alone
-        return df
-    if size <= max_bytes and df.rdd.getNumPartitions() < 2 * target:
-        return df.repartition(target)
-    return df

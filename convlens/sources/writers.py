@@ -80,6 +80,63 @@ def report_lines(summary: DataFrame) -> DataFrame:
     return summary.select("section", "metric", F.when(is_cluster, cluster_line).otherwise(other).alias("line"), order.alias("ord"))
 
 
+# Fixed texts of the two other reports.
+TOP_HEADING, BOTTOM_HEADING = "Top Interview IDs by Similarity:", "Bottom Interview IDs by Similarity:"
+DATASET_LINES = (
+    ("Dataset Statistics:", ()),
+    ("  Number of Interviews: {}", (("size", 0),)),
+    ("  Average Similarity: {}", (("average_similarity", 4),)),
+    ("  Similarity Range: {} to {}", (("min_similarity", 4), ("max_similarity", 4))),
+    ("  Average Interviewer Length: {} characters", (("average_interviewer_length", 1),)),
+    ("  Average Interviewee Length: {} characters", (("average_interviewee_length", 1),)),
+    ("  Average Length Ratio: {}", (("average_ratio", 2),)),
+    ("", ()),
+    ("Cluster Information:", ()),
+)
+CLUSTER_LINES = (
+    ("  Cluster {}:", (("cluster", None),)),
+    ("    Size: {} interviews", (("size", 0),)),
+    ("    Average Similarity: {}", (("average_similarity", 4),)),
+    ("    Average Ratio: {}", (("average_ratio", 2),)),
+)
+
+
+def _line(template: str, fields) -> F.Column:
+    texts = [F.col(c).cast("string") if d is None else _fixed(F.col(c).cast("double"), F.lit(d)) for c, d in fields]
+    pieces = template.split("{}")
+    cols = [F.lit(pieces[0])]
+    for text, piece in zip(texts, pieces[1:]):
+        cols += [F.coalesce(text, F.lit("nan")), F.lit(piece)]
+    return F.concat(*cols)
+
+
+def top_bottom_lines(slices: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(ord, line)`` of the top and bottom id list from the slices of F9, top first, each ascending."""
+    body = slices.select(
+        F.when(F.col("slice") == "top", 0.0).otherwise(1e15).alias("first"),
+        F.col("position"),
+        F.concat(F.lit("  ID: "), F.col(id_col).cast("string"), F.lit(", Similarity: "), _fixed(F.col("similarity"), F.lit(4))).alias("line"),
+    ).select((F.col("first") + F.col("position") + 1).alias("ord"), "line")
+    heads = slices.sparkSession.createDataFrame([(0.0, TOP_HEADING), (1e15 - 1, ""), (1e15, BOTTOM_HEADING)], "ord double, line string")
+    return heads.unionByName(body)
+
+
+def profile_lines(report: DataFrame) -> DataFrame:
+    """``(ord, line)`` of the profile report from the rows of F11 (dataset row and one row per cluster)."""
+
+    def lines(rows: DataFrame, templates, first) -> DataFrame:
+        out = None
+        for k, (template, fields) in enumerate(templates):
+            part = rows.select((first + F.lit(k / 100)).alias("ord"), _line(template, fields).alias("line"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    dataset = lines(report.where(F.col("level") == "dataset"), DATASET_LINES, F.lit(0.0))
+    return dataset.unionByName(
+        lines(report.where((F.col("level") == "cluster") & F.col("cluster").isNotNull()), CLUSTER_LINES, F.col("cluster").cast("double") + 1.0)
+    )
+
+
 def write_report(lines: DataFrame, path: str, header: str | None = None) -> None:
     """Write report lines, in report order, as one text file (a handful of rows)."""
     df = lines.select(F.col("ord"), F.col("line").alias("value"))

@@ -75,10 +75,3 @@ def test_report_lines_format(spark, scratch):
     W.write_report(W.report_lines(VO.collection_summary(ind)), path, header="Summary")
     text = spark.read.text(path).collect()
     assert text[0]["value"] == "Summary" and len(text) == 1 + 9
-
-
-def test_spread_small_keeps_rows(spark):
-    df = spark.range(0, 1000).coalesce(1)
-    out = R.spread_small(df)
-    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert out.agg(F.sum("id")).first()[0] == sum(range(1000))

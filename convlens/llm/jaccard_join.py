@@ -366,6 +366,9 @@ def near_copies(
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = cut_lineage(groups.withColumnRenamed("id", "i").join(sizes, "root").join(reps.select("i", "h", "copies"), "i"))
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    # the written table of bare ids is small enough for Spark to broadcast up to its threshold in bytes, so that
+    # texts without a candidate stay where they are; beyond the threshold the same join shuffles
+    text = text.join(cut_lineage(members.select("i")), "i", "left_semi")
     dealt = _blocks(members.join(text, "i").select("root", "n", "i", "h", "copies", "t"), "root", "n", texts)
     checked = cut_lineage(
         _verified(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), words, threshold)

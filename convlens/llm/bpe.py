@@ -30,7 +30,7 @@ from convlens.llm.arrow import prepare, slices
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-CACHE = 300_000  # pieces kept per Python worker
+CACHE = 200_000  # pieces kept per Python worker
 
 
 class PairTable:

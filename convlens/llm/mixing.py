@@ -58,9 +58,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_ep
             / F.sum("weight").over(after)
         ).alias("level"),
     )
-    # the first source that its level does not clamp sets the level of all
+    # the first source that its level does not clamp sets the level of all; from there on levels only fall
     open_ = levels.withColumn("l", F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")))
-    water = F.min("l").over(everything)
+    water = F.max("l").over(everything)
     return open_.withColumn("water", water).select(
         "source", "total", "weight",
         F.coalesce(F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")), F.col("cap").cast("double")).alias("target"),

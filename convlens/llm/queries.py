@@ -59,7 +59,7 @@ levels AS (
   SELECT *, (sum(total) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM ranked WINDOW o AS (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST)),
-water AS (SELECT min(level) AS w FROM levels WHERE level <= cap::DOUBLE / weight),
+water AS (SELECT max(level) AS w FROM levels WHERE level <= cap::DOUBLE / weight),
 plan AS (
   SELECT source, total, coalesce(least(cap::DOUBLE, w * weight), cap::DOUBLE) AS target FROM levels, water),
 plan2 AS (

@@ -26,8 +26,9 @@ deviations) that recall is set by the forest.
 
 Defined results: a null text counts as empty; a text without a word has no
 shingles, no links and a class of its own; rows that repeat an id and text
-are copies of each other; a row with a null id takes its class and links from
-its copies and is never the representative; an empty table gives an empty one.
+are copies of each other, rows of one id with different texts are documents of
+their own; a row with a null id takes its class and links from its copies and
+is never the representative; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -288,7 +289,7 @@ def _verified(rows: DataFrame, words: int, threshold: float) -> DataFrame:
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 h = table.column("h").slice(a, b - a).to_pylist()
                 sets = shingler.sets(table.column("t").slice(a, b - a).to_pylist())
-                # a repeated id may have brought other texts: only the representative's own set counts, once
+                # an id may bear several texts: only the one with the representative's set counts, once
                 first: dict[int, int] = {}
                 for k in range(b - a):
                     if set_hash(sets[k]) == h[k]:
@@ -356,29 +357,35 @@ def near_copies(
     prepare(docs.sparkSession)
     keep = prefix_depth(threshold, trees, depth, recall)
     rows = cut_lineage(sketches(docs, id_col, text_col, words, trees, depth, keep))
+    # a representative goes by a number of its own, k: different texts may bear one id
     reps = cut_lineage(
         rows.where(F.col("h").isNotNull())
         .groupBy("h")
-        .agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("keys").alias("keys"))
+        .agg(F.min("i").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("keys").alias("keys"))
+        .withColumn("k", F.monotonically_increasing_id())
     )
-    edges = cut_lineage(candidate_edges(reps.where(F.col("i").isNotNull()), trees, depth, keep, cut, block).distinct())
+    known = reps.where(F.col("id").isNotNull())
+    edges = cut_lineage(candidate_edges(known.select(F.col("k").alias("i"), "low", "keys"), trees, depth, keep, cut, block).distinct())
     groups = connected_components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = cut_lineage(groups.withColumnRenamed("id", "i").join(sizes, "root").join(reps.select("i", "h", "copies"), "i"))
-    text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    own = known.select(F.col("k").alias("i"), "id", "h", "copies")
+    members = cut_lineage(groups.withColumnRenamed("id", "i").join(sizes, "root").join(own, "i"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     # the written table of bare ids is small enough for Spark to broadcast up to its threshold in bytes, so that
     # texts without a candidate stay where they are; beyond the threshold the same join shuffles
-    text = text.join(cut_lineage(members.select("i")), "i", "left_semi")
-    dealt = _blocks(members.join(text, "i").select("root", "n", "i", "h", "copies", "t"), "root", "n", texts)
+    text = text.join(cut_lineage(members.select("id").distinct()), "id", "left_semi")
+    dealt = _blocks(members.join(text, "id").select("root", "n", "i", "h", "copies", "t"), "root", "n", texts)
     checked = cut_lineage(
         _verified(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), words, threshold)
     )
-    classes = connected_components(checked.select(F.col("i").alias("a"), F.col("root").alias("b")))
+    linked = connected_components(checked.select(F.col("i").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "i")
+    smallest = linked.join(own, "i").groupBy("root").agg(F.min("id").alias("class_id"))
+    classes = linked.join(smallest, "root").select("i", "class_id")
     links = checked.groupBy("i").agg(F.sum("links").alias("links"))
-    found = links.join(classes.withColumnRenamed("id", "i"), "i", "left")
-    decided = reps.select("h", "i", "copies").join(found, "i", "left").select(
+    found = links.join(classes, "i").withColumnRenamed("i", "k")
+    decided = reps.select("h", "id", "k", "copies").join(found, "k", "left").select(
         "h",
-        F.coalesce("root", "i").alias("class_id"),
+        F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("copies").alias("n_copies"),
     )

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-TURN = r"<\|im_start\|>([^\n]*)\n([\s\S]*?)<\|im_end\|>\n"
+END_PATTERN = r"<\|im_end\|>\n"
 
 
 def escape(text: Column) -> Column:
@@ -90,15 +90,19 @@ def read_back(examples: DataFrame) -> DataFrame:
         F.sum("loss_chars").cast("long").alias("loss_chars"),
         F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("loss"),
     )
-    roles, texts = (F.regexp_extract_all("text", F.lit(TURN), F.lit(k)) for k in (1, 2))
-    turns = F.zip_with(
-        roles, texts,
-        lambda r, t: F.concat(unescape(F.replace(r, F.lit("&#10;"), F.lit("\n"))), F.lit("\n"), unescape(t), F.lit("\n")),
-    )
-    return whole.select(
+    # "<|" in an example is always the template's, so the text up to each end mark is one turn
+    pieces = whole.withColumn("turns", F.split("text", END_PATTERN, -1)).withColumn("n", F.size("turns") - 1)
+
+    def turn(piece: Column) -> Column:
+        body = F.substr(piece, F.lit(len(START) + 1))
+        role = F.substring_index(body, "\n", 1)
+        text = F.substr(body, F.length(role) + 2)
+        return F.concat(unescape(F.replace(role, F.lit("&#10;"), F.lit("\n"))), F.lit("\n"), unescape(text), F.lit("\n"))
+
+    return pieces.select(
         "conv_id",
-        F.size(roles).cast("long").alias("n_turns"),
-        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.col("n").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("n")), turn), ""), 256).alias("turns_sha256"),
         "loss_chars",
         F.sha2(F.array_join(F.transform("loss", lambda x: x["loss"]), ""), 256).alias("loss_sha256"),
         "formatted_chars",

@@ -31,6 +31,7 @@ DIMS = 1 << 17
 ROWS = 20_000
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
+WORDS_AT_ONCE = 20_000
 LEAST = 0.002  # share of a language's words from which a script counts as seen
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -92,6 +93,10 @@ class Model:
         """Scores (words x languages) and letters of every word."""
         if not words:
             return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
+        parts = [self._scores(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         bucket, counts, script, lens = grams(words)
         at = np.cumsum(counts) - counts
         out = np.stack([np.add.reduceat(self.logp[bucket, j], at) for j in range(len(self.langs))], 1) / len(ORDERS)
@@ -128,9 +133,12 @@ def fit(docs: DataFrame, use: Column, id_col="doc_id", text_col="text", lang_col
                     if not order:
                         continue
                     times = np.bincount(np.array(order), minlength=len(index))
-                    bucket, counts, script, _ = grams(list(index))
-                    have += np.bincount(bucket, weights=np.repeat(times, counts), minlength=DIMS + len(NAMES)).astype(np.int64)
-                    have[DIMS:] += np.bincount(script, weights=times, minlength=len(NAMES)).astype(np.int64)
+                    words = list(index)
+                    for k in range(0, len(words), WORDS_AT_ONCE):
+                        bucket, counts, script, _ = grams(words[k : k + WORDS_AT_ONCE])
+                        n = times[k : k + WORDS_AT_ONCE]
+                        have += np.bincount(bucket, weights=np.repeat(n, counts), minlength=DIMS + len(NAMES)).astype(np.int64)
+                        have[DIMS:] += np.bincount(script, weights=n, minlength=len(NAMES)).astype(np.int64)
         for lang, have in own.items():
             used = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays(

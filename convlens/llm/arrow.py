@@ -6,7 +6,7 @@ import numpy as np
 
 from convlens.session import ship_package
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark) -> None:
@@ -64,3 +64,21 @@ def _starts(table, keys: int) -> np.ndarray:
 def binary_matrix(column, width: int) -> np.ndarray:
     """A binary column of equal lengths as a matrix of bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def gather(values: np.ndarray, at: np.ndarray, lens: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[at[p] : at[p] + lens[p]]`` of every p of ``pick`` one after the other, and their lengths."""
+    n = lens[pick]
+    total = int(n.sum())
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    start = np.cumsum(n, dtype=kind) - n.astype(kind)
+    index = np.repeat(at.astype(kind)[pick] - start, n)
+    index += np.arange(total, dtype=kind)
+    return values[index], n
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values`` of the given lengths."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    end = np.cumsum(counts)
+    return total[end] - total[end - counts]

@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 
-from convlens.llm.arrow import prepare, slices
+from convlens.llm.arrow import gather, prepare, slices, sums
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -220,20 +220,6 @@ class Bpe:
         return gather(self.token_bytes, self.token_at, self.token_len, ids)[0].tobytes()
 
 
-def gather(values: np.ndarray, at: np.ndarray, lens: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``values[at[p] : at[p] + lens[p]]`` of every p of ``pick`` one after the other, and their lengths."""
-    n = lens[pick]
-    start = np.cumsum(n) - n
-    return values[np.arange(int(n.sum())) + np.repeat(at[pick] - start, n)], n
-
-
-def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of ``values`` of the given lengths."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    end = np.cumsum(counts)
-    return total[end] - total[end - counts]
-
-
 @functools.lru_cache(maxsize=2)
 def load_tiktoken(path: str, pattern: str) -> Bpe:
     """The encoder of a rank file, once per Python process; opened where the task runs."""
@@ -254,7 +240,7 @@ def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str
         bpe = load_tiktoken(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(np.array([len(t or "") for t in texts]), 8_000_000):
+            for a, b in slices(np.array([len(t or "") for t in texts]), 3_000_000):
                 flat, counts = bpe.encode_batch(texts[a:b])
                 ends = np.cumsum(counts)
                 one = [flat[e - n : e] for e, n in zip(ends, counts, strict=True)]

@@ -38,16 +38,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlens.llm.arrow import prepare, slices
+from convlens.llm.arrow import gather, prepare, slices, sums
 from convlens.session import cut_lineage
 
 BLOCK = 256
 SHARE = 0.9
 SHARD = 1 << 18  # ids from which a shard is closed
-CACHE = 400_000
+CACHE = 300_000
 HEAD = struct.Struct("<4sIIQ")
 
 
+#: Bits of every number below 2 ** 16.
+BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
 # -- blocks ---------------------------------------------------------------
 
 
@@ -62,9 +65,15 @@ def pack(ids: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]
     full = full.reshape(n, BLOCK)
     least = full.min(1)
     diff = full - least[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1].astype(np.int64)
-    width = np.partition(bits, int(np.ceil(share * BLOCK)) - 1, axis=1)[:, int(np.ceil(share * BLOCK)) - 1]
-    patch = bits > width[:, None]
+    if int(diff.max()) < len(BITS):
+        bits = BITS[diff]
+    else:
+        bits = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)
+    nth = int(np.ceil(share * BLOCK)) - 1
+    # the count of ids that some width holds grows with the width: the first width that holds the share
+    held = np.stack([(bits <= w).sum(1, dtype=np.int64) for w in range(int(bits.max()) + 1)])
+    width = (held <= nth).sum(0)
+    patch = bits > width[:, None].astype(np.uint8)
     extra = patch.sum(1)
     sizes = 7 + 32 * width + 5 * extra
     ends = np.cumsum(sizes)
@@ -225,21 +234,18 @@ class WordEncoder:
         second = pc.if_else(plain, pc.struct_field(parts, "b"), "")
         pieces = pa.concat_arrays([first, second.cast(first.type)]).dictionary_encode()
         flat, begin, lens = self._pieces(pieces.dictionary.to_pylist())
-        both = pieces.indices.to_numpy().reshape(2, len(words)).T  # of a word: its two pieces
-        flat = np.concatenate([flat, np.array([end], np.uint32)])
-        begin, lens = np.concatenate([begin, [len(flat) - 1, 0]]), np.concatenate([lens, [1, 0]])
-        both = np.concatenate([both, [[len(begin) - 2, len(begin) - 1]]])  # the last word stands for the end
+        # ids of every different word (its two pieces), and of the end as the last of them
+        both = pieces.indices.to_numpy().reshape(2, len(words)).T.ravel()
+        flat, _ = gather(flat, begin, lens, both)
+        n_word = lens[both].reshape(-1, 2).sum(1)
+        flat, n_word = np.concatenate([flat, np.array([end], np.uint32)]), np.concatenate([n_word, [1]])
         # the words of every text, then its end
-        order = np.full(int(per.sum()) + len(per), len(words), np.int64)
+        order = np.full(int(per.sum()) + len(per), len(words), np.int32)
         keep = np.ones(len(order), bool)
         keep[np.cumsum(per + 1) - 1] = False
         order[keep] = coded.indices.to_numpy()
-        pick = both[order].ravel()
-        n = lens[pick]
-        out = flat[np.arange(int(n.sum())) + np.repeat(begin[pick] - (np.cumsum(n) - n), n)]
-        total = np.concatenate([[0], np.cumsum(n)])
-        stop = 2 * np.cumsum(per + 1)
-        return out, total[stop] - total[stop - 2 * (per + 1)]
+        out, n = gather(flat, np.cumsum(n_word) - n_word, n_word, order)
+        return out, sums(n, per + 1)
 
 
 @functools.lru_cache(maxsize=1)
@@ -276,10 +282,12 @@ def write_shards(docs: DataFrame, path: str, end: int, id_col="doc_id", text_col
             lengths = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
             for a, b in slices(lengths, 8 << 20):
                 ids, counts = encoder.encode(texts.slice(a, b - a), end)
-                names.extend(batch.column(0).slice(a, b - a).to_pylist())
-                held.append((counts, ids))
-                if sum(len(x) for _, x in held) >= shard:
-                    yield close()
+                own, ends = batch.column(0).slice(a, b - a).to_pylist(), np.cumsum(counts)
+                for x, y in slices(counts, shard):
+                    names.extend(own[x:y])
+                    held.append((counts[x:y], ids[ends[x] - counts[x] : ends[y - 1]]))
+                    if sum(len(z) for _, z in held) >= shard:
+                        yield close()
         if held:
             yield close()
 

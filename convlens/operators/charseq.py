@@ -93,6 +93,44 @@ def windows(df: DataFrame, keys: list[str], ids_col: str, block_size: int, strid
     )
 
 
+def corpus_windows(
+    df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, block_size: int, stride: int = 1, sep: str = " ", chunk: int = 1 << 16
+) -> DataFrame:
+    """L4 over the joined corpus (L1), windows across texts included: ``(pos, x, y)``.
+
+    The corpus is cut into chunks of ``chunk`` positions.  Every text sends
+    each chunk the characters that lie in it, and each chunk the first
+    ``block_size + 1`` characters behind it as well, so a chunk's windows are
+    complete and no row holds more than a chunk and a block.
+    """
+    size = max(chunk, block_size + 1)
+    placed = joined_texts(df, id_col, text_col, sep)
+    last = placed.agg(F.max(F.col("offset") + F.length("text"))).scalar()  # the corpus ends with its last text
+    own = placed.withColumn("total", last).select(
+        "offset", "total", F.when(F.col("offset") + F.length("text") < F.col("total"), F.concat("text", F.lit(sep))).otherwise(F.col("text")).alias("t")
+    )
+    end = F.col("offset") + F.length("t")
+    # chunk k needs positions k * size to (k + 1) * size + block_size
+    first = F.greatest(F.floor((F.col("offset") - block_size) / size), F.lit(0).cast("long"))
+    pieces = own.where(F.length("t") > 0).withColumn("k", F.explode(F.sequence(first, F.floor((end - 1) / size))))
+    start = F.greatest(F.col("offset"), F.col("k") * size)
+    stop = F.least(end, (F.col("k") + 1) * size + block_size)
+    cut = pieces.withColumn("start", start).withColumn("n", (stop - start).cast("int")).where(F.col("n") > 0)
+    cut = cut.select("k", "total", "start", F.substr("t", (F.col("start") - F.col("offset") + 1).cast("int"), F.col("n")).alias("piece"))
+    whole = cut.groupBy("k", "total").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("piece")
+    )
+    ids = encode(whole, "piece", vocab, "ids")
+    base = F.col("k") * size
+    low = F.ceil(base / stride) * stride
+    high = F.least(base + size - 1, F.col("total") - block_size - 1)
+    starts = F.when(low <= high, F.sequence(low, high, F.lit(stride).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    at = (F.col("pos") - base + 1).cast("int")
+    return ids.select("k", "ids", F.explode(starts).alias("pos")).select(
+        "pos", F.slice("ids", at, block_size).alias("x"), F.slice("ids", at + 1, block_size).alias("y")
+    )
+
+
 def save_vocabulary(vocab: DataFrame, path: str) -> None:
     """L5."""
     vocab.select("ch", "idx").write.mode("overwrite").parquet(path)

@@ -187,3 +187,15 @@ def test_feature_table_carries_the_cluster(spark):
     member = spark.createDataFrame([("a", 1)], "id string, cluster int")
     got = {r["id"]: r["cluster"] for r in PL.feature_table(parts, {"x": 1.0}, clusters=member).collect()}
     assert got == {"a": 1, "b": None}
+
+
+def test_windows_over_the_joined_corpus(spark):
+    rnd = random.Random(9)
+    rows = [(k * 7, "".join(rnd.choice("abc") for _ in range(rnd.choice([0, 1, 2, 5, 40])))) for k in range(40)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), (" ", 3)], "ch string, idx int")
+    joined = [" abc".index(c) - 1 if c != " " else 3 for c in " ".join(t or "" for _, t in rows)]
+    for block, stride, chunk in ((8, 1, 16), (8, 4, 1 << 16), (30, 3, 31), (len(joined), 1, 64)):
+        got = sorted((r["pos"], list(r["x"]), list(r["y"])) for r in L.corpus_windows(df, "id", "text", vocab, block, stride, chunk=chunk).collect())
+        want = [(p, joined[p : p + block], joined[p + 1 : p + block + 1]) for p in range(0, len(joined) - block, stride)]
+        assert got == want, (block, stride, chunk)

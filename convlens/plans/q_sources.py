@@ -14,17 +14,31 @@ from convlens.sources import readers as R
 from convlens.sources import writers as W
 from convlens.plans.q_vectors import individual
 from convlens.plans.registry import query, table
-from convlens.plans.sqlparts import INDIVIDUAL_CTE
+from convlens.plans.q_transcripts import conv_transcripts
+from convlens.plans.sqlparts import INDIVIDUAL_CTE, TURNS_CTE
 from convlens.session import checkpoint_dir
 
 
-@query("a2_read_scores", "SELECT doc_id::VARCHAR AS id, quality AS Overall, toxic AS Excited FROM labels")
+def _as_csv(spark, df, name: str) -> str:
+    """Write rows as the CSV file that a reader expects, in the shared folder."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query("a1_read_transcript_file", "WITH " + TURNS_CTE + "SELECT id::VARCHAR AS id, string_agg(raw, '|' ORDER BY turn) AS transcript FROM t GROUP BY id")
+def a1_file(spark, sf):
+    """Write the transcripts as the reference's CSV file and read them back by position."""
+    return R.read_transcripts(spark, _as_csv(spark, conv_transcripts(spark, sf), "transcripts"))
+
+
+@query("a2_read_scores", "SELECT doc_id::VARCHAR AS id, quality::DOUBLE AS Overall, toxic::DOUBLE AS Excited FROM labels")
 def a2(spark, sf):
     # the scores table shape (Participant, Overall, Excited) bound to labels
     s = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("Participant"), F.col("quality").alias("Overall"), F.col("toxic").alias("Excited")
     )
-    return s.withColumnRenamed("Participant", "id")
+    return R.read_scores(spark, _as_csv(spark, s, "scores"))
 
 
 LI_SCHEMA = TY.StructType(
@@ -39,7 +53,7 @@ LI_SCHEMA = TY.StructType(
 
 @query("a3_read_features", "SELECT l_orderkey, l_quantity, l_extendedprice, l_discount FROM lineitem")
 def a3(spark, sf):
-    return spark.read.schema(LI_SCHEMA).parquet(f"{sf}/lineitem.parquet")
+    return R.read_features(spark, f"{sf}/lineitem.parquet", schema=LI_SCHEMA, fmt="parquet")
 
 
 @query("a4_read_prosodic", """
@@ -49,7 +63,8 @@ def a4(spark, sf):
         F.concat(F.lit("P"), F.col("user_id").cast("string"), F.lit("Q"), F.col("event_id").cast("string")).alias("participant&question"),
         "value",
     )
-    return e.withColumnRenamed("participant&question", "participant_question")
+    schema = TY.StructType([TY.StructField("participant&question", TY.StringType()), TY.StructField("value", TY.DoubleType())])
+    return R.read_prosodic(spark, _as_csv(spark, e, "prosodic"), schema)
 
 
 @query("a5_required_columns", "WITH " + INDIVIDUAL_CTE + """

@@ -1,12 +1,11 @@
 """Readers (inventory A1-A6).
 
-Every reader takes an explicit schema (no inference pass over the data) and
-returns a DataFrame whose later projections Spark prunes at the scan.
+Readers have a fixed schema or take one; only A4 and A5, whose columns are the
+caller's, infer one when none is given.  Later projections are pruned at the scan.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -60,7 +59,8 @@ def read_features(spark: SparkSession, path: str, schema: TY.StructType | None =
     if fmt == "csv":
         df = _csv(spark, path, schema or feature_schema())
     else:
-        df = spark.read.format(fmt).load(path)
+        reader = spark.read.format(fmt)
+        df = (reader.schema(schema) if schema is not None else reader).load(path)
     return df.withColumnsRenamed({k: v for k, v in CSV_NAME_MAP.items() if k in df.columns})
 
 

@@ -30,7 +30,7 @@ from convlens.llm.arrow import gather, prepare, slices, sums
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-CACHE = 200_000  # pieces kept per Python worker
+CACHE = 100_000  # pieces kept per Python worker
 
 
 class PairTable:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ALPHA = 15.0
 SENTIMENT_TOKEN = r"[\p{L}\p{N}_']+"
 
-# Fixed values from the published rule set.
+# Fixed values of the published rule set (vaderSentiment by C.J. Hutto, MIT licence).
 NEGATION_SCALAR = -0.74
 BOOSTER_INCREMENT = 0.293
 CAPS_INCREMENT = 0.733

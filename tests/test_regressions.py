@@ -199,3 +199,21 @@ def test_windows_over_the_joined_corpus(spark):
         got = sorted((r["pos"], list(r["x"]), list(r["y"])) for r in L.corpus_windows(df, "id", "text", vocab, block, stride, chunk=chunk).collect())
         want = [(p, joined[p : p + block], joined[p + 1 : p + block + 1]) for p in range(0, len(joined) - block, stride)]
         assert got == want, (block, stride, chunk)
+
+
+def test_random_search_draws_from_the_references_space(spark, monkeypatch):
+    from convlens.plans import q_models as Q
+
+    def drawn(df, features, label, est, folds, param_maps, **kw):
+        return folds, [{p.name: v for p, v in m.items()} for m in param_maps]
+
+    monkeypatch.setattr(M, "grid_search", drawn)
+    monkeypatch.setattr(Q, "_split", lambda spark, sf: (None, None))
+    search = M.random_search
+    got = []
+    monkeypatch.setattr(M, "random_search", lambda *a, **kw: got.append((a[3], *search(*a, **kw))) or (None, None))
+    Q.i3(spark, SF_SMALL)
+    [(space, folds, maps)] = got
+    assert space == {"maxIter": [30, 50, 70], "maxDepth": [2, 3, 4, 5, 6]}
+    assert folds == 3 and len({tuple(sorted(m.items())) for m in maps}) == 5
+    assert all(m["maxIter"] in (30, 50, 70) and 2 <= m["maxDepth"] <= 6 for m in maps)

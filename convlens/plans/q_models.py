@@ -3,7 +3,8 @@
 Binding: documents with a label are the rows, their word-length shares
 (C11) and character count are the features, ``labels.quality`` the target;
 lineitem gives a larger numeric matrix for the additive model and the
-attribution checks.
+attribution checks; the ablation (H10) runs over the conversations' feature
+table.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from convlens.operators import bow as B
 from convlens.operators import explain as X
 from convlens.operators import models as M
 from convlens.operators import prep as H
+from convlens.plans import pipelines as PL
 from convlens.plans.q_align import LI_KEY_SQL, li_key
+from convlens.plans.q_features import DRIVER_FILLERS, DRIVER_LEXICON, conv_parts
 from convlens.plans.registry import query, table
+from convlens.session import cut_lineage
 
 DOC_FEATURES = ["n_chars", "word_length_2", "word_length_3", "word_length_4", "word_length_5", "word_length_6", "word_length_7", "word_length_8_plus"]
 
@@ -34,10 +38,21 @@ def _split(spark, sf):
     return H.train_test_split(doc_features(spark, sf), F.col("doc_id"), test_size=0.5, seed=42)
 
 
+def scored_features(spark, sf):
+    """The whole feature table (G1 with clusters) with ``labels.quality`` of the same number as score, and its feature columns."""
+    parts = conv_parts(spark, sf)
+    members, _, _ = PL.transcript_analysis(parts, k=5, seed=42, dim=64)
+    feats = PL.feature_table(parts, DRIVER_LEXICON, DRIVER_FILLERS, clusters=members.select("id", "cluster"))
+    features = [c for c in feats.columns if c != "id"]
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("quality"))
+    # written once: every round reads all of it
+    return cut_lineage(feats.join(lab, "id").fillna(0.0, subset=features)), features
+
+
 @query("h10_ablation", None)
 def h10(spark, sf):
-    df = doc_features(spark, sf)
-    return M.ablation(df, DOC_FEATURES, "quality", DOC_FEATURES[1:5], key=F.col("doc_id"), grid={"maxIter": [10], "maxDepth": [3]}, folds=3)
+    df, features = scored_features(spark, sf)
+    return M.ablation(df, features, "quality", H.DEFAULT_DROP, key=F.col("id"))
 
 
 @query("i1_gbt_grid_search", None)

@@ -217,3 +217,17 @@ def test_random_search_draws_from_the_references_space(spark, monkeypatch):
     assert space == {"maxIter": [30, 50, 70], "maxDepth": [2, 3, 4, 5, 6]}
     assert folds == 3 and len({tuple(sorted(m.items())) for m in maps}) == 5
     assert all(m["maxIter"] in (30, 50, 70) and 2 <= m["maxDepth"] <= 6 for m in maps)
+
+
+def test_ablation_query_asks_for_the_whole_drop_order(spark, monkeypatch):
+    from convlens.operators import prep as H
+    from convlens.plans import q_models as Q
+
+    asked = []
+    monkeypatch.setattr(M, "ablation", lambda *a, **kw: asked.append((a, kw)))
+    Q.h10(spark, SF_SMALL)
+    [((df, features, label, order), kw)] = asked
+    assert order == H.DEFAULT_DROP and len(order) == 12 and set(order) < set(features) < set(df.columns)
+    assert set(kw) == {"key"}  # the default grid, 5 folds
+    rows = df.collect()
+    assert rows and all(r[c] is not None for r in rows for c in [*features, label])

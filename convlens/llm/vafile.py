@@ -1,7 +1,9 @@
 """Exact top-k inner products with a vector-approximation file.
 
-1. Vectors become integers, ``floor(scale * x)``.  Per dimension the range is
-   cut into ``CELLS`` equal cells; the approximation file holds one byte per
+1. Vectors become integers, ``floor(scale * x)``.  Of the ids that bear one
+   vector the ``k + 1`` smallest take part as candidates: a score is the same
+   for all of them, ties go to the smaller id, and one may be the query's own,
+   so no other can be among the ``k`` best.  Per dimension the range is cut into ``CELLS`` equal cells; the approximation file holds one byte per
    component, in blocks of ``BLOCK`` vectors, the exact vectors a table beside it.
 2. Scan: every block of cells meets every block of queries.  Cell borders give
    each vector a lower and an upper bound of its score.  In a block a query
@@ -59,6 +61,12 @@ def ranges(exact: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def candidates(whole: DataFrame, k: int) -> DataFrame:
+    """``id, v``: of the ids of every different vector the ``k + 1`` smallest, once each."""
+    same = Window.partitionBy("v").orderBy("id")
+    return whole.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).select("id", "v")
+
+
 class Grid:
     """Equal cells between the smallest and largest component of every dimension."""
 
@@ -186,9 +194,10 @@ def top_k(
     a query's own id is no candidate.  ``is_query`` is a condition on the column ``id``."""
     spark = vectors.sparkSession
     prepare(spark)
-    exact = cut_lineage(quantise(vectors, id_col, vec_col, scale))
+    whole = quantise(vectors, id_col, vec_col, scale)
+    exact = cut_lineage(candidates(whole, k))
     grids = {d: Grid(lo, hi, cells) for d, (lo, hi) in ranges(exact).items()}
-    asked = cut_lineage(exact.where(is_query))
+    asked = cut_lineage(whole.where(is_query).dropDuplicates(["id", "v"]))
     deals = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = scan(approximation_file(exact, grids, block), query_blocks(asked, QUERIES), grids, k, deals)
     found = cut_lineage(found.groupBy("query_id", "id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper")))

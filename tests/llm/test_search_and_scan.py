@@ -41,6 +41,19 @@ def test_top_k_against_brute_force(spark, block, cells):
     assert vafile.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_copies_of_a_hot_vector_bring_k_and_one_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    hot = [2.0] * 8
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(1, 60)]
+    rows += [(i, hot) for i in range(60, 560)] + [(505, rows[3][1]), (505, hot), (7, hot)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    scan, found = vafile.scan, []
+    monkeypatch.setattr(vafile, "scan", lambda *a: found.append(scan(*a)) or found[0])
+    got = vafile.top_k(df, F.col("id") % 100 == 0, k=10).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 10)
+    assert found[0].groupBy("query_id").count().agg(F.max("count")).first()[0] < 80
+
+
 def test_bounds_hold_the_score():
     rng = np.random.default_rng(1)
     v = rng.integers(-3000, 3000, (300, 16))

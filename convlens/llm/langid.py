@@ -7,8 +7,10 @@ with a penalty for switching labels spans of one language each.
 
 The model is learned from labelled texts: n-gram counts by language over whole
 texts, aggregated by Spark.  The number of labelled rows is bounded by
-``ROWS`` (chosen by a hash of the id, a documented parameter), the size of the
-model by ``languages * DIMS`` numbers; that is all the driver receives.
+``ROWS`` (a documented parameter): up to a level that all languages share, a
+language brings all its rows, above it rows chosen by a hash of id and text,
+and one at least, so that every labelled language is learned whatever its
+share of the table.  The size of the model is bounded by ``languages * DIMS`` numbers; that is all the driver receives.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and no spans; a word in a script that no language was seen with follows its
@@ -106,6 +108,17 @@ class Model:
         return out.astype(np.float32), lens
 
 
+def level(sizes: list[int], rows: int) -> float:
+    """Rows that each language may bring, so that together they bring ``rows`` or all they have."""
+    left = float(rows)
+    for k, n in enumerate(sorted(sizes)):
+        each = left / (len(sizes) - k)
+        if n > each:
+            return each
+        left -= n
+    return float("inf")
+
+
 def fit(docs: DataFrame, use: Column, id_col="doc_id", text_col="text", lang_col="lang", rows: int = ROWS) -> Model | None:
     """Learn from the text and non-null language of the rows for which ``use`` holds."""
     import pyarrow as pa
@@ -114,9 +127,13 @@ def fit(docs: DataFrame, use: Column, id_col="doc_id", text_col="text", lang_col
     given = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")
     )
-    n = given.count()
-    if n > rows:
-        given = given.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.lit(int(rows / n * (1 << 20))))
+    given = given.withColumn("h", F.pmod(F.xxhash64("i", "t"), F.lit(1 << 40)))
+    sizes = given.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    each = level([r["n"] for r in sizes], rows)
+    bounds = [(r["l"], max(int(each / r["n"] * (1 << 40)), r["least"] + 1)) for r in sizes if r["n"] > each]
+    if bounds:
+        bound = docs.sparkSession.createDataFrame(bounds, "l string, bound long")
+        given = given.join(F.broadcast(bound), "l", "left").where(F.col("bound").isNull() | (F.col("h") < F.col("bound")))
 
     def run(batches):
         # counts of one task by language; the last places count words by script

@@ -167,6 +167,18 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_languages_are_learned_at_any_size(spark):
+    rows = [(i, f"the cat and dog number {i} went home", "en") for i in range(2000)]
+    rows += [(3000 + i, "le chat et le chien sont rentres", "fr") for i in range(3)] + [(None, "die katze und der hund", "de")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), rows=60)
+    assert model.langs == ["de", "en", "fr"]
+    got = {r.text: r.lang_pred for r in langid.identify(docs, model).join(docs, "doc_id").where("doc_id >= 3000").collect()}
+    assert set(got.values()) == {"fr"}
+    assert langid.fit(docs, F.lit(True), rows=1).langs == ["de", "en", "fr"]
+    assert langid.level([2000, 3, 2], 60) == 55 and langid.level([5, 5], 10) == float("inf")
+
+
 def brute_viterbi(score, penalty):
     n, m = score.shape
     best, back = score[0].astype(float), []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convlens.llm import bpe, chatformat, exact_dedup, jaccard_join, langid, licenses, mixing, quality, token_blocks, vafile
+from convlens.llm import bpe, chatformat, exact_dedup, jaccard_join, langid, licenses, mixing, periodic, quality, token_blocks, vafile
 from convlens.llm.registry import register
 from convlens.session import cut_lineage
 
@@ -214,3 +214,10 @@ def op7_token_blocks(spark, sf_dir):
 
 
 register("op7_token_blocks", op7_token_blocks)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
+register("op13_periodic_runs", op13_periodic_runs)

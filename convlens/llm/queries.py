@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convlens.llm import bpe, chatformat, exact_dedup, jaccard_join, langid, licenses, mixing, periodic, quality, token_blocks, vafile
+from convlens.llm import bpe, chatformat, exact_dedup, jaccard_join, langid, licenses, mixing, periodic, quality, token_blocks, vafile, whitening
 from convlens.llm.registry import register
 from convlens.session import cut_lineage
 
@@ -221,3 +221,10 @@ def op13_periodic_runs(spark, sf_dir):
 
 
 register("op13_periodic_runs", op13_periodic_runs)
+
+
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+register("op11_whitening", op11_whitening)

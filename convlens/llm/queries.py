@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convlens.llm import bpe, chatformat, exact_dedup, jaccard_join, langid, licenses, mixing, periodic, quality, token_blocks, vafile, whitening
+from convlens.llm import (
+    bpe,
+    chatformat,
+    exact_dedup,
+    jaccard_join,
+    langid,
+    licenses,
+    mixing,
+    periodic,
+    pii,
+    quality,
+    token_blocks,
+    vafile,
+    whitening,
+)
 from convlens.llm.registry import register
 from convlens.session import cut_lineage
 
@@ -228,3 +242,11 @@ def op11_whitening(spark, sf_dir):
 
 
 register("op11_whitening", op11_whitening)
+
+
+def op12_pii(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
+register("op12_pii", op12_pii)

@@ -53,7 +53,7 @@ LONGEST = 32  # tokens of a chain that training takes at once
 ROUNDS = 4
 STEPS = 80
 DECAY = 1e-4
-PRIOR = (10, 1)  # agreeing and other neighbours that the skip potential starts from
+PRIOR = (1000, 1)  # agreeing and other neighbours that the skip potential starts from
 FORBIDDEN = -1e4
 
 _EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]")

@@ -1,10 +1,11 @@
-"""Model fitting and evaluation on MLlib (inventory I1-I6, H10).
+"""Model fitting and evaluation (inventory I1-I6, H10).
 
 Folds and splits come from a hash of the row key, so they do not depend on
-partitioning.  Grid searches run the fold fits in parallel (driver threads
-launch Spark jobs).  Ridge regression is also available as exact normal
-equations: one aggregation of the Gram matrix (partial sums per task) and a
-d x d solve.
+partitioning.  Boosted trees grow for all folds, grid points and feature
+subsets together (``boosting``); rows with missing values stay.  Ridge
+regression comes from sums: one aggregation of the Gram matrix by fold, a
+training side is the total less its fold, a smaller feature set a sub-matrix,
+and what is left is a d x d solve.  Any MLlib estimator can be searched too.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from convlens.functions.common import md5_hex8
 from convlens.functions.stats import safe_corr
+from convlens.operators.boosting import Ensemble, Ensembles, fit_ensembles
 from convlens.operators.prep import apply_minmax, fit_minmax, train_test_split
+from convlens.session import cut_lineage
 
 DEFAULT_GBT_GRID = {"maxIter": [20, 60, 120], "maxDepth": [5, 10, 20]}
 
@@ -56,6 +59,52 @@ def _prep(df: DataFrame, features: list[str], label: str, key=None, folds: int |
     return d
 
 
+class BoostedModel:
+    """Boosted trees (see ``boosting``) with the transform of a fitted model: a column ``prediction`` for every row."""
+
+    def __init__(self, ensembles: Ensembles, pick: tuple[int, int]):
+        self.ensembles, self.pick = ensembles, pick
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.ensembles.predict(df, [self.pick], df.columns)
+        return out.withColumn("prediction", F.col("predictions")[0]).drop("predictions")
+
+
+def _fold(df: DataFrame, features: list[str], label: str, key, folds: int, seed: int):
+    # without a key, hash the row's values (deterministic, unlike row ids)
+    k = key if key is not None else F.to_json(F.struct(*[F.col(c) for c in [*features, label]]))
+    return fold_column(k, folds, seed)
+
+
+def _params(rounds: int, depth: int) -> str:
+    return f"maxDepth={depth}, maxIter={rounds}"
+
+
+def boosted_search(df: DataFrame, features: list[str], label: str, maps: list[tuple[int, int]], folds: int, key=None, seed: int = 42):
+    """Every ``(rounds, depth)`` of ``maps`` by the mean absolute error over the folds; all folds, and the refits on all rows,
+    grow together.  ``(best model, table(params, mae, n_dropped))``; only rows without a label are dropped."""
+    depths = sorted({d for _, d in maps})
+    most = {d: max(r for r, x in maps if x == d) for d in depths}
+    every = tuple(range(len(features)))
+    plans = [Ensemble(every, d, most[d], f) for d in depths for f in [*range(folds), -1]]
+    fitted = fit_ensembles(df, features, label, plans, _fold(df, features, label, key, folds, seed), tuple(sorted({r for r, _ in maps})))
+    dropped = df.where(F.col(label).isNull() | F.isnan(F.col(label).cast("double"))).count()
+    rows, best = _scored(maps, depths, folds, fitted.errors, 0)
+    table = df.sparkSession.createDataFrame([(_params(*m), e, dropped) for m, e in rows], "params string, mae double, n_dropped long")
+    return BoostedModel(fitted, best), table
+
+
+def _scored(maps, depths, folds: int, errors, first: int) -> tuple[list[tuple[tuple[int, int], float]], tuple[int, int]]:
+    """Mean error of every map, and the refitted ensemble and rounds of the best (the first of equals)."""
+    rows = []
+    for rounds, depth in maps:
+        at = first + depths.index(depth) * (folds + 1)
+        known = [errors[at + f][rounds] for f in range(folds) if rounds in errors[at + f]]
+        rows.append(((rounds, depth), sum(known) / len(known) if known else float("nan")))
+    (rounds, depth), _ = min(rows, key=lambda r: (r[1] != r[1], r[1]))
+    return rows, (first + depths.index(depth) * (folds + 1) + folds, rounds)
+
+
 def grid_search(
     df: DataFrame,
     features: list[str],
@@ -70,49 +119,47 @@ def grid_search(
 ):
     """K-fold grid search by MAE; the best map is refit on all rows.
 
-    Returns ``(best_model, table(params STRING, mae DOUBLE))``.
+    Without an estimator: boosted trees over ``maxIter`` and ``maxDepth``.
+    With one: any MLlib estimator, ``grid`` or ``param_maps`` over its parameters.
+
+    Returns ``(best_model, table(params STRING, mae DOUBLE, n_dropped BIGINT))``.
     """
-    from pyspark.ml.regression import GBTRegressor
+    if estimator is None:
+        grid = grid or DEFAULT_GBT_GRID
+        return boosted_search(df, features, label, list(product(grid["maxIter"], grid["maxDepth"])), folds, key, seed)
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    est = estimator or GBTRegressor(seed=seed, labelCol="label", featuresCol="features")
     if param_maps is None:
         b = ParamGridBuilder()
-        for name, values in (grid or DEFAULT_GBT_GRID).items():
-            b = b.addGrid(est.getParam(name), values)
+        for name, values in (grid or {}).items():
+            b = b.addGrid(estimator.getParam(name), values)
         param_maps = b.build()
     # the prepared rows are read once per fold and map: keep them cached for the search
     data = _prep(df, features, label, key, folds, seed).select("features", "label", "fold").cache()
     cv = CrossValidator(
-        estimator=est, estimatorParamMaps=param_maps, evaluator=_mae(), numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed
+        estimator=estimator, estimatorParamMaps=param_maps, evaluator=_mae(), numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed
     )
     model = cv.fit(data)
     data.unpersist()
+    dropped = incomplete(df, features).first()[0]
     rows = [
-        (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(metric))
+        (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(metric), dropped)
         for m, metric in zip(param_maps, model.avgMetrics)
     ]
-    table = df.sparkSession.createDataFrame(rows, "params string, mae double")
+    table = df.sparkSession.createDataFrame(rows, "params string, mae double, n_dropped long")
     return model.bestModel, table
 
 
-def random_search(df, features, label, space: dict, n_iter: int = 5, folds: int = 3, seed: int = 42, key=None, parallelism: int = 4):
-    """``n_iter`` maps drawn without replacement from the grid (seeded), k-fold by MAE."""
-    from pyspark.ml.regression import GBTRegressor
-
-    est = GBTRegressor(seed=seed, labelCol="label", featuresCol="features")
-    names = list(space)
-    combos = list(product(*[space[n] for n in names]))
+def random_search(df, features, label, space: dict, n_iter: int = 5, folds: int = 3, seed: int = 42, key=None):
+    """``n_iter`` maps of boosted trees drawn without replacement from ``space`` (seeded), k-fold by MAE."""
+    combos = list(product(space["maxIter"], space["maxDepth"]))
     chosen = random.Random(seed).sample(combos, min(n_iter, len(combos)))
-    maps = [{est.getParam(n): v for n, v in zip(names, c)} for c in chosen]
-    return grid_search(df, features, label, est, folds=folds, key=key, seed=seed, parallelism=parallelism, param_maps=maps)
+    return boosted_search(df, features, label, chosen, folds, key, seed)
 
 
-def gbt_default(df: DataFrame, features: list[str], label: str, seed: int = 42):
+def gbt_default(df: DataFrame, features: list[str], label: str, rounds: int = 100, depth: int = 6) -> BoostedModel:
     """Boosted trees with default parameters."""
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(seed=seed, labelCol="label", featuresCol="features").fit(_prep(df, features, label))
+    return BoostedModel(fit_ensembles(df, features, label, [Ensemble(tuple(range(len(features))), depth, rounds)]), (0, rounds))
 
 
 def ridge_mllib(df: DataFrame, features: list[str], label: str, alpha: float = 1.0):
@@ -131,34 +178,83 @@ def ridge_mllib(df: DataFrame, features: list[str], label: str, alpha: float = 1
     return lr.fit(_prep(df, features, label))
 
 
-def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> DataFrame:
-    """I4 exact: ``(term, coefficient)`` rows, 'intercept' first.
+def gram(df: DataFrame, features: list[str], label: str, fold=None) -> DataFrame:
+    """``fold, i, j, s``: by fold the sums of products of ``1, features, label`` (positions from 0, i <= j) over complete rows.
 
-    Solves ``(Xc'Xc + alpha I) w = Xc'yc`` on centred data.  The Gram matrix
-    is one aggregation of sums and cross-products (partial per task); the
-    d x d solve on the driver is tiny.
+    One pass; partial sums per task.
     """
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in [*features, label]]]
+    # taken once: of the rows, not inside every product
+    flat = df.select((fold if fold is not None else F.lit(0)).cast("int").alias("fold"), *[c.alias(f"c{k}") for k, c in enumerate(cols)])
+    flat = flat.dropna(subset=[f"c{k}" for k in range(len(cols))])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = flat.groupBy("fold").agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}_{j}").alias("s")) for i, j in pairs])
+    return sums.select("fold", F.explode(rows).alias("e")).select("fold", "e.i", "e.j", "e.s")
+
+
+def gram_by_fold(df: DataFrame, features: list[str], label: str, fold=None) -> dict:
+    """``gram`` as one symmetric matrix per fold."""
+    import numpy as np
+
+    d, out = len(features) + 2, {}
+    for r in gram(df, features, label, fold).collect():
+        m = out.setdefault(r["fold"], np.zeros((d, d)))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
+    return out
+
+
+def ridge_solve(m, alpha: float, keep: list[int] | None = None):
+    """``(intercept, weights)`` of ``(Xc'Xc + alpha I) w = Xc'yc`` from a Gram matrix; ``keep``: positions of the features used."""
     import numpy as np
 
-    cols = [*features, label]
-    sums = [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    firsts = [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-    row = df.select(*cols).dropna().agg(F.count(F.lit(1)).alias("n"), *firsts, *sums).first()
-    n = int(row["n"])
-    d = len(features)
-    s = np.array([row[f"s{i}"] for i in range(d + 1)], dtype=float)
-    m = np.zeros((d + 1, d + 1))
-    for i in range(d + 1):
-        for j in range(i, d + 1):
-            m[i, j] = m[j, i] = row[f"{i}_{j}"]
-    mean = s / n
-    cov = m - n * np.outer(mean, mean)
-    w = np.linalg.solve(cov[:d, :d] + alpha * np.eye(d), cov[:d, d])
-    b = mean[d] - mean[:d] @ w
-    rows = [("intercept", float(b))] + [(f, float(c)) for f, c in zip(features, w)]
+    at = [k + 1 for k in (keep if keep is not None else range(len(m) - 2))]
+    n, mean, y = m[0, 0], m[0, at] / max(m[0, 0], 1.0), m[0, -1] / max(m[0, 0], 1.0)
+    cov = m[np.ix_(at, at)] - n * np.outer(mean, mean)
+    w = np.linalg.solve(cov + alpha * np.eye(len(at)), m[at, -1] - n * mean * y)
+    return float(y - mean @ w), w
+
+
+def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> DataFrame:
+    """I4 exact: ``(term, coefficient)`` rows, 'intercept' first."""
+    found = gram_by_fold(df, features, label)
+    if not found:
+        raise ValueError("no complete row")
+    b, w = ridge_solve(found[0], alpha)
+    rows = [("intercept", b)] + [(f, float(c)) for f, c in zip(features, w)]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
 
 
+def linear(features: list[str], b: float, w):
+    """The prediction of a linear model as a column; null where a feature is."""
+    terms = [F.lit(float(b)), *[F.lit(float(c)) * F.col(f).cast("double") for f, c in zip(features, w)]]
+    # added in pairs, so that long sums don't nest deeply
+    while len(terms) > 1:
+        terms = [sum(terms[k + 1 : k + 2], terms[k]) for k in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def ridge_cv(df: DataFrame, features: list[str], label: str, alphas=(1.0,), folds: int = 5, key=None, seed: int = 42) -> DataFrame:
+    """I5 for ridge: ``alpha, fold, n, mae`` of every fold's rows under the model of the others.
+
+    All fits come from one aggregation (a training side is the total less its
+    fold), all scores from a second pass.  Rows with a missing value take no part.
+    """
+    fold = _fold(df, features, label, key, folds, seed)
+    sums = gram_by_fold(df, features, label, fold)
+    total = sum(sums.values())
+    scored = []
+    for alpha in alphas:
+        for f in sorted(sums):
+            if (total - sums[f])[0, 0] > 0:
+                b, w = ridge_solve(total - sums[f], alpha)
+                error = F.abs(linear(features, b, w) - F.col(label).cast("double"))
+                scored.append(F.when(F.col("__fold") == f, F.struct(F.lit(float(alpha)).alias("alpha"), error.alias("e"))))
+    rows = df.dropna(subset=[*features, label]).withColumn("__fold", fold)
+    each = rows.select("__fold", F.explode(F.filter(F.array(*scored), lambda x: x.isNotNull())).alias("s"))
+    return each.groupBy("s.alpha", F.col("__fold").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg("s.e").alias("mae"))
+
+
 def ridge_1d(df: DataFrame, x: str, y: str, alpha: float = 1.0) -> DataFrame:
     """I4 closed form for one feature as a single aggregation (SQL-checkable)."""
     agg = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
@@ -184,11 +280,17 @@ def cv_score(df: DataFrame, features: list[str], label: str, estimator, folds: i
 
 
 def predict_evaluate(model, df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """``(n, n_dropped, r, mae)`` of a fitted model on ``df``; rows with a null feature have no prediction and are counted."""
-    pred = model.transform(_prep(df, features, label))
+    """``(n, n_dropped, r, mae)`` of a fitted model on ``df``; rows that an MLlib model can't predict, because a feature is
+    null, are counted.  Boosted trees predict every row."""
+    if isinstance(model, BoostedModel):
+        pred = model.transform(df.withColumn("label", F.col(label).cast("double")).where(F.col("label").isNotNull()))
+        missing = F.lit(0).cast("long")
+    else:
+        pred = model.transform(_prep(df, features, label))
+        missing = incomplete(df, features).scalar()
     return pred.agg(
         F.count(F.lit(1)).alias("n"),
-        incomplete(df, features).scalar().alias("n_dropped"),
+        missing.alias("n_dropped"),
         safe_corr("prediction", "label").alias("r"),
         F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"),
     )
@@ -206,32 +308,47 @@ def ablation(
     folds: int = 5,
     alpha: float = 1.0,
 ) -> DataFrame:
-    """Round r drops the first r columns of ``drop_order``; each round
-    scales on train, fits boosted trees (grid search) and ridge, and scores
-    on test.  Same split every round.
+    """Round r drops the first r columns of ``drop_order``; each round fits boosted trees (grid search) and ridge on the
+    training side, scaled there, and scores both on the test side.  Same split every round.
+
+    The trees of all rounds, folds and grid points grow together, and with them
+    the refits; the ridge fits are sub-matrices of one Gram matrix; one pass
+    over the test side scores all rounds.
 
-    Returns ``(round, dropped ARRAY, n_features, gbt_r, gbt_mae, ridge_r, ridge_mae)``.
+    Returns ``(round, dropped ARRAY, n_features, gbt_r, gbt_mae, ridge_r, ridge_mae, n_dropped)``; ``n_dropped`` counts the
+    test rows that ridge can't predict because a feature is null.
     """
     spark = df.sparkSession
     train, test = train_test_split(df, key, test_size=test_size, seed=seed)
-    train, test = train.cache(), test.cache()
-    records = []
-    dropped: list[str] = []
-    for rnd in range(len(drop_order) + 1):
-        cols = [c for c in features if c not in dropped]
-        if not cols:
-            break
-        params = fit_minmax(train, cols)
-        tr, te = apply_minmax(train, params, cols), apply_minmax(test, params, cols)
-        gbt, _ = grid_search(tr, cols, label, grid=grid, folds=folds, key=key, seed=seed)
-        g = predict_evaluate(gbt, te, cols, label).first()
-        rdg = ridge_mllib(tr, cols, label, alpha)
-        r = predict_evaluate(rdg, te, cols, label).first()
-        records.append((rnd, list(dropped), len(cols), g["r"], g["mae"], r["r"], r["mae"]))
-        if rnd < len(drop_order):
-            dropped.append(drop_order[rnd])
-    train.unpersist()
-    test.unpersist()
-    return spark.createDataFrame(
-        records, "round int, dropped array<string>, n_features int, gbt_r double, gbt_mae double, ridge_r double, ridge_mae double"
+    params = fit_minmax(train, features)
+    # written once: every round reads the scaled columns many times
+    train = cut_lineage(apply_minmax(train, params, features))
+    test = cut_lineage(apply_minmax(test, params, features).where(F.col(label).isNotNull()))
+    grid = grid or DEFAULT_GBT_GRID
+    maps, depths = list(product(grid["maxIter"], grid["maxDepth"])), sorted(set(grid["maxDepth"]))
+    left = [[k for k, c in enumerate(features) if c not in drop_order[:r]] for r in range(len(drop_order) + 1)]
+    left = [x for x in left if x]
+    plans = [Ensemble(tuple(x), d, max(grid["maxIter"]), f) for x in left for d in depths for f in [*range(folds), -1]]
+    fitted = fit_ensembles(train, features, label, plans, _fold(train, features, label, key, folds, seed), tuple(sorted(set(grid["maxIter"]))))
+    per = len(depths) * (folds + 1)
+    picks = [_scored(maps, depths, folds, fitted.errors, r * per)[1] for r in range(len(left))]
+    sums = gram_by_fold(train, features, label)
+    if not sums:
+        raise ValueError("no complete training row")
+    named = test.withColumn("__y", F.col(label).cast("double"))
+    ridge = []
+    for x in left:
+        b, w = ridge_solve(sums[0], alpha, x)
+        ridge.append(linear([features[k] for k in x], b, w))
+    # written, so that the optimizer doesn't infer constraints from the sums for every column renamed above them
+    both = fitted.predict(cut_lineage(named.withColumn("__ridge", F.array(*ridge))), picks, ["__y", "__ridge"])
+    rounds = both.select("__y", F.posexplode(F.arrays_zip(F.col("predictions").alias("g"), F.col("__ridge").alias("l"))).alias("round", "p"))
+    scores = rounds.groupBy("round").agg(
+        safe_corr("p.g", "__y").alias("gbt_r"),
+        F.avg(F.abs(F.col("p.g") - F.col("__y"))).alias("gbt_mae"),
+        safe_corr("p.l", "__y").alias("ridge_r"),
+        F.avg(F.abs(F.col("p.l") - F.col("__y"))).alias("ridge_mae"),
+        F.count(F.when(F.col("p.l").isNull(), 1)).alias("n_dropped"),
     )
+    names = spark.createDataFrame([(r, list(drop_order[:r]), len(x)) for r, x in enumerate(left)], "round int, dropped array<string>, n_features int")
+    return names.join(scores, "round", "left")

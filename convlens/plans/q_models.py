@@ -104,6 +104,35 @@ def i5(spark, sf):
     return spark.createDataFrame([(score,)], "cv_mae double")
 
 
+AM_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+_LI_FOLD_SQL = f"('0x' || substr(md5('fold42:' || ({LI_KEY_SQL})), 1, 8))::BIGINT % 5"
+
+
+def _fold_sums_sql() -> str:
+    cols = ["1.0", *[f"{c}::DOUBLE" for c in AM_FEATURES], "l_extendedprice::DOUBLE"]
+    parts = [f"SELECT fold, {i} AS i, {j} AS j, sum(c{i} * c{j}) AS s FROM li GROUP BY fold" for i in range(len(cols)) for j in range(i, len(cols))]
+    named = ", ".join(f"{c} AS c{k}" for k, c in enumerate(cols))
+    present = " AND ".join(f"{c} IS NOT NULL" for c in [*AM_FEATURES, "l_extendedprice"])
+    return f"WITH li AS (SELECT ({_LI_FOLD_SQL})::INTEGER AS fold, {named} FROM lineitem WHERE {present}) " + " UNION ALL ".join(parts)
+
+
+@query("i5_fold_sums", _fold_sums_sql())
+def i5_sums(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return M.gram(li, AM_FEATURES, "l_extendedprice", M.fold_column(li_key(), 5))
+
+
+@query("i5_ridge_cv", f"""
+WITH li AS (SELECT {_LI_FOLD_SQL} AS fold, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem
+            WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+fits AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx
+         FROM (SELECT DISTINCT fold FROM li) f JOIN li ON li.fold <> f.fold GROUP BY f.fold),
+w AS (SELECT alpha, fold, mx, my, sxy / (sxx + alpha) AS b FROM fits, (SELECT unnest([0.1, 1.0, 1000000.0])::DOUBLE AS alpha))
+SELECT alpha, li.fold::INTEGER AS fold, count(*) AS n, avg(abs(my + b * (x - mx) - y)) AS mae FROM li JOIN w ON w.fold = li.fold GROUP BY alpha, li.fold""")
+def i5_ridge(spark, sf):
+    return M.ridge_cv(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", alphas=(0.1, 1.0, 1e6), folds=5, key=li_key())
+
+
 @query("i6_predict_evaluate", None)
 def i6(spark, sf):
     train, test = _split(spark, sf)
@@ -111,7 +140,6 @@ def i6(spark, sf):
     return M.predict_evaluate(model, test, DOC_FEATURES, "quality")
 
 
-AM_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 AM_BINS = 32
 
 

@@ -27,8 +27,9 @@ deviations) that recall is set by the forest.
 Defined results: a null text counts as empty; a text without a word has no
 shingles, no links and a class of its own; rows that repeat an id and text
 are copies of each other, rows of one id with different texts are documents of
-their own; a row with a null id takes its class and links from its copies and
-is never the representative; an empty table gives an empty one.
+their own; rows with a null id take part like others, and are known by a hash
+of their text: a class of null ids only has a null ``class_id``; ids that are
+no whole numbers count as null; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -135,8 +136,16 @@ def sketch(sets: list[np.ndarray], trees: int, depth: int, keep: int) -> tuple[n
     return low, keys
 
 
+def _id(id_col: str):
+    return F.expr(f"try_cast(`{id_col}` AS BIGINT)").alias("i")
+
+
+def _text_hash(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("th")
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int, depth: int, keep: int) -> DataFrame:
-    """``i, h (hash of the set, null without a shingle), low, keys`` per row; a map without shuffle."""
+    """``i, th (hash of the text), h (hash of the set, null without a shingle), low, keys`` per row; a map without shuffle."""
     import pyarrow as pa
 
     def run(batches):
@@ -150,15 +159,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
-                    names=["i", "h", "low", "keys"],
+                    names=["i", "th", "h", "low", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(
-        run, "i long, h binary, low binary, keys array<long>"
+    return docs.select(_id(id_col), F.col(text_col).alias("t"), _text_hash(text_col)).mapInArrow(
+        run, "i long, th string, h binary, low binary, keys array<long>"
     )
 
 
@@ -334,61 +344,81 @@ def _groups(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = WORDS,
-    threshold: float = THRESHOLD,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    recall: float = RECALL,
-    cut: float = CUT,
-    block: int = BLOCK,
-    texts: int = TEXTS,
-) -> DataFrame:
-    """One row per document: ``id, class_id, n_links, n_copies``.
-
-    ``class_id`` is the smallest id of the documents that links connect;
-    ``n_links`` counts the other documents with a Jaccard similarity of
-    ``threshold`` or more, copies included; ``n_copies`` the documents with
-    the same shingle set, itself included.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, words, threshold, trees, depth, recall, cut, block, texts) -> tuple[DataFrame, DataFrame]:
+    """``i, th, h`` per row, and ``h, class, class_id, n_links, n_copies`` per different shingle set."""
     prepare(docs.sparkSession)
     keep = prefix_depth(threshold, trees, depth, recall)
     rows = cut_lineage(sketches(docs, id_col, text_col, words, trees, depth, keep))
-    # a representative goes by a number of its own, k: different texts may bear one id
+    # a representative goes by a number of its own, k: different texts may bear one id; where no row has an id, by its text
     reps = cut_lineage(
         rows.where(F.col("h").isNotNull())
         .groupBy("h")
-        .agg(F.min("i").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("keys").alias("keys"))
+        .agg(
+            F.min("i").alias("id"),
+            F.min(F.when(F.col("i").isNull(), F.col("th"))).alias("th"),
+            F.count(F.lit(1)).alias("copies"),
+            F.first("low").alias("low"),
+            F.first("keys").alias("keys"),
+        )
         .withColumn("k", F.monotonically_increasing_id())
     )
-    known = reps.where(F.col("id").isNotNull())
-    edges = cut_lineage(candidate_edges(known.select(F.col("k").alias("i"), "low", "keys"), trees, depth, keep, cut, block).distinct())
+    edges = cut_lineage(candidate_edges(reps.select(F.col("k").alias("i"), "low", "keys"), trees, depth, keep, cut, block).distinct())
     groups = connected_components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    own = known.select(F.col("k").alias("i"), "id", "h", "copies")
+    own = reps.select(F.col("k").alias("i"), "id", "th", "h", "copies")
     members = cut_lineage(groups.withColumnRenamed("id", "i").join(sizes, "root").join(own, "i"))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    text = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("t"), _text_hash(text_col))
     # the written table of bare ids is small enough for Spark to broadcast up to its threshold in bytes, so that
     # texts without a candidate stay where they are; beyond the threshold the same join shuffles
-    text = text.join(cut_lineage(members.select("id").distinct()), "id", "left_semi")
-    dealt = _blocks(members.join(text, "id").select("root", "n", "i", "h", "copies", "t"), "root", "n", texts)
+    named = members.where(F.col("id").isNotNull())
+    found = text.drop("th").join(cut_lineage(named.select("id").distinct()), "id", "left_semi")
+    nameless = members.where(F.col("id").isNull()).drop("id")
+    # a text that null ids repeat is moved once a task
+    bare = text.where(F.col("id").isNull()).select("th", "t").join(cut_lineage(nameless.select("th").distinct()), "th", "left_semi")
+    shown = ("root", "n", "i", "h", "copies", "t")
+    both = named.join(found, "id").select(*shown).unionByName(
+        nameless.join(bare.groupBy("th").agg(F.first("t").alias("t")), "th").select(*shown)
+    )
+    dealt = _blocks(both, "root", "n", texts)
     checked = cut_lineage(
         _verified(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), words, threshold)
     )
     linked = connected_components(checked.select(F.col("i").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "i")
     smallest = linked.join(own, "i").groupBy("root").agg(F.min("id").alias("class_id"))
-    classes = linked.join(smallest, "root").select("i", "class_id")
+    classes = linked.join(smallest, "root").select("i", "class_id", F.col("root").alias("class"))
     links = checked.groupBy("i").agg(F.sum("links").alias("links"))
-    found = links.join(classes, "i").withColumnRenamed("i", "k")
-    decided = reps.select("h", "id", "k", "copies").join(found, "k", "left").select(
+    joined = links.join(classes, "i").withColumnRenamed("i", "k")
+    decided = reps.select("h", "id", "k", "copies").join(joined, "k", "left").select(
         "h",
-        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("class", "k").alias("class"),
+        F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("copies").alias("n_copies"),
     )
+    return rows.select("i", "th", "h"), decided
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    recall: float = RECALL,
+    cut: float = CUT,
+    block: int = BLOCK,
+    texts: int = TEXTS,
+) -> DataFrame:
+    """One row per document: ``id, class_id, n_links, n_copies``.
+
+    ``class_id`` is the smallest id of the documents that links connect;
+    ``n_links`` counts the other documents with a Jaccard similarity of
+    ``threshold`` or more, copies included; ``n_copies`` the documents with
+    the same shingle set, itself included.
+    """
+    rows, decided = _classes(docs, id_col, text_col, words, threshold, trees, depth, recall, cut, block, texts)
     out = rows.select("i", "h").join(decided, "h", "left")
     return out.select(
         F.col("i").alias(id_col),
@@ -398,11 +428,42 @@ def near_copies(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with the document of the smallest id of every class; columns unchanged.
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    recall: float = RECALL,
+    cut: float = CUT,
+    block: int = BLOCK,
+    texts: int = TEXTS,
+) -> DataFrame:
+    """``docs`` with one row of every class, that of the smallest id (null ids last) and, of its texts, the smallest hash;
+    columns unchanged.
 
-    Rows that repeat an id stay or go together.
+    Decided by id and text, so that another text under the id of a near copy
+    stays.  Texts without a word all stay.
     """
-    marked = near_copies(docs, id_col, text_col, **kw)
-    gone = cut_lineage(marked.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    rows, decided = _classes(docs, id_col, text_col, words, threshold, trees, depth, recall, cut, block, texts)
+    counted = rows.where(F.col("h").isNotNull()).groupBy("i", "th", "h").agg(F.count(F.lit(1)).alias("n"))
+    marked = cut_lineage(counted.join(decided.select("h", "class"), "h").select("i", "th", "n", "class"))
+    best = marked.groupBy("class").agg(F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th")).alias("b"))
+    same = F.col("i").eqNullSafe(F.col("b.i")) & (F.col("th") == F.col("b.th"))
+    placed = marked.join(best, "class")
+    key = docs.select("*", _id(id_col).alias("__i"), _text_hash(text_col).alias("__th"))
+
+    def meets(pairs: DataFrame):
+        return key["__i"].eqNullSafe(pairs["i"]) & (key["__th"] == pairs["th"])
+
+    gone = cut_lineage(placed.where(~same).select("i", "th"))
+    again = cut_lineage(placed.where(same & (F.col("n") > 1)).select("i", "th"))
+    left = key.join(gone, meets(gone), "left_anti")
+    if again.isEmpty():
+        return left.drop("__i", "__th")
+    # rows that repeat id and text: one of them
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = key.join(again, meets(again), "left_semi").groupBy("__i", "__th").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return left.join(again, meets(again), "left_anti").drop("__i", "__th").unionByName(one)

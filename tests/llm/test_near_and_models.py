@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +81,23 @@ def test_near_copies_null_ids_repeats_and_empty(spark):
     assert got == [(-1, -1, 0), (-1, 2, 3), (2, 2, 0), (2, 2, 3), (4, 2, 3), (4, 2, 3)]
     assert jaccard_join.near_copies(df.limit(0)).count() == 0
     assert jaccard_join.drop_near_copies(df.limit(0)).count() == 0
+    kept = sorted(((r.doc_id or -1, r.text) for r in jaccard_join.drop_near_copies(df).collect()))
+    assert kept == [(-1, "z y x"), (2, text + " k"), (2, "other words than that one here")]
+
+
+def test_near_copies_that_only_null_ids_hold(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, far = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1])
+    rows = [(None, near, 1), (None, near, 2), (7, text, 3), (None, far, 4), (None, far + " tail", 5), (7, "a different text under the same id", 6), (3, near, 7), (3, near, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_copies(df).collect())
+    assert got == Counter({(None, 3, 4): 2, (7, 3, 4): 1, (3, 3, 4): 2, (None, None, 1): 2, (7, 7, 0): 1})
+    only = df.where("th in (1, 3)")  # no known id holds the near copy
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_copies(only).collect()} == {(None, 7, 1), (7, 7, 1)}
+    kept = jaccard_join.drop_near_copies(df)
+    assert kept.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(kept, key=str) == sorted([(3, near), (7, "a different text under the same id"), (None, min(far, far + " tail", key=lambda t: hashlib.md5(t.encode()).hexdigest()))], key=str)
 
 
 def test_prefix_depth_meets_the_recall():

@@ -23,7 +23,10 @@ Defined results: vectors that are null, or hold null or non-finite components,
 or have a null id take no part; only vectors of the query's length are its
 candidates; rows that repeat an id count once, with the best score; an empty
 table gives an empty result; with fewer than k candidates all are returned;
-empty vectors take no part.
+empty vectors take no part; a component beyond 64 bits counts as the nearest
+64-bit number; where the absolute products of a pair sum to ``EXACT`` or more
+its score is the sum in floating point, and beyond 64 bits the nearest 64-bit
+number.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ CELLS = 256
 BLOCK = 4096
 QUERIES = 512
 FIRST = 4
+EXACT = float(1 << 62)
 
 
 def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -71,20 +75,22 @@ class Grid:
     """Equal cells between the smallest and largest component of every dimension."""
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, cells: int):
-        self.lo, self.width, self.cells = lo, hi - lo + 1, cells
+        # in floating point, where ranges may leave 64 bits; border() is only ever asked with cells made here
+        self.lo, self.cells = lo.astype(np.float64), cells
+        self.width = hi.astype(np.float64) - self.lo + 1
 
     def cell(self, v: np.ndarray) -> np.ndarray:
-        # in floating point where the product would leave 64 bits; border() is only ever asked with cells made here
-        wide = (v - self.lo).astype(np.float64) * self.cells / self.width
+        wide = (v.astype(np.float64) - self.lo) * (self.cells / self.width)
         return np.clip(np.floor(wide), 0, self.cells - 1).astype(np.uint8)
 
     def borders(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest value of a cell, one unit and a rounding wider than the cell itself."""
         x = c.astype(np.float64)
-        slack = 1 + np.abs(self.lo) * 1e-15 + self.width * 1e-15
+        slack = 1 + np.abs(self.lo) * 4e-15 + self.width * 4e-15
         low = np.floor(self.lo + x * self.width / self.cells) - slack
         high = np.ceil(self.lo + (x + 1) * self.width / self.cells) + slack
-        return np.maximum(low, self.lo), np.minimum(high, self.lo + self.width - 1)
+        # the ends are as exact as a double holds them
+        return np.maximum(low, self.lo - slack), np.minimum(high, self.lo + self.width + slack)
 
 
 def approximation_file(exact: DataFrame, grids: dict[int, Grid], block: int) -> DataFrame:
@@ -216,7 +222,12 @@ def top_k(
 
     def scored(part: DataFrame) -> DataFrame:
         both = part.select("query_id", "id").join(exact, "id").join(q, "query_id").where(F.size("v") == F.size("qv"))
-        product = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+        wide = F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double"))
+        whole = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+        near = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x)
+        most = F.aggregate(wide, F.lit(0.0), lambda s, x: s + F.abs(x))
+        # floor() gives the nearest 64-bit number of what lies beyond
+        product = F.when(most < EXACT, whole).otherwise(F.floor(near))
         return both.select("query_id", "id", product.alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
     head = cut_lineage(scored(order.where(F.col("place") <= first * k)))

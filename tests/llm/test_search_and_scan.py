@@ -41,6 +41,22 @@ def test_top_k_against_brute_force(spark, block, cells):
     assert vafile.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_large_finite_components_take_part(spark):
+    rows = [(0, [1e30, 1.0]), (100, [-1e30, 2.0]), (1, [1.0, 1e30]), (2, [2.0, 3.0]), (3, [1e18, 1e17]), (200, [1e308, 1e308]), (5, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clip = lambda x: max(min(x, (1 << 63) - 1), -(1 << 63))
+    whole = {i: [clip(math.floor(1024 * x)) if math.isfinite(1024 * x) else clip(int(math.copysign(1 << 64, x))) for x in v] for i, v in rows}
+    got = {}
+    for r in vafile.top_k(df, F.col("id") % 100 == 0, k=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 100, 200):
+        scores = {i: clip(sum(a * b for a, b in zip(v, whole[q]))) for i, v in whole.items() if i != q}
+        order = sorted(scores, key=lambda i: (-scores[i], i))
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 7)) and [i for _, i, _ in found] == order
+        assert all(s == pytest.approx(scores[i], rel=1e-12) for _, i, s in found)
+
+
 def test_copies_of_a_hot_vector_bring_k_and_one_candidates(spark, monkeypatch):
     rng = np.random.default_rng(8)
     hot = [2.0] * 8

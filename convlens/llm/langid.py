@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-A word is a run of letters.  Its script (by code-point range) leaves as
+A word is a run of letters with the marks that follow them.  Its script (by code-point range) leaves as
 candidates the languages that were seen with that script; every candidate
 scores the word by hashed character n-grams; Viterbi over a document's words
 with a penalty for switching labels spans of one language each.
@@ -12,18 +12,18 @@ language brings all its rows, above it rows chosen by a hash of id and text,
 and one at least, so that every labelled language is learned whatever its
 share of the table.  The size of the model is bounded by ``languages * DIMS`` numbers; that is all the driver receives.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0
-and no spans; a word in a script that no language was seen with follows its
+Defined results: a text that is null or has no letter (digits, number signs and
+marks alone are none) is ``und`` with score 0 and no spans; a word in a script that no language was seen with follows its
 neighbours; ties go to the language first in code-point order; without a
 labelled text every document is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +36,18 @@ PENALTY = 6.0
 WORDS_AT_ONCE = 20_000
 LEAST = 0.002  # share of a language's words from which a script counts as seen
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 #: Script ranges: name, first and last code point.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
-    ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF),
-    ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF),
-    ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
+    ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("syriac", 0x0700, 0x074F), ("arabic", 0x0750, 0x077F),
+    ("thaana", 0x0780, 0x07BF), ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF), ("gurmukhi", 0x0A00, 0x0A7F),
+    ("gujarati", 0x0A80, 0x0AFF), ("oriya", 0x0B00, 0x0B7F), ("tamil", 0x0B80, 0x0BFF), ("telugu", 0x0C00, 0x0C7F),
+    ("kannada", 0x0C80, 0x0CFF), ("malayalam", 0x0D00, 0x0D7F), ("sinhala", 0x0D80, 0x0DFF), ("thai", 0x0E00, 0x0E7F),
+    ("lao", 0x0E80, 0x0EFF), ("tibetan", 0x0F00, 0x0FFF), ("myanmar", 0x1000, 0x109F), ("georgian", 0x10A0, 0x10FF),
+    ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F), ("cherokee", 0x13A0, 0x13FF), ("khmer", 0x1780, 0x17FF),
+    ("mongolian", 0x1800, 0x18AF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
     ("hangul", 0xAC00, 0xD7AF),
 )
 NAMES = ("other", *dict.fromkeys(s for s, _, _ in SCRIPTS))
@@ -133,7 +137,7 @@ def fit(docs: DataFrame, use: Column, id_col="doc_id", text_col="text", lang_col
     bounds = [(r["l"], max(int(each / r["n"] * (1 << 40)), r["least"] + 1)) for r in sizes if r["n"] > each]
     if bounds:
         bound = docs.sparkSession.createDataFrame(bounds, "l string, bound long")
-        given = given.join(F.broadcast(bound), "l", "left").where(F.col("bound").isNull() | (F.col("h") < F.col("bound")))
+        given = given.join(bound, "l", "left").where(F.col("bound").isNull() | (F.col("h") < F.col("bound")))
 
     def run(batches):
         # counts of one task by language; the last places count words by script

@@ -16,9 +16,10 @@
   source, so the last step is a filter-like map joined with one row per source.
 
 Defined results: a null text has size 0; a null source is a source of its own
-and the last; an empty table gives an empty table; rows that repeat an id
-share its hash and hence its decision; a source of size 0 has target 0 and
-its documents are taken no times.
+and the last; an empty table gives an empty table; rows that repeat an id,
+also a null one, are decided one by one, by a hash of id, text and a number
+among equal rows; a source of size 0 has target 0 and its documents are taken
+no times.
 """
 
 from __future__ import annotations
@@ -108,13 +109,41 @@ def mixing_plan(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoch
     return plan.join(bounds, F.col("source").eqNullSafe(F.col("s3")), "left").select("source", "total", "target", "whole", "bound")
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _hashed(rows: DataFrame, seed: int) -> DataFrame:
+    """Written rows with ``i, th (hash of the text), place`` (any number of the row's own) -> plus ``hash``.
+
+    A row whose id is its own has the hash of the id.  Rows of one id are told
+    apart by their text and a number among equal rows; equal rows may change
+    numbers without changing the mix.  Numbers are counted by parts of the
+    table, so that no group of equal rows meets in one task.
+    """
+    repeated = rows.groupBy(F.coalesce(F.col("i").cast("string"), F.lit("null")).alias("name")).agg(F.count(F.lit(1)).alias("m"))
+    repeated = cut_lineage(repeated.where(F.col("m") > 1).select("name"))
+    plain = rows.withColumn("hash", seeded_hash(F.col("i"), seed))
+    if repeated.isEmpty():
+        return plain
+    named = plain.withColumn("name", F.coalesce(F.col("i").cast("string"), F.lit("null"))).withColumn("part", F.shiftright("place", 16))
+    some = named.join(repeated, "name", "left_semi")
+    counts = cut_lineage(some.groupBy("name", "th", "part").agg(F.count(F.lit(1)).alias("m")))
+    upto = Window.partitionBy("name", "th").orderBy("part")
+    before = counts.withColumn("before", F.sum("m").over(upto) - F.col("m")).drop("m")
+    inside = Window.partitionBy("name", "th", "part").orderBy("place")
+    numbered = some.withColumn("r", F.row_number().over(inside)).join(before, ["name", "th", "part"])
+    own = F.md5(F.concat(F.col("hash"), F.col("th"), (F.col("before") + F.col("r")).cast("string")))
+    rest = named.join(repeated, "name", "left_anti")
+    return numbered.withColumn("hash", own).select(*plain.columns).unionByName(rest.select(*plain.columns))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """Written once: the numbers of its rows hold for all that follows."""
     return cut_lineage(
         docs.select(
+            *more,
             F.col(id_col).alias("i"),
             F.col(source_col).alias("source"),
             text_size(F.col(text_col)).alias("size"),
-            seeded_hash(F.col(id_col), seed).alias("hash"),
+            F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("th"),
+            F.monotonically_increasing_id().alias("place"),
         )
     )
 
@@ -130,7 +159,7 @@ def _plan(sized: DataFrame, **kw) -> DataFrame:
 
 def mix_sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = 7, **kw) -> DataFrame:
     """One row per document: ``id, size, source_size, target, taken`` (words the mix takes, repeats counted)."""
-    sized = _sized(docs, id_col, text_col, source_col, seed)
+    sized = cut_lineage(_hashed(_named(docs, id_col, text_col, source_col), seed).select("i", "source", "size", "hash"))
     out = sized.join(_plan(sized, **kw), F.col("source").eqNullSafe(F.col("plan_source")))
     return out.select(
         F.col("i").alias(id_col), "size", F.col("total").cast("long").alias("source_size"), "target",
@@ -140,11 +169,8 @@ def mix_sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sou
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = 7, **kw) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; columns unchanged."""
-    plan = _plan(_sized(docs, id_col, text_col, source_col, seed), **kw)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(source_col).alias("source"),
-        seeded_hash(F.col(id_col), seed).alias("hash"),
-    ).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    taken = rows.where(_reps() > 0)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _hashed(_named(docs, id_col, text_col, source_col, whole), seed)
+    plan = _plan(cut_lineage(rows.select("source", "size", "hash")), **kw)
+    taken = rows.select("row", "source", "hash").join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).where(_reps() > 0)
     return taken.select("row", F.explode(F.sequence(F.lit(1), _reps().cast("int")))).select("row.*")

@@ -111,3 +111,29 @@ def test_mix_empty_and_without_words(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     got = mixing.mix_sizes(docs(spark, [(1, None, "a"), (2, "", None)])).collect()
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 2
+
+
+def test_rows_of_one_id_are_mixed_one_by_one(spark):
+    text = "w " * 10
+    rows = [(7, text, "a")] * 15 + [(None, text, "b")] * 30 + [(None, text + "x", "b")] * 30 + [(i, "v " * 10, "c") for i in range(100, 130)] + [(8, "u " * (k + 1), "d") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes = [(i, len(t.split()), s) for i, t, s in rows]
+    total = {s: sum(n for _, n, x in sizes if x == s) for s in "abcd"}
+    target = water(total, {s: mixing.WEIGHTS[k % 3] for k, s in enumerate("abcd")}, 0.6, 2)
+    got = mixing.mix_sizes(df, share=0.6).collect()
+    taken = {s: 0 for s in "abcd"}
+    source = {7: "a", None: "b", 8: "d"}
+    for r in got:
+        s = source.get(r.doc_id, "c")
+        taken[s] += r.taken
+        assert r.source_size == total[s] and r.target == pytest.approx(target[s]) and r.taken in (0, r.size, 2 * r.size)
+    assert all(abs(taken[s] - target[s]) <= 41 for s in "abcd"), (taken, target)
+    assert any(0 < target[s] < total[s] for s in "ab")
+    again = mixing.mix_sizes(df.repartition(2), share=0.6).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.mix(df, share=0.6)
+    assert mixed.columns == df.columns
+    words = {s: 0 for s in "abcd"}
+    for r in mixed.collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken

@@ -9,16 +9,19 @@ Features are the different lower-cased words and symbol runs of the whole
 text, and shape features (shares of repeated, upper-case and symbol-marked
 words, table bars), each hashed into ``DIMS`` weights.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, a
-documented parameter), chosen by a hash of the id; features of the sample are
-made by Spark, and the driver receives at most ``SAMPLE * PER_TEXT`` feature
-numbers.  Scoring is a map over all documents with the weights (``DIMS``
+The model is fitted on a bounded sample of different labelled rows (``SAMPLE``,
+a documented parameter), chosen by a hash of id, text and grade.  Spark makes the
+sample's features, whole texts, and counts them by grade and fold; those whose
+presence depends on the grade (chi-square, in all rows or without a fold) stay,
+and the driver receives them alone: ``DIMS`` counts a grade and fold, and the
+informative features of ``SAMPLE`` rows.  Scoring is a map over all documents with the weights (``DIMS``
 floats, 1 MB) in its closure.
 
 Defined results: a text without a word (null, empty, only symbols) has expected grade 0 and
 is rejected; with no labelled row, or a single grade, there is no model: every
 document is kept and has that grade (null without any); a document with
-several labels takes part once for each; null ratings take no part.
+several different labels takes part once for each; rows that repeat id, text
+and grade count once; null ratings take no part.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlens.llm.arrow import prepare, slices
+from convlens.session import cut_lineage
 
 DIMS = 1 << 18
 SAMPLE = 12_000
-PER_TEXT = 2_000  # features a sampled text may bring, the lowest hashes of all it has
 LEAST_DF = 4  # a feature of fewer sampled texts has weight 0
 CHI = 25.0  # and so has one whose presence is not clearly related to the grade
 ROUNDS = 120
@@ -58,7 +61,7 @@ def features(text: str | None) -> set[str]:
         return set()
     n, marks = len(words), _MARK(text)
     out = {w.lower() for w in words}
-    out.update([f"\0mark {m[:8]}" for m in set(marks)])
+    out.update([f"\0mark {m}" for m in set(marks)])
     out.add(f"\0repeat {_bin(sum(map(str.__eq__, words, words[1:])) / n)}")
     out.add(f"\0upper {_bin(sum(map(str.isupper, words)) / n)}")
     out.add(f"\0marks {_bin(sum(len(m) > 1 for m in marks) / n)}")
@@ -97,10 +100,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def informative(index: np.ndarray, counts: np.ndarray, grade: np.ndarray, grades: int) -> np.ndarray:
-    """Features whose presence depends on the grade by a chi-square test; chance words of a text bring only noise."""
-    by = np.bincount(index * grades + np.repeat(grade, counts), minlength=DIMS * grades).reshape(DIMS, grades).astype(float)
-    size = np.bincount(grade, minlength=grades).astype(float)
+def informative(by: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Features whose presence depends on the grade by a chi-square test, from counts (feature x grade) and texts by grade;
+    chance words of a text bring only noise."""
+    by, size = by.astype(float), size.astype(float)
     df = by.sum(1, keepdims=True)
     expected = np.maximum(df * size / size.sum(), 1e-12)
     rest = np.maximum((size.sum() - df) * size / size.sum(), 1e-12)
@@ -110,7 +113,8 @@ def informative(index: np.ndarray, counts: np.ndarray, grade: np.ndarray, grades
 
 def fit_ordinal(index: np.ndarray, counts: np.ndarray, grade: np.ndarray, grades: int, rounds: int = ROUNDS, decay: float = DECAY) -> Model:
     """Maximum likelihood with weight decay by Adam over the whole sample; index: features text by text."""
-    used = informative(index, counts, grade, grades)
+    by = np.bincount(index * grades + np.repeat(grade, counts), minlength=DIMS * grades).reshape(DIMS, grades)
+    used = informative(by, np.bincount(grade, minlength=grades))
     place = np.full(DIMS, -1, np.int64)
     place[used] = np.arange(len(used))
     row = np.repeat(np.arange(len(counts)), counts)
@@ -148,43 +152,85 @@ def fit_ordinal(index: np.ndarray, counts: np.ndarray, grade: np.ndarray, grades
     return Model(weights, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])])), 0.5)
 
 
-def selection_cut(index: np.ndarray, counts: np.ndarray, grade: np.ndarray, grades: int, folds: int = FOLDS) -> float:
+def selection_cut(
+    index: np.ndarray, counts: np.ndarray, grade: np.ndarray, fold: np.ndarray, worded: np.ndarray, grades: int, folds: int = FOLDS
+) -> float:
     """The tail probability that ``KEEP`` of the top grade reach in folds that their model has not seen, 0.5 at most."""
     text = np.repeat(np.arange(len(counts)), counts)
     tails = []
-    for fold in range(folds):
-        out = np.arange(len(counts)) % folds == fold
-        if len(np.unique(grade[~out])) < grades:
+    for k in range(folds):
+        out = fold == k
+        if len(np.unique(grade[~out])) < grades or not out.any():
             continue
         model = fit_ordinal(index[~out[text]], counts[~out], grade[~out], grades)
         score = np.bincount(np.cumsum(out)[text[out[text]]] - 1, weights=model.weights[index[out[text]]], minlength=int(out.sum()))
-        tails.append(model.probabilities(score)[:, -1][(grade[out] == grades - 1) & (counts[out] > 0)])
+        tails.append(model.probabilities(score)[:, -1][(grade[out] == grades - 1) & worded[out]])
     top = np.concatenate([*tails, np.zeros(0)])
     return float(min(0.5, np.quantile(top, 1 - KEEP))) if len(top) else 0.5
 
 
-def sample_features(rated: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, features per text and grades of at most about ``sample`` rows of ``(i, t, grade)``."""
+def sample_features(rated: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, ...]:
+    """Informative features, features per text, grades, folds and whether a text has a word, of at most about ``sample``
+    different rows of ``(i, t, grade)``."""
     import pyarrow as pa
 
     def run(batches):
         cache: dict[str, int] = {}
         for batch in batches:
-            out = [np.sort(hashed(t, cache))[:PER_TEXT].astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
+            out = [np.sort(hashed(t, cache)).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), batch.column(2)], names=["grade", "f", "h"])
 
-    n = rated.count()
+    hashed_rows = rated.withColumn("h", F.xxhash64("i", "t", "grade"))
+    n = hashed_rows.select("h").distinct().count()
     if n > sample:
-        share = F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20)))
-        rated = rated.where(share)
-    drawn = rated.select("t", "grade", F.xxhash64("i").alias("h")).mapInArrow(run, "grade int, f binary, h long")
-    table = drawn.limit(sample + sample // 10).toArrow()
+        hashed_rows = hashed_rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20))))
+    drawn = hashed_rows.select("t", "grade", "h").mapInArrow(run, "grade int, f binary, h long")
+    rows = cut_lineage(drawn.dropDuplicates(["h", "grade"]).withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")))
+
+    def count(batches):
+        own: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for g, f, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                have = own.setdefault((g, k), np.zeros(DIMS, np.int64))
+                have[np.unique(np.frombuffer(f, "<i4"))] += 1
+        for (g, k), have in own.items():
+            used = np.flatnonzero(have)
+            cols = [pa.array(np.full(len(used), g)), pa.array(np.full(len(used), k)), pa.array(used), pa.array(have[used])]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "k", "f", "n"])
+
+    sizes = rows.groupBy("grade", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, bool),)
+    grades = max(r["grade"] for r in sizes) + 1
+    size = np.zeros((grades, FOLDS), np.int64)
+    for r in sizes:
+        size[r["grade"], r["fold"]] = r["n"]
+    found = rows.select("grade", "f", "fold").mapInArrow(count, "g long, k long, f long, n long").groupBy("g", "k", "f").agg(F.sum("n").alias("n")).toArrow()
+    by = np.zeros((DIMS, grades, FOLDS), np.int64)
+    g, k, f, c = (found.column(x).to_numpy() for x in ("g", "k", "f", "n"))
+    by[f, g, k] = c
+    used = np.zeros(DIMS, bool)
+    used[informative(by.sum(2), size.sum(1))] = True
+    for fold in range(FOLDS):  # what the model without a fold may choose
+        rest = [x for x in range(FOLDS) if x != fold]
+        if size[:, rest].sum():
+            used[informative(by[:, :, rest].sum(2), size[:, rest].sum(1))] = True
+
+    def pick(batches):
+        for batch in batches:
+            kept = [(x := np.frombuffer(f, "<i4"))[used[x]].tobytes() for f in batch.column(1).to_pylist()]
+            worded = [len(f) > 0 for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(kept, pa.binary()), batch.column(2), batch.column(3), pa.array(worded)], names=["grade", "f", "h", "fold", "worded"]
+            )
+
+    table = rows.select("grade", "f", "h", "fold").mapInArrow(pick, "grade int, f binary, h long, fold int, worded boolean").toArrow()
     # in an order of their own, whatever order tasks end in, so that reruns agree
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "f", "grade")), strict=True))
-    parts = [np.frombuffer(f, "<i4") for _, f, _ in rows]
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "f", "grade", "fold", "worded")), strict=True))
+    parts = [np.frombuffer(r[1], "<i4") for r in rows]
     counts = np.array([len(x) for x in parts], np.int64)
     index = np.concatenate([*parts, np.zeros(0, "<i4")]).astype(np.int64)
-    return index, counts, np.array([g for _, _, g in rows], np.int64)
+    return index, counts, np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], bool)
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> Model | int | None:
@@ -194,12 +240,13 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, id_col="doc_id", text
         docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
         .join(labels.select(F.col(id_col).alias("i"), grade.cast("int").alias("grade")).where(F.col("grade") >= 0), "i")
     )
-    index, counts, grades = sample_features(rated, sample)
+    index, counts, grades, fold, worded = sample_features(rated, sample)
     if len(grades) == 0 or grades.min() == grades.max():
         return int(grades[0]) if len(grades) else None
-    top = int(grades.max()) + 1
+    # the grades of all rows, should the sample have missed the highest
+    top = rated.agg(F.max("grade")).first()[0] + 1
     model = fit_ordinal(index, counts, grades, top)
-    model.cut = selection_cut(index, counts, grades, top)
+    model.cut = selection_cut(index, counts, grades, fold, worded, top)
     return model
 
 

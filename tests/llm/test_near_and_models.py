@@ -244,3 +244,59 @@ def test_language_spans_scripts_and_edge_rows(spark):
     assert langid.identify(df.limit(0), model).count() == 0
     assert langid.fit(df.select("doc_id", "text", F.lit(None).cast("string").alias("lang")), F.lit(True)) is None
     assert langid.identify(df, None).where("lang_pred = 'und'").count() == len(rows)
+
+
+def test_quality_counts_whole_texts_and_bounds_rows_not_words(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(9000)]
+    rows, labels = [], []
+    for i in range(120):
+        text = rnd.sample(words, 4000 if i % 4 == 0 else 60)
+        poor = i % 2 == 0
+        if poor:
+            text[len(text) - 1] = f"mark{i % 3}"
+        rows.append((i, " ".join(text)))
+        labels += [(i, 0 if poor else 1, 0)] * 3
+    rows += [(500, rows[2][1])] * 40 + [(501, "x " + "!" * 5000), (502, "x " + "!" * 5001)]
+    labels += [(500, 0, 0)] * 20 + [(None, 1, 1), (501, None, 1)]
+    docs = spark.createDataFrame([(i, t, "g") for i, t in rows], "doc_id long, text string, grade string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rated = docs.join(table, "doc_id").select(F.col("doc_id").alias("i"), F.col("text").alias("t"), quality.rating().cast("int").alias("grade")).where("grade >= 0")
+    index, counts, grade, fold, worded = quality.sample_features(rated)
+    assert len(grade) == 121 and worded.all()  # repeats count once
+    # what stays is what chi-square over whole texts leaves, in all rows or without a fold
+    sets = {(i, t): np.unique(quality.hashed(t, {})) for i, t in rows}
+    known = sorted({(r.i, r.t, r.grade) for r in rated.collect()}, key=lambda r: r[0])
+    h = {(r.i, r.grade): r.k for r in rated.select("i", "grade", F.pmod(F.xxhash64("i", "t", "grade"), F.lit(quality.FOLDS)).alias("k")).collect()}
+    used = set()
+    for left_out in (None, 0, 1, 2):
+        some = [r for r in known if h[r[0], r[2]] != left_out]
+        for f in {x for i, t, _ in some for x in sets[i, t].tolist()}:
+            n, chi = np.zeros((2, 3)), 0.0
+            for i, t, g in some:
+                n[int(f in sets[i, t]), g] += 1
+            for a in range(2):
+                for g in range(3):
+                    e = n[a].sum() * n[:, g].sum() / n.sum()
+                    chi += (n[a, g] - e) ** 2 / e if e else 0
+            if n[1].sum() >= quality.LEAST_DF and chi >= quality.CHI:
+                used.add(f)
+    assert used and set(index.tolist()) == used
+    assert sorted(counts.tolist()) == sorted(int(np.isin(quality.hashed(t, {}), list(used)).sum()) for _, t, _ in known)
+    few = quality.sample_features(rated, sample=40)
+    assert 15 < len(few[2]) < 70
+    assert quality.features("x " + "!" * 5000) != quality.features("x " + "!" * 5001)
+
+
+def test_language_of_texts_without_letters_and_of_marked_letters(spark):
+    rows = [(1, "the of and that is", "en"), (2, "der die das und ist", "de"), (3, "हिन्दी में लिखा हुआ पाठ", "hi"), (4, "తెలుగు లో రాసిన పాఠం", "te")] * 3
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(train, F.lit(True))
+    texts = ["½ ² Ⅳ", "²³¹", "\u0301\u0308", "१२३", "ha\u0308tte der", "में लिखा", "లో రాసిన", "½ the and", None, "", "12 !!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(df, model, spans=True).collect()}
+    assert [got[k].lang_pred for k in range(len(texts))] == ["und"] * 4 + ["de", "hi", "te", "en", "und", "und", "und"]
+    assert all(got[k].score == 0 and got[k].spans == [] for k in (0, 1, 2, 3, 8, 9, 10))
+    assert [(s.begin, s.end) for s in got[5].spans] == [(0, len(texts[5]))]  # vowel signs don't cut words
+    assert langid._WORD.findall("ha\u0308tte में") == ["ha\u0308tte", "में"]
+    assert langid.NAMES[langid.scripts_of(np.array([0x0C24]))[0]] == "telugu"

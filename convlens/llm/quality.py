@@ -283,8 +283,9 @@ def score(docs: DataFrame, model: Model | int | None, id_col: str = "doc_id", te
 
 
 def rating() -> Column:
-    """Grades of the table ``labels``: 0 poor, 1 good but toxic, 2 good."""
-    return F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2))
+    """Grades of the table ``labels``: 0 toxic, 1 poor, 2 good.  Toxic is the lowest, so that its words only ever lower a score;
+    between poor and good they would have to raise it above the poor."""
+    return F.when(F.coalesce("toxic", F.lit(0)) == 1, F.lit(0)).otherwise(F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2))
 
 
 def drop_rejected(docs: DataFrame, model: Model | int | None, text_col: str = "text") -> DataFrame:

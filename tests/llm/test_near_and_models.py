@@ -128,11 +128,12 @@ def test_quality_on_held_out_labels(spark):
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"), quality.rating())
     assert (np.diff(model.theta) > 0).all()
     out = quality.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    good = [r.kept for r in out if r.quality == 1 and r.toxic == 0]
-    poor = [r.kept for r in out if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(poor) < 0.3
-    mean = lambda q: np.mean([r.expected_grade for r in out if r.quality == q])
-    assert mean(1) > mean(0) + 0.8
+    good = [r for r in out if r.quality == 1 and r.toxic == 0]
+    poor = [r for r in out if r.quality == 0 and r.toxic == 0]
+    toxic = [r for r in out if r.toxic == 1]
+    kept, grade = (lambda rows: np.mean([r.kept for r in rows])), (lambda rows: np.mean([r.expected_grade for r in rows]))
+    assert kept(good) > 0.95 and kept(poor) < 0.3 and kept(toxic) < 0.3
+    assert grade(good) > grade(poor) + 0.4 > grade(toxic) + 0.4
     again = quality.fit(docs.repartition(7), labels.where("doc_id % 2 = 0").repartition(3), quality.rating())
     assert (model.weights == again.weights).all() and (model.theta == again.theta).all() and model.cut == again.cut
 
@@ -258,7 +259,7 @@ def test_quality_counts_whole_texts_and_bounds_rows_not_words(spark, monkeypatch
         rows.append((i, " ".join(text)))
         labels += [(i, 0 if poor else 1, 0)] * 3
     rows += [(500, rows[2][1])] * 40 + [(501, "x " + "!" * 5000), (502, "x " + "!" * 5001)]
-    labels += [(500, 0, 0)] * 20 + [(None, 1, 1), (501, None, 1)]
+    labels += [(500, 0, 0)] * 20 + [(None, 1, 1), (501, None, 0)]
     docs = spark.createDataFrame([(i, t, "g") for i, t in rows], "doc_id long, text string, grade string")
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     rated = docs.join(table, "doc_id").select(F.col("doc_id").alias("i"), F.col("text").alias("t"), quality.rating().cast("int").alias("grade")).where("grade >= 0")

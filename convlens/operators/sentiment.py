@@ -8,8 +8,9 @@ token as 1.  The lexicon is data supplied by the caller as a DataFrame
 ``(token, valence)``; none is shipped.
 
 Execution: tokens are exploded and joined to the lexicon (Spark broadcasts it
-when its size in bytes allows), then summed per sentence.  Optional modifiers look back at most three tokens inside the same
-sentence through ``lag`` over a window partitioned by sentence.
+when its size in bytes allows), then summed per sentence.  Optional modifiers
+look back at most three tokens and ahead two inside the same sentence through
+windows partitioned by sentence.
 """
 
 from __future__ import annotations
@@ -20,12 +21,19 @@ from pyspark.sql import functions as F
 ALPHA = 15.0
 SENTIMENT_TOKEN = r"[\p{L}\p{N}_']+"
 
-# Fixed values of the published rule set (vaderSentiment by C.J. Hutto, MIT licence).
+# Fixed values of the published rule set (vaderSentiment, Copyright (c) 2016 C.J. Hutto, MIT licence).
 NEGATION_SCALAR = -0.74
 BOOSTER_INCREMENT = 0.293
 CAPS_INCREMENT = 0.733
 EXCLAMATION_INCREMENT = 0.292
 QUESTION_INCREMENT = 0.18
+NEVER_SO = 1.25
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+DISTANCE = (1.0, 0.95, 0.9)  # of a booster one, two and three tokens before
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
 NEGATIONS = [
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt",
     "ain't", "aren't", "can't", "couldn't", "daren't", "didn't", "doesn't",
@@ -73,9 +81,10 @@ def score_sentences(
 ) -> DataFrame:
     """D1 (+ D2 when ``modifiers``): ``keys + (compound, pos, neu, neg)`` per sentence.
 
-    ``modifiers``: False (base form), True (negation, boosters, capitals,
-    ``!``/``?`` emphasis) or ``"negation"`` (negation only).  ``negations``
-    replaces the negation word list.
+    ``modifiers``: False (base form), True (all published rules, see
+    ``_apply_rules``, and ``!``/``?`` emphasis) or ``"negation"`` (the factor of
+    each negation among the three tokens before).  ``negations`` replaces the
+    negation word list.
     """
     spark = sentences.sparkSession
     keys = list(keys)
@@ -87,8 +96,10 @@ def score_sentences(
     scored = toks.join(lex, "token", "left").withColumn(
         "v", F.coalesce(F.col("valence"), F.lit(0.0))
     )
-    if modifiers:
-        scored = _apply_modifiers(scored, sentences, keys, sentence_col, modifiers, negations or NEGATIONS)
+    if modifiers is True:
+        scored = _apply_rules(scored, keys, negations or NEGATIONS)
+    elif modifiers:
+        scored = _apply_negation(scored, keys, negations or NEGATIONS)
     agg = scored.groupBy(*keys).agg(
         F.sum("v").alias("s"),
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("pos_sum"),
@@ -169,44 +180,99 @@ def _punctuation_emphasis(c):
     return ex + q
 
 
-def _apply_modifiers(scored: DataFrame, sentences: DataFrame, keys, sentence_col, modifiers, negations) -> DataFrame:
+def _apply_negation(scored: DataFrame, keys, negations) -> DataFrame:
+    """Each of the three positions before a token applies the factor once."""
     w = Window.partitionBy(*keys).orderBy("pos")
-    d = scored
-    for k in (1, 2, 3):
-        d = d.withColumn(f"p{k}", F.lag("token", k).over(w)).withColumn(f"o{k}", F.lag("orig", k).over(w))
     neg_words = F.array(*[F.lit(x) for x in negations])
 
     def is_neg(c):
         return F.coalesce(F.array_contains(neg_words, c) | c.endswith("n't"), F.lit(False))
 
-    # each of the three positions before a token applies the factor once
-    negations_before = sum((is_neg(F.col(p)).cast("int") for p in ("p2", "p3")), is_neg(F.col("p1")).cast("int"))
-    v = F.col("v")
-    if modifiers is True:
-        mixed = sentences.select(
-            *keys,
-            (F.exists(F.regexp_extract_all(F.col(sentence_col), F.lit(r"[\p{L}]{2,}"), 0), lambda t: t == F.upper(t))
-             & F.exists(F.regexp_extract_all(F.col(sentence_col), F.lit(r"[\p{L}]{2,}"), 0), lambda t: t != F.upper(t))).alias("mixed"),
-        )
-        d = d.join(mixed, keys, "left")
-        is_caps = (F.col("orig") == F.upper("orig")) & (F.col("orig") != F.lower("orig")) & F.col("mixed")
-        up = F.array(*[F.lit(x) for x in BOOST_UP])
-        down = F.array(*[F.lit(x) for x in BOOST_DOWN])
-        sign = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        boost = F.lit(0.0)
-        for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-            inc = (
-                F.when(F.array_contains(up, F.col(f"p{k}")), F.lit(BOOSTER_INCREMENT))
-                .when(F.array_contains(down, F.col(f"p{k}")), F.lit(-BOOSTER_INCREMENT))
-                .otherwise(F.lit(0.0))
-            )
-            caps_k = (F.col(f"o{k}") == F.upper(F.col(f"o{k}"))) & (F.col(f"o{k}") != F.lower(F.col(f"o{k}"))) & F.col("mixed")
-            inc = F.when((inc != 0) & F.coalesce(caps_k, F.lit(False)), inc + F.signum(inc) * F.lit(CAPS_INCREMENT)).otherwise(inc)
-            boost = boost + F.coalesce(inc, F.lit(0.0)) * F.lit(damp)
-        v = F.when(v != 0, v + F.when(F.coalesce(is_caps, F.lit(False)), sign * F.lit(CAPS_INCREMENT)).otherwise(0.0) + sign * boost).otherwise(v)
-    factor = F.element_at(F.array(*[F.lit(NEGATION_SCALAR**k) for k in range(4)]), negations_before + 1)
-    v = F.when(F.col("v") != 0, v * factor).otherwise(v)
-    return d.withColumn("v", v)
+    before = sum((is_neg(F.lag("token", k).over(w)).cast("int") for k in (2, 3)), is_neg(F.lag("token", 1).over(w)).cast("int"))
+    factor = F.element_at(F.array(*[F.lit(NEGATION_SCALAR**k) for k in range(4)]), before + 1)
+    return scored.withColumn("before", factor).withColumn("v", F.when(F.col("v") != 0, F.col("v") * F.col("before")).otherwise(F.col("v")))
+
+
+def _apply_rules(scored: DataFrame, keys, negations) -> DataFrame:
+    """The published rules, in their order, for every token with a valence:
+
+    1. ``no`` before a lexicon word is no word of its own; a lexicon word behind
+       ``no`` (next to it, one further, or two further with ``or``/``nor``
+       between) is negated;
+    2. capitals, in a sentence that has words of both kinds;
+    3. for the tokens one, two, three before, each only if it is not in the
+       lexicon itself: a booster (damped by distance), then negation with its
+       exceptions ``never so/this`` and ``without doubt``; behind the third,
+       idioms and two-word boosters;
+    4. ``least`` (but not ``at least``, ``very least``);
+    5. ``but``: halves what stands before the sentence's first, raises what follows.
+
+    Boosters and ``kind`` of ``kind of`` have no valence of their own.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    whole = Window.partitionBy(*keys)
+    word = F.regexp_count("orig", F.lit(r"\p{L}")) > 0
+    upper = word & (F.col("orig") == F.upper("orig"))
+    d = scored.withColumn("known", F.col("valence").isNotNull()).withColumn("upper", upper)
+    for k in (1, 2, 3):
+        for name, c in (("p", "token"), ("k", "known"), ("u", "upper")):
+            d = d.withColumn(f"{name}{k}", F.lag(c, k).over(w))
+    for k in (1, 2):
+        d = d.withColumn(f"n{k}", F.lead("token", k).over(w))
+    d = d.withColumn("nk", F.lead("known", 1).over(w))
+    d = d.withColumn("mixed", F.max(F.col("upper").cast("int")).over(whole) > F.min(F.col("upper").cast("int")).over(whole))
+    d = d.withColumn("but", F.min(F.when(F.col("token") == "but", F.col("pos"))).over(whole))
+
+    def listed(c, words):
+        return F.coalesce(c.isin(list(words)), F.lit(False))
+
+    def yes(c):
+        return F.coalesce(c, F.lit(False))
+
+    def negated(c):
+        return listed(c, negations) | yes(c.contains("n't"))
+
+    p1, p2, p3, n1, n2, token = (F.col(c) for c in ("p1", "p2", "p3", "n1", "n2", "token"))
+    up, down = set(BOOST_UP), set(BOOST_DOWN)
+    own = F.col("known") & ~listed(token, up | down) & ~yes((token == "kind") & (n1 == "of"))
+    steps = [F.when(yes((token == "no") & F.col("nk")), F.lit(0.0)).otherwise(F.col("valence"))]
+    after_no = yes(p1 == "no") | yes(p2 == "no") | (yes(p3 == "no") & listed(p1, ("or", "nor")))
+    steps.append(F.when(after_no, F.col("valence") * NEGATION_SCALAR).otherwise(F.col("r")))
+    sign = F.when(F.col("r") > 0, 1.0).otherwise(-1.0)
+    steps.append(F.when(F.col("upper") & F.col("mixed"), F.col("r") + sign * CAPS_INCREMENT).otherwise(F.col("r")))
+    so = ("so", "this")
+    negation = {
+        1: F.when(negated(p1), NEGATION_SCALAR),
+        2: F.when(yes(p2 == "never") & listed(p1, so), NEVER_SO)
+        .when(yes((p2 == "without") & (p1 == "doubt")), 1.0)
+        .when(negated(p2), NEGATION_SCALAR),
+        3: F.when(yes(p3 == "never") & (listed(p2, so) | listed(p1, so)), NEVER_SO)
+        .when(yes(p3 == "without") & (yes(p2 == "doubt") | yes(p1 == "doubt")), 1.0)
+        .when(negated(p3), NEGATION_SCALAR),
+    }
+    for k in (1, 2, 3):
+        here = F.col(f"p{k}").isNotNull() & ~yes(F.col(f"k{k}"))
+        size = F.when(listed(F.col(f"p{k}"), up), BOOSTER_INCREMENT).when(listed(F.col(f"p{k}"), down), -BOOSTER_INCREMENT)
+        size = F.when(F.col("r") < 0, -size).otherwise(size)
+        shout = F.when(yes(F.col(f"u{k}")) & F.col("mixed"), F.when(F.col("r") > 0, CAPS_INCREMENT).otherwise(-CAPS_INCREMENT)).otherwise(0.0)
+        boost = F.coalesce((size + shout) * DISTANCE[k - 1], F.lit(0.0))
+        steps.append(F.when(here, F.col("r") + boost).otherwise(F.col("r")))
+        steps.append(F.when(here, F.col("r") * F.coalesce(negation[k], F.lit(1.0))).otherwise(F.col("r")))
+    here = p3.isNotNull() & ~yes(F.col("k3"))
+    join = lambda *c: F.concat_ws(" ", *c)
+    idiom = lambda c: F.coalesce(*[F.when(c == x, F.lit(v)) for x, v in IDIOMS.items()])
+    behind = F.coalesce(*[idiom(c) for c in (join(p1, token), join(p2, p1, token), join(p2, p1), join(p3, p2, p1), join(p3, p2))])
+    ahead = F.coalesce(F.when(n2.isNotNull(), idiom(join(token, n1, n2))), F.when(n1.isNotNull(), idiom(join(token, n1))))
+    steps.append(F.when(here, F.coalesce(ahead, behind, F.col("r"))).otherwise(F.col("r")))
+    two = lambda c: F.when(listed(c, up), BOOSTER_INCREMENT).when(listed(c, down), -BOOSTER_INCREMENT).otherwise(0.0)
+    steps.append(F.when(here, F.col("r") + two(join(p3, p2)) + two(join(p2, p1))).otherwise(F.col("r")))
+    least = yes(p1 == "least") & ~yes(F.col("k1")) & ~listed(p2, ("at", "very"))
+    steps.append(F.when(least, F.col("r") * NEGATION_SCALAR).otherwise(F.col("r")))
+    but = F.when(F.col("pos") < F.col("but"), BEFORE_BUT).when(F.col("pos") > F.col("but"), AFTER_BUT).otherwise(1.0)
+    steps.append(F.col("r") * but)
+    for step in steps:
+        d = d.withColumn("r", step)
+    return d.withColumn("v", F.when(own, F.col("r")).otherwise(F.lit(0.0)))
 
 
 def sentiment_summary(scores: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

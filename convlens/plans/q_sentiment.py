@@ -97,7 +97,71 @@ def d2(spark, sf):
     return s.select("doc_id", "sentence_no", "compound", "pos", "neu", "neg")
 
 
-@query("d2_all_modifiers", None)
+def _rules_sql() -> str:
+    """Oracle of all rules: one CTE a step over the tokens of the documents' sentences."""
+    words = lambda ws: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + ")"
+    inc = lambda c, yes: f"coalesce({c} IN {words(yes)}, false)"
+    neg = lambda c: f"({inc(c, DRIVER_NEGATIONS)} OR coalesce(contains({c}, 'n''t'), false))"
+    yes = lambda c: f"coalesce({c}, false)"
+    w = "OVER (PARTITION BY doc_id, sentence_no ORDER BY pos)"
+    g = "OVER (PARTITION BY doc_id, sentence_no)"
+    lags = ", ".join(f"lag({c}, {k}) {w} AS {n}{k}" for k in (1, 2, 3) for n, c in (("p", "token"), ("k", "known"), ("u", "upr")))
+    so = ("so", "this")
+    factor = {
+        1: f"CASE WHEN {neg('p1')} THEN {S.NEGATION_SCALAR} ELSE 1.0 END",
+        2: f"CASE WHEN {yes('p2 = ' + repr('never'))} AND {inc('p1', so)} THEN {S.NEVER_SO} WHEN {yes('p2 = ' + repr('without'))} AND {yes('p1 = ' + repr('doubt'))} THEN 1.0 WHEN {neg('p2')} THEN {S.NEGATION_SCALAR} ELSE 1.0 END",
+        3: f"CASE WHEN {yes('p3 = ' + repr('never'))} AND ({inc('p2', so)} OR {inc('p1', so)}) THEN {S.NEVER_SO} WHEN {yes('p3 = ' + repr('without'))} AND ({yes('p2 = ' + repr('doubt'))} OR {yes('p1 = ' + repr('doubt'))}) THEN 1.0 WHEN {neg('p3')} THEN {S.NEGATION_SCALAR} ELSE 1.0 END",
+    }
+    steps = [f"CASE WHEN {yes('token = ' + repr('no') + ' AND nk')} THEN 0.0 ELSE valence END::DOUBLE"]
+    steps.append(f"CASE WHEN {yes('p1 = ' + repr('no'))} OR {yes('p2 = ' + repr('no'))} OR ({yes('p3 = ' + repr('no'))} AND {inc('p1', ('or', 'nor'))}) THEN valence * {S.NEGATION_SCALAR} ELSE r0 END::DOUBLE")
+    steps.append(f"CASE WHEN upr AND mixed THEN r1 + CASE WHEN r1 > 0 THEN {S.CAPS_INCREMENT} ELSE -{S.CAPS_INCREMENT} END ELSE r1 END::DOUBLE")
+    for k in (1, 2, 3):
+        r, here = f"r{len(steps) - 1}", f"p{k} IS NOT NULL AND NOT {yes(f'k{k}')}"
+        size = f"CASE WHEN {inc(f'p{k}', S.BOOST_UP)} THEN {S.BOOSTER_INCREMENT} WHEN {inc(f'p{k}', S.BOOST_DOWN)} THEN -{S.BOOSTER_INCREMENT} END * CASE WHEN {r} < 0 THEN -1 ELSE 1 END"
+        shout = f"CASE WHEN {yes(f'u{k}')} AND mixed THEN CASE WHEN {r} > 0 THEN {S.CAPS_INCREMENT} ELSE -{S.CAPS_INCREMENT} END ELSE 0.0 END"
+        steps.append(f"CASE WHEN {here} THEN {r} + coalesce(({size} + {shout})::DOUBLE * {S.DISTANCE[k - 1]}, 0.0) ELSE {r} END::DOUBLE")
+        r = f"r{len(steps) - 1}"
+        steps.append(f"CASE WHEN {here} THEN {r} * {factor[k]} ELSE {r} END::DOUBLE")
+    here, r = f"p3 IS NOT NULL AND NOT {yes('k3')}", f"r{len(steps) - 1}"
+    idiom = lambda c: "CASE " + " ".join(f"WHEN {c} = '{x}' THEN {v}::DOUBLE" for x, v in S.IDIOMS.items()) + " END"
+    grams = ["token || ' ' || n1 || ' ' || n2", "token || ' ' || n1", "p1 || ' ' || token", "p2 || ' ' || p1 || ' ' || token", "p2 || ' ' || p1", "p3 || ' ' || p2 || ' ' || p1", "p3 || ' ' || p2"]
+    steps.append(f"CASE WHEN {here} THEN coalesce({', '.join(idiom(x) for x in grams)}, {r}) ELSE {r} END::DOUBLE")
+    r = f"r{len(steps) - 1}"
+    two = lambda c: f"CASE WHEN {inc(c, S.BOOST_UP)} THEN {S.BOOSTER_INCREMENT} WHEN {inc(c, S.BOOST_DOWN)} THEN -{S.BOOSTER_INCREMENT} ELSE 0.0 END"
+    steps.append(f"CASE WHEN {here} THEN {r} + {two(grams[6])} + {two(grams[4])} ELSE {r} END::DOUBLE")
+    r = f"r{len(steps) - 1}"
+    steps.append(f"CASE WHEN {yes('p1 = ' + repr('least'))} AND NOT {yes('k1')} AND NOT {inc('p2', ('at', 'very'))} THEN {r} * {S.NEGATION_SCALAR} ELSE {r} END::DOUBLE")
+    r = f"r{len(steps) - 1}"
+    steps.append(f"({r} * CASE WHEN pos < but_at THEN {S.BEFORE_BUT} WHEN pos > but_at THEN {S.AFTER_BUT} ELSE 1.0 END)::DOUBLE")
+    chain = ", ".join(f"c{k} AS (SELECT *, {x} AS r{k} FROM {'wide' if k == 0 else f'c{k - 1}'})" for k, x in enumerate(steps))
+    last = len(steps) - 1
+    own = f"known AND NOT {inc('token', [*S.BOOST_UP, *S.BOOST_DOWN])} AND NOT {yes('token = ' + repr('kind') + ' AND n1 = ' + repr('of'))}"
+    return f"""
+t0 AS (SELECT doc_id, sentence_no, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_'']+') AS arr FROM sents),
+t1 AS (SELECT doc_id, sentence_no, unnest(range(len(arr))) AS pos, unnest(arr) AS orig FROM t0),
+t2 AS (SELECT t1.*, lower(orig) AS token, regexp_matches(orig, '\\p{{L}}') AND orig = upper(orig) AS upr FROM t1),
+t3 AS (SELECT t2.*, lex.valence::DOUBLE AS valence, lex.valence IS NOT NULL AS known FROM t2 LEFT JOIN lex USING (token)),
+wide AS (SELECT *, {lags}, lead(token, 1) {w} AS n1, lead(token, 2) {w} AS n2, lead(known, 1) {w} AS nk,
+                bool_or(upr) {g} AND NOT bool_and(upr) {g} AS mixed, min(CASE WHEN token = 'but' THEN pos END) {g} AS but_at FROM t3),
+{chain},
+vs AS (SELECT doc_id, sentence_no, CASE WHEN {own} THEN r{last} ELSE 0.0 END::DOUBLE AS v FROM c{last}),
+ag AS (SELECT doc_id, sentence_no, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS ps, sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END) AS ns,
+              count(*) FILTER (v = 0)::DOUBLE AS nc FROM vs GROUP BY doc_id, sentence_no),
+em AS (SELECT doc_id, sentence_no, sentence, least(len(sentence) - len(replace(sentence, '!', '')), 4) * {S.EXCLAMATION_INCREMENT}::DOUBLE
+         + CASE WHEN len(sentence) - len(replace(sentence, '?', '')) <= 1 THEN 0.0 WHEN len(sentence) - len(replace(sentence, '?', '')) <= 3
+                THEN (len(sentence) - len(replace(sentence, '?', ''))) * {S.QUESTION_INCREMENT} ELSE 0.96 END::DOUBLE AS e FROM sents),
+b AS (SELECT doc_id, sentence_no, e, coalesce(s, 0.0) AS s, coalesce(ps, 0.0) AS ps, coalesce(ns, 0.0) AS ns, coalesce(nc, 0.0) AS nc
+      FROM em LEFT JOIN ag USING (doc_id, sentence_no)),
+f AS (SELECT doc_id, sentence_no, nc, s + CASE WHEN s > 0 THEN e WHEN s < 0 THEN -e ELSE 0 END AS s,
+             ps + CASE WHEN ps > abs(ns) THEN e ELSE 0 END AS ps, ns - CASE WHEN ps < abs(ns) THEN e ELSE 0 END AS ns FROM b)
+SELECT doc_id, sentence_no, s / sqrt(s * s + 15.0) AS compound,
+       CASE WHEN ps + abs(ns) + nc = 0 THEN 0.0 ELSE ps / (ps + abs(ns) + nc) END AS pos,
+       CASE WHEN ps + abs(ns) + nc = 0 THEN 1.0 ELSE nc / (ps + abs(ns) + nc) END AS neu,
+       CASE WHEN ps + abs(ns) + nc = 0 THEN 0.0 ELSE abs(ns) / (ps + abs(ns) + nc) END AS neg
+FROM f"""
+
+
+@query("d2_all_modifiers", "WITH " + _lex_sql() + "," + DOC_SENT_CTE + "," + _rules_sql())
 def d2_all(spark, sf):
     s = S.score_sentences(
         doc_sentences(spark, sf), DRIVER_LEXICON, keys=("doc_id", "sentence_no"), modifiers=True, negations=DRIVER_NEGATIONS

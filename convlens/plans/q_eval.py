@@ -39,7 +39,15 @@ def j1(spark, sf):
     return J.pearson(order_pairs(spark, sf), "pred", "actual", with_p=False)
 
 
-@query("j1_pearson_pvalue", None)
+# the tail of the t density by Simpson's rule, the gamma functions by their series for many degrees of freedom
+@query("j1_pearson_pvalue", "WITH " + PAIRS_SQL + """,
+c AS (SELECT count(*) AS n, corr(pred, actual) AS r FROM pairs WHERE pred IS NOT NULL AND actual IS NOT NULL),
+s AS (SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS v FROM c),
+w AS (SELECT *, abs(t) AS u, 60 / ((v + 1) * abs(t) / (v + t * t) + 4) AS reach, v / 2 AS a FROM s),
+k AS (SELECT unnest(range(0, 4001)) AS k),
+q AS (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+                 * exp(-(v + 1) / 2 * ln(1 + pow(u + reach * k / 4000, 2) / v))) / 3 / 4000 AS i FROM w, k)
+SELECT n, r, t, 2 * i * reach * exp(0.5 * ln(a) - 1 / (8 * a) + 1 / (192 * a * a * a)) / sqrt(pi() * v) AS p FROM w, q""")
 def j1p(spark, sf):
     return J.pearson(order_pairs(spark, sf), "pred", "actual", with_p=True)
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convlens.functions import text as T
+from convlens.operators import boundaries as BO
+from convlens.operators import subwords as W
 from convlens.operators import transcripts as TR
 from convlens.plans.registry import query, table
 from convlens.plans.sqlparts import TURNS_CTE, ascii_word_view, rcount, strip, wc
@@ -167,6 +170,51 @@ def b14(spark, sf):
     )
 
 
+@query("b13_abbreviations", r"""
+WITH t AS (SELECT unnest(regexp_extract_all(text, '\S+')) AS t FROM documents),
+b AS (SELECT regexp_replace(lower(t), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS bare,
+             ends_with(regexp_replace(t, '["''\)\]]+$', ''), '.') AS p FROM t),
+y AS (SELECT CASE WHEN regexp_matches(bare, '^-?[.,]?[0-9][0-9,.\-]*$') THEN '##number##' ELSE bare END AS type, p FROM b WHERE bare <> ''),
+c AS (SELECT type, count(*) FILTER (p) AS with_period, count(*) FILTER (NOT p) AS without FROM y GROUP BY type),
+n AS (SELECT sum(with_period + without)::DOUBLE AS n, sum(with_period)::DOUBLE AS p FROM c),
+l AS (SELECT c.*, len(replace(type, '.', '')) AS inside, (with_period + without)::DOUBLE AS a, with_period::DOUBLE AS ab, n.p / n.n AS q FROM c, n)
+SELECT type, with_period, without,
+       CASE WHEN with_period > 0 AND type <> '##number##' AND regexp_matches(type, '\p{L}') THEN
+         -2 * (ab * ln(greatest(q, 1e-300)) + (a - ab) * ln(greatest(1 - q, 1e-300)) - ab * ln(0.99) - (a - ab) * ln(0.01))
+         * exp(-inside::DOUBLE) * (len(type) - inside + 1) * pow(inside::DOUBLE, -without::DOUBLE) ELSE 0.0 END AS score
+FROM l""")
+def b13_abbreviations(spark, sf):
+    return BO.abbreviation_scores(BO.type_counts(table(spark, sf, "documents"), "text"))
+
+
+@query("b13_trained_sentences", None)
+def b13_trained(spark, sf):
+    d = table(spark, sf, "documents")
+    return BO.split(d, BO.train(d, "text"), "doc_id", "text")
+
+
+@query("b15_subword_chunks", None)
+def b15_subwords(spark, sf):
+    d = table(spark, sf, "documents")
+    out = W.chunk_subwords(d, "text", W.piece_vocabulary(d, "text"), max_length=128)
+    return out.select("doc_id", F.posexplode("chunks").alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "c.n_tokens", "c.chunk")
+
+
+@query("b15_chunk_sums", r"""
+WITH d AS (SELECT doc_id, """ + wc("coalesce(text, '')") + r""" AS n, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: """ + strip("s") + r"""), lambda s: s <> '') AS arr
+           FROM documents WHERE """ + strip("coalesce(text, '')") + r""" <> ''),
+u AS (SELECT doc_id, n, unnest(arr) AS s FROM d WHERE n > 126)
+SELECT doc_id, sum(""" + wc("s") + r""")::BIGINT AS n_words FROM u GROUP BY doc_id
+UNION ALL SELECT doc_id, n::BIGINT AS n_words FROM d WHERE n <= 126""")
+def b15_sums(spark, sf):
+    d = TR.chunk_text(table(spark, sf, "documents"), "text", max_length=128)
+    words = F.transform("chunks", lambda c: T.word_count(c))
+    return d.where(F.size("chunks") > 0).select(
+        "doc_id",
+        F.aggregate(words, F.lit(0).cast("long"), lambda s, n: s + n).alias("n_words"),
+    )
+
+
 @query("b15_chunks", None)
 def b15(spark, sf):
     d = TR.chunk_text(table(spark, sf, "documents"), "text", max_length=128)

@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,13 +100,38 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope of intermediate tables: those that ``cut_lineage`` writes inside are removed at its end.
+
+    Only for work whose result no longer reads them: a model at the driver, or
+    rows written with ``keep=True``.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in own:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and
     read it back: the plan is computed once (``DataFrame.checkpoint`` computes
     it twice unless cached), the data is columnar, and it survives executor
     loss.  Never a machine-local folder on a cluster, never ``localCheckpoint``.
+    With ``keep`` the table outlives the innermost ``scratch`` scope.
     """
     path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    around = _scopes[:-1] if keep else _scopes
+    if around:
+        around[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

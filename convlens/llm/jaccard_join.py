@@ -140,12 +140,19 @@ def _id(id_col: str):
     return F.expr(f"try_cast(`{id_col}` AS BIGINT)").alias("i")
 
 
-def _text_hash(text_col: str):
-    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("th")
+def _text_hash(id_col: str, text_col: str):
+    """The text's name where there is no id; null beside one."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return F.when(F.expr(f"try_cast(`{id_col}` AS BIGINT)").isNull(), F.md5(text)).alias("th")
+
+
+def _short_hash(text_col: str):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t8")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int, depth: int, keep: int) -> DataFrame:
-    """``i, th (hash of the text), h (hash of the set, null without a shingle), low, keys`` per row; a map without shuffle."""
+    """``i, th and t8 (hashes of the text), h (hash of the set, null without a shingle), low, keys`` per row; a map without shuffle."""
     import pyarrow as pa
 
     def run(batches):
@@ -160,15 +167,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int
                     [
                         batch.column(0).slice(a, b - a),
                         batch.column(2).slice(a, b - a),
+                        batch.column(3).slice(a, b - a),
                         pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
-                    names=["i", "th", "h", "low", "keys"],
+                    names=["i", "th", "t8", "h", "low", "keys"],
                 )
 
-    return docs.select(_id(id_col), F.col(text_col).alias("t"), _text_hash(text_col)).mapInArrow(
-        run, "i long, th string, h binary, low binary, keys array<long>"
+    return docs.select(_id(id_col), F.col(text_col).alias("t"), _text_hash(id_col, text_col), _short_hash(text_col)).mapInArrow(
+        run, "i long, th string, t8 long, h binary, low binary, keys array<long>"
     )
 
 
@@ -345,7 +353,7 @@ def _groups(link: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words, threshold, trees, depth, recall, cut, block, texts) -> tuple[DataFrame, DataFrame]:
-    """``i, th, h`` per row, and ``h, class, class_id, n_links, n_copies`` per different shingle set."""
+    """``i, th, t8, h`` per row, and ``h, class, class_id, n_links, n_copies`` per different shingle set."""
     prepare(docs.sparkSession)
     keep = prefix_depth(threshold, trees, depth, recall)
     rows = cut_lineage(sketches(docs, id_col, text_col, words, trees, depth, keep))
@@ -355,7 +363,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words, threshold, tree
         .groupBy("h")
         .agg(
             F.min("i").alias("id"),
-            F.min(F.when(F.col("i").isNull(), F.col("th"))).alias("th"),
+            F.min("th").alias("th"),
             F.count(F.lit(1)).alias("copies"),
             F.first("low").alias("low"),
             F.first("keys").alias("keys"),
@@ -367,7 +375,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words, threshold, tree
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     own = reps.select(F.col("k").alias("i"), "id", "th", "h", "copies")
     members = cut_lineage(groups.withColumnRenamed("id", "i").join(sizes, "root").join(own, "i"))
-    text = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("t"), _text_hash(text_col))
+    text = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("t"), _text_hash(id_col, text_col))
     # the written table of bare ids is small enough for Spark to broadcast up to its threshold in bytes, so that
     # texts without a candidate stay where they are; beyond the threshold the same join shuffles
     named = members.where(F.col("id").isNotNull())
@@ -395,7 +403,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words, threshold, tree
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("copies").alias("n_copies"),
     )
-    return rows.select("i", "th", "h"), decided
+    return rows.select("i", "th", "t8", "h"), decided
 
 
 def near_copies(
@@ -448,22 +456,24 @@ def drop_near_copies(
     stays.  Texts without a word all stay.
     """
     rows, decided = _classes(docs, id_col, text_col, words, threshold, trees, depth, recall, cut, block, texts)
-    counted = rows.where(F.col("h").isNotNull()).groupBy("i", "th", "h").agg(F.count(F.lit(1)).alias("n"))
-    marked = cut_lineage(counted.join(decided.select("h", "class"), "h").select("i", "th", "n", "class"))
-    best = marked.groupBy("class").agg(F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th")).alias("b"))
-    same = F.col("i").eqNullSafe(F.col("b.i")) & (F.col("th") == F.col("b.th"))
+    counted = rows.where(F.col("h").isNotNull()).groupBy("i", "th", "t8", "h").agg(F.count(F.lit(1)).alias("n"))
+    marked = cut_lineage(counted.join(decided.select("h", "class"), "h").select("i", "th", "t8", "n", "class"))
+    best = marked.groupBy("class").agg(F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th", "t8")).alias("b"))
+    same = F.col("i").eqNullSafe(F.col("b.i")) & F.col("th").eqNullSafe(F.col("b.th")) & (F.col("t8") == F.col("b.t8"))
     placed = marked.join(best, "class")
-    key = docs.select("*", _id(id_col).alias("__i"), _text_hash(text_col).alias("__th"))
+    key = docs.select("*", _id(id_col).alias("__i"), _text_hash(id_col, text_col).alias("__th"), _short_hash(text_col).alias("__t8"))
+    extra = ("__i", "__th", "__t8")
 
     def meets(pairs: DataFrame):
-        return key["__i"].eqNullSafe(pairs["i"]) & (key["__th"] == pairs["th"])
+        return (key["__t8"] == pairs["t8"]) & key["__i"].eqNullSafe(pairs["i"]) & key["__th"].eqNullSafe(pairs["th"])
 
-    gone = cut_lineage(placed.where(~same).select("i", "th"))
-    again = cut_lineage(placed.where(same & (F.col("n") > 1)).select("i", "th"))
+    # written tables of a few numbers a row: broadcast up to Spark's threshold in bytes
+    gone = cut_lineage(placed.where(~same).select("i", "th", "t8"))
+    again = cut_lineage(placed.where(same & (F.col("n") > 1)).select("i", "th", "t8"))
     left = key.join(gone, meets(gone), "left_anti")
     if again.isEmpty():
-        return left.drop("__i", "__th")
+        return left.drop(*extra)
     # rows that repeat id and text: one of them
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = key.join(again, meets(again), "left_semi").groupBy("__i", "__th").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
-    return left.join(again, meets(again), "left_anti").drop("__i", "__th").unionByName(one)
+    one = key.join(again, meets(again), "left_semi").groupBy(*extra).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return left.join(again, meets(again), "left_anti").drop(*extra).unionByName(one)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.llm.arrow import prepare, slices
-from convlens.session import cut_lineage
+from convlens.session import cut_lineage, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: kind (0 none, then KINDS from 1) and whether it continues the token before.
@@ -373,6 +373,11 @@ def train(chains: list[tuple[list[int], list[int]]], skip: float) -> Field:
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Field | None:
     """The field learned from the patterns' matches in ``docs``; None without any."""
     prepare(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _fit(docs, text_col, sample)
+
+
+def _fit(docs: DataFrame, text_col: str, sample: int) -> Field | None:
     rows = cut_lineage(_learnable(docs, text_col))
     counts = rows.where(F.col("entity").isNull()).agg(F.sum(F.col("labels")[0]).alias("agree"), F.sum(F.col("labels")[1]).alias("both")).first()
     # a chain counts once however often it is copied, so that no hot document fills the sample

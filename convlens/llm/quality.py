@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlens.llm.arrow import prepare, slices
-from convlens.session import cut_lineage
+from convlens.session import cut_lineage, scratch
 
 DIMS = 1 << 18
 SAMPLE = 12_000
@@ -169,9 +169,9 @@ def selection_cut(
     return float(min(0.5, np.quantile(top, 1 - KEEP))) if len(top) else 0.5
 
 
-def sample_features(rated: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, ...]:
+def sample_features(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, ...]:
     """Informative features, features per text, grades, folds and whether a text has a word, of at most about ``sample``
-    different rows of ``(i, t, grade)``."""
+    different rows of the texts ``(i, t)`` with their grades ``(i, grade)``."""
     import pyarrow as pa
 
     def run(batches):
@@ -180,10 +180,14 @@ def sample_features(rated: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
             out = [np.sort(hashed(t, cache)).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), batch.column(2)], names=["grade", "f", "h"])
 
-    hashed_rows = rated.withColumn("h", F.xxhash64("i", "t", "grade"))
-    n = hashed_rows.select("h").distinct().count()
+    # rows are drawn by bare hashes, and only those drawn bring their texts
+    named = docs.withColumn("key", F.xxhash64("i", "t"))
+    rated = named.select("i", "key").join(grades, "i").select("key", "grade").distinct().withColumn("h", F.xxhash64("key", "grade"))
+    rated = cut_lineage(rated)
+    n = rated.count()
     if n > sample:
-        hashed_rows = hashed_rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20))))
+        rated = cut_lineage(rated.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20)))))
+    hashed_rows = named.join(rated, "key")
     drawn = hashed_rows.select("t", "grade", "h").mapInArrow(run, "grade int, f binary, h long")
     rows = cut_lineage(drawn.dropDuplicates(["h", "grade"]).withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")))
 
@@ -236,15 +240,14 @@ def sample_features(rated: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> Model | int | None:
     """A model; or the only grade; or None without a labelled row.  ``grade``: of ``labels``, from 0, null ignored."""
     prepare(docs.sparkSession)
-    rated = (
-        docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-        .join(labels.select(F.col(id_col).alias("i"), grade.cast("int").alias("grade")).where(F.col("grade") >= 0), "i")
-    )
-    index, counts, grades, fold, worded = sample_features(rated, sample)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    given = labels.select(F.col(id_col).alias("i"), grade.cast("int").alias("grade")).where(F.col("grade") >= 0)
+    with scratch(docs.sparkSession):
+        index, counts, grades, fold, worded = sample_features(texts, given, sample)
     if len(grades) == 0 or grades.min() == grades.max():
         return int(grades[0]) if len(grades) else None
-    # the grades of all rows, should the sample have missed the highest
-    top = rated.agg(F.max("grade")).first()[0] + 1
+    # the grades of all labels, should the sample have missed the highest
+    top = max(given.agg(F.max("grade")).first()[0], int(grades.max())) + 1
     model = fit_ordinal(index, counts, grades, top)
     model.cut = selection_cut(index, counts, grades, fold, worded, top)
     return model

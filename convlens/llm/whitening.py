@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm.arrow import prepare
-from convlens.session import cut_lineage
+from convlens.session import cut_lineage, scratch
 
 SCALE = 64
 COMPONENTS = 16
@@ -413,7 +413,8 @@ def whiten(
     prepare(vectors.sparkSession)
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("i"), integers(F.col(vec_col), scale).alias("y")).where(F.col("y").isNotNull())
-    models = fit(cut_lineage(rows.select("y").distinct()), components)
+    with scratch(vectors.sparkSession):
+        models = fit(cut_lineage(rows.select("y").distinct()), components)
 
     def run(batches):
         for batch in batches:

@@ -262,13 +262,15 @@ def test_quality_counts_whole_texts_and_bounds_rows_not_words(spark, monkeypatch
     labels += [(500, 0, 0)] * 20 + [(None, 1, 1), (501, None, 0)]
     docs = spark.createDataFrame([(i, t, "g") for i, t in rows], "doc_id long, text string, grade string")
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    rated = docs.join(table, "doc_id").select(F.col("doc_id").alias("i"), F.col("text").alias("t"), quality.rating().cast("int").alias("grade")).where("grade >= 0")
-    index, counts, grade, fold, worded = quality.sample_features(rated)
+    texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
+    given = table.select(F.col("doc_id").alias("i"), quality.rating().cast("int").alias("grade")).where("grade >= 0")
+    rated = texts.join(given, "i")
+    index, counts, grade, fold, worded = quality.sample_features(texts, given)
     assert len(grade) == 121 and worded.all()  # repeats count once
     # what stays is what chi-square over whole texts leaves, in all rows or without a fold
     sets = {(i, t): np.unique(quality.hashed(t, {})) for i, t in rows}
     known = sorted({(r.i, r.t, r.grade) for r in rated.collect()}, key=lambda r: r[0])
-    h = {(r.i, r.grade): r.k for r in rated.select("i", "grade", F.pmod(F.xxhash64("i", "t", "grade"), F.lit(quality.FOLDS)).alias("k")).collect()}
+    h = {(r.i, r.grade): r.k for r in rated.select("i", "grade", F.pmod(F.xxhash64(F.xxhash64("i", "t"), "grade"), F.lit(quality.FOLDS)).alias("k")).collect()}
     used = set()
     for left_out in (None, 0, 1, 2):
         some = [r for r in known if h[r[0], r[2]] != left_out]
@@ -284,7 +286,7 @@ def test_quality_counts_whole_texts_and_bounds_rows_not_words(spark, monkeypatch
                 used.add(f)
     assert used and set(index.tolist()) == used
     assert sorted(counts.tolist()) == sorted(int(np.isin(quality.hashed(t, {}), list(used)).sum()) for _, t, _ in known)
-    few = quality.sample_features(rated, sample=40)
+    few = quality.sample_features(texts, given, sample=40)
     assert 15 < len(few[2]) < 70
     assert quality.features("x " + "!" * 5000) != quality.features("x " + "!" * 5001)
 

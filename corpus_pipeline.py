@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from convlens.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from convlens.llm.registry import register
-from convlens.session import cut_lineage
+from convlens.session import cut_lineage, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut_lineage(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):  # a stage's own tables go once its rows are written
+            docs = cut_lineage(stage(spark, docs, sf_dir), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 register("pipeline", run, ORACLE_SQL)

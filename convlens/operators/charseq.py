@@ -3,8 +3,8 @@
 The reference joins all texts into one string and slides a window over it.
 Here no global string is built: each text learns its offset in the joined
 corpus (a distributed prefix sum), the vocabulary is a small distinct set,
-encoding is a per-row map lookup against a one-row broadcast map, and windows
-are generated per text with ``sequence`` + ``slice`` (lazy, no buffering).
+encoding translates characters through a hash table, and windows are generated
+per text with ``sequence`` + ``slice`` (lazy, no buffering).
 """
 
 from __future__ import annotations
@@ -53,29 +53,38 @@ def char_vocabulary(df: DataFrame, text_col: str, extra: str = "") -> DataFrame:
     return distinct.withColumn("idx", (F.row_number().over(Window.orderBy("ch")) - 1).cast("int"))
 
 
-def _vocab_map(vocab: DataFrame, inverse: bool = False):
-    """The (small) vocabulary as one map value, attached as a scalar subquery."""
-    kv = F.struct("idx", "ch") if inverse else F.struct("ch", "idx")
-    return vocab.agg(F.map_from_entries(F.collect_list(kv))).scalar()
+#: Code point that stands for id 0 while encoding: the private planes 15 and 16 hold 131,068 ids.
+_FIRST = 0xF0000
+_PRIVATE = "[\U000f0000-\U0010ffff]"
+
+
+def _alphabet(vocab: DataFrame) -> list[str]:
+    """Characters by id, "" for an id that is not given; a vocabulary is bounded by the alphabet."""
+    rows = vocab.select("ch", "idx").collect()
+    out = [""] * (max((r["idx"] for r in rows), default=-1) + 1)
+    for r in rows:
+        out[r["idx"]] = r["ch"]
+    return out
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """L3: characters -> ids; unknown characters map to null."""
-    # the scalar is projected first: lambdas cannot hold a subquery themselves
-    return (
-        df.withColumn("__m", _vocab_map(vocab))
-        .withColumn(out, F.transform(F.filter(chars(F.col(text_col)), lambda c: c != ""), lambda c: F.element_at(F.col("__m"), c)))
-        .drop("__m")
-    )
+    known = [(k, c) for k, c in enumerate(_alphabet(vocab)) if c]
+    text = F.col(text_col)
+    # one hash lookup a character; what is not in the vocabulary stays as it is, below the private planes
+    marked = F.translate(text, "".join(c for _, c in known), "".join(chr(_FIRST + k) for k, _ in known))
+    number = lambda c: F.ascii(c) - F.lit(_FIRST)
+    fast = F.transform(F.filter(chars(marked), lambda c: c != ""), lambda c: F.when(number(c) >= 0, number(c)))
+    # a text with characters of the private planes themselves: looked up one by one
+    table = F.create_map(*[F.lit(x) for k, c in known for x in (c, k)]) if known else F.create_map().cast("map<string,int>")
+    slow = F.transform(F.filter(chars(text), lambda c: c != ""), lambda c: F.element_at(table, c))
+    return df.withColumn(out, F.when(text.rlike(_PRIVATE), slow).otherwise(fast))
 
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """L3 inverse: ids -> string (unknown ids dropped)."""
-    return (
-        df.withColumn("__m", _vocab_map(vocab, inverse=True))
-        .withColumn(out, F.array_join(F.transform(F.col(ids_col), lambda i: F.element_at(F.col("__m"), i)), ""))
-        .drop("__m")
-    )
+    table = F.array(*[F.lit(c) for c in _alphabet(vocab)]).cast("array<string>")
+    return df.withColumn(out, F.array_join(F.transform(F.col(ids_col), lambda i: F.when(i >= 0, F.get(table, i))), ""))
 
 
 def windows(df: DataFrame, keys: list[str], ids_col: str, block_size: int, stride: int = 1) -> DataFrame:
@@ -143,12 +152,10 @@ def load_vocabulary(spark, path: str) -> DataFrame:
 
 def remove_unknown(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "safe_text") -> DataFrame:
     """Drop characters outside the vocabulary and flag rows that changed."""
-    return (
-        df.withColumn("__m", _vocab_map(vocab))
-        .withColumn(out, F.array_join(F.filter(chars(F.col(text_col)), lambda c: F.map_contains_key(F.col("__m"), c)), ""))
-        .withColumn("changed", F.length(out) != F.length(text_col))
-        .drop("__m")
-    )
+    known = F.lit("".join(_alphabet(vocab)))
+    unknown = F.call_function("translate", F.col(text_col), known, F.lit(""))
+    safe = F.call_function("translate", F.col(text_col), unknown, F.lit(""))
+    return df.withColumn(out, safe).withColumn("changed", F.length(out) != F.length(text_col))
 
 
 def sample_prompt(c, n: int = 20):

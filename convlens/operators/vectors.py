@@ -38,8 +38,12 @@ def hashed_embedding(counts: DataFrame, ids: DataFrame, dim: int = 256, idf: boo
     else:
         c = counts.withColumn("w", F.col("n").cast("double"))
     per_bucket = c.groupBy("id", F.pmod(F.hash("term"), F.lit(dim)).alias("b")).agg(F.sum("w").alias("w"))
-    gathered = per_bucket.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
+    gathered = per_bucket.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("m"))
+    # one pass over the sorted entries: the zeros before each, then the zeros behind the last
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    gap = lambda x, k: x["b"] - F.when(k > 0, F.get("m", k - 1)["b"]).otherwise(F.lit(-1)) - 1
+    filled = F.flatten(F.transform("m", lambda x, k: F.concat(zeros(gap(x, k)), F.array(x["w"]))))
+    dense = F.concat(filled, zeros(F.lit(dim - 1) - F.element_at("m", -1)["b"]))
     vec = ids.select("id").join(gathered, "id", "left").select(
         "id", F.when(F.col("m").isNull(), V.zeros(dim)).otherwise(dense).alias("raw")
     )

@@ -75,7 +75,20 @@ def l4(spark, sf):
     return w.select("conv_id", "turn", "pos", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
-@query("l5_vocab_roundtrip", None)
+@query("l4_corpus_windows", """
+WITH j AS (SELECT string_agg(coalesce(text, ''), ' ' ORDER BY item_id) AS t FROM benchmark),
+c AS (SELECT unnest(range(len(string_split(t, '')))) AS pos, unnest(string_split(t, '')) AS ch FROM j),
+v AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS idx FROM (SELECT DISTINCT ch FROM c)),
+ids AS (SELECT list(v.idx ORDER BY pos) AS ids FROM c JOIN v USING (ch)),
+w AS (SELECT ids, unnest(range(0, len(ids) - 16, 64)) AS pos FROM ids)
+SELECT pos::BIGINT AS pos, array_to_string(ids[pos + 1 : pos + 16], ',') AS x, array_to_string(ids[pos + 2 : pos + 17], ',') AS y FROM w""")
+def l4_corpus(spark, sf):
+    d = table(spark, sf, "benchmark")
+    w = L.corpus_windows(d, "item_id", "text", L.char_vocabulary(d, "text", extra=" "), block_size=16, stride=64)
+    return w.select("pos", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
+@query("l5_vocab_roundtrip", "WITH " + VOCAB_SQL + " SELECT ch, idx::INTEGER AS idx FROM vocab")
 def l5(spark, sf):
     path = os.path.join(checkpoint_dir(spark), f"vocab-{uuid.uuid4().hex}")
     L.save_vocabulary(doc_vocab(spark, sf), path)

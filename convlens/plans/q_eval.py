@@ -163,12 +163,17 @@ def stub_scorer(texts):
     return [f"{len(t) % 7 + 1}. The answers are {'long' if len(t) > 2000 else 'short'}." for t in texts]
 
 
-@query("k2_score_text", None)
+_STUB_SQL = f"""
+asked AS (SELECT id, string_agg(raw, '|' ORDER BY turn) || '{QUESTION_SQL}' AS prompt FROM t GROUP BY id),
+rated AS (SELECT id, prompt, len(prompt) % 7 + 1 AS score, (len(prompt) % 7 + 1) || '. The answers are ' || CASE WHEN len(prompt) > 2000 THEN 'long' ELSE 'short' END || '.' AS analysis FROM asked)"""
+
+
+@query("k2_score_text", "WITH " + TURNS_CTE + "," + _STUB_SQL + " SELECT id, analysis, NULL::VARCHAR AS error FROM rated")
 def k2(spark, sf):
     prompts = K.build_prompt(conv_transcripts(spark, sf), "transcript")
     return K.score_text(prompts, "id", "prompt", stub_scorer)
 
 
-@query("k4_run_rating", None)
+@query("k4_run_rating", "WITH " + TURNS_CTE + "," + _STUB_SQL + " SELECT id, score::INTEGER AS predicted_score, analysis, NULL::VARCHAR AS error FROM rated")
 def k4(spark, sf):
     return K.run_rating(conv_transcripts(spark, sf), stub_scorer)

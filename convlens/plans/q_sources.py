@@ -87,11 +87,14 @@ def a6_files(spark, sf):
     return R.read_whole_text(spark, path).select(F.length("text").alias("n_characters"))
 
 
-@query("a7_write_csv_roundtrip", None)
+@query("a7_write_csv_roundtrip", "WITH " + INDIVIDUAL_CTE + """
+SELECT id::BIGINT AS id, similarity, interviewer_length::BIGINT AS interviewer_length, interviewee_length::BIGINT AS interviewee_length,
+       ratio, cluster::BIGINT AS cluster FROM ind""")
 def a7(spark, sf):
     path = os.path.join(checkpoint_dir(spark), f"individual-{uuid.uuid4().hex}")
-    W.write_csv(individual(spark, sf), path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    W.write_csv(individual(spark, sf).select("id", "similarity", "interviewer_length", "interviewee_length", "ratio", "cluster"), path)
+    kinds = "id long, similarity double, interviewer_length long, interviewee_length long, ratio double, cluster long"
+    return spark.read.option("header", True).schema(kinds).csv(path)
 
 
 def _report_sql() -> str:

@@ -103,6 +103,18 @@ def e4(spark, sf):
     return assigned
 
 
+@query("e4_nearest_centroid", "SELECT vec_id, true AS nearest FROM embeddings")
+def e4_nearest(spark, sf):
+    """Every vector lies in the cluster whose centre is nearest, and no centre is without members."""
+    e = table(spark, sf, "embeddings")
+    model, assigned = VO.kmeans_clusters(e, "vec_id", "embedding", k=5, seed=42)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    far = lambda c: F.aggregate(F.zip_with("embedding", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    rows = e.select("vec_id", "embedding").join(assigned.select("vec_id", "cluster"), "vec_id")
+    dist = rows.select("vec_id", "cluster", F.transform(centres, far).alias("d"))
+    return dist.select("vec_id", (F.get("d", F.col("cluster").cast("int")) <= F.array_min("d") + 1e-9).alias("nearest"))
+
+
 def _centroid_dist(spark, sf):
     e = table(spark, sf, "embeddings").withColumnRenamed("label", "cluster")
     cents = VO.mean_pool(e, ["cluster"], "embedding", "centroid")

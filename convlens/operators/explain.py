@@ -22,6 +22,7 @@ bounded samples chosen by hash order.
 
 from __future__ import annotations
 
+import math
 import json
 from collections.abc import Callable
 
@@ -293,6 +294,9 @@ def _fit_pairs(cur: DataFrame, features, edges, top: int, coarse: int, rounds: i
 
 
 # ---------------------------------------------------------------- I10-I11 attributions
+MOST_FEATURES = 12
+
+
 def sample_by_hash(df: DataFrame, key, n: int, seed: int) -> DataFrame:
     """Bounded deterministic sample: the ``n`` rows with the smallest md5(seed:key)."""
     return df.orderBy(md5_hex8(key, seed), F.col(key) if isinstance(key, str) else key).limit(n)
@@ -345,6 +349,55 @@ def permutation_attributions(
     return per.groupBy("id", "feature").agg(F.avg("delta").alias("attribution"))
 
 
+def shapley_attributions(
+    explain: DataFrame,
+    background: DataFrame,
+    features: list[str],
+    predict: Callable[[DataFrame], DataFrame],
+    id_col: str = "id",
+) -> DataFrame:
+    """I10 exact: ``(id, feature, attribution)`` over all coalitions of at most ``MOST_FEATURES`` features.
+
+    A coalition is a bit mask; its value is the mean prediction over the
+    background rows with the coalition's features taken from the explained row.
+    Different coalitions often give one vector (equal values, copies in the
+    background), so every different vector is predicted once and counted.  A
+    feature's attribution is the sum of the values, weighted by the size of the
+    coalition, plus where it takes part and minus where it does not.
+    """
+    d = len(features)
+    if d > MOST_FEATURES:
+        raise ValueError(f"{d} features have 2**{d} coalitions; use permutation_attributions beyond {MOST_FEATURES}")
+    vector = lambda df: F.array(*[F.col(f).cast("double") for f in features])
+    bg = cut_lineage(background.select(vector(background).alias("z")).groupBy("z").agg(F.count(F.lit(1)).alias("times")))
+    bg = bg.withColumn("deal", F.pmod(F.xxhash64("z"), F.lit(DEALS)))
+    x = explain.select(F.col(id_col).alias("id"), vector(explain).alias("x"))
+    masks = F.explode(F.sequence(F.lit(0), F.lit(2**d - 1)))
+    rows = (
+        x.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+        .join(bg, "deal")
+        .select("id", "x", "z", "times", masks.alias("mask"))
+    )
+    taken = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1, F.get("x", i)).otherwise(F.get("z", i)))
+    counted = cut_lineage(rows.select("id", "mask", "times", taken.alias("v")).groupBy("id", "mask", "v").agg(F.sum("times").alias("n")))
+    different = counted.select("v").distinct().select("v", *[F.get("v", F.lit(i)).alias(f) for i, f in enumerate(features)])
+    scored = cut_lineage(predict(different).select("v", F.col("prediction").cast("double").alias("f")))
+    # a vector may hold nulls, which an equality would lose
+    same = counted["v"].eqNullSafe(scored["v"])
+    values = counted.join(scored, same).groupBy("id", "mask").agg((F.sum(F.col("f") * F.col("n")) / F.sum("n")).alias("value"))
+    weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    table = F.array(*[F.lit(w) for w in weight])
+    size = F.bit_count("mask")
+
+    def part(i: int):
+        inside = F.shiftright("mask", i).bitwiseAND(1) == 1
+        signed = F.when(inside, F.get(table, size - 1)).otherwise(-F.get(table, size))
+        return F.struct(F.lit(features[i]).alias("feature"), (signed * F.col("value")).alias("a"))
+
+    each = values.select("id", F.explode(F.array(*[part(i) for i in range(d)])).alias("e"))
+    return each.groupBy("id", F.col("e.feature").alias("feature")).agg(F.sum("e.a").alias("attribution"))
+
+
 def attribution_summary(attr: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature, ranked."""
     return attr.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs_attribution")).orderBy(

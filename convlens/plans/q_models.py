@@ -228,6 +228,37 @@ def i10(spark, sf):
     return _attr_linear(spark, sf)
 
 
+def _curved(df):
+    """A prediction that is not linear: products, a square and a threshold."""
+    q, d, t = (F.col(c).cast("double") for c in AM_FEATURES)
+    return df.withColumn("prediction", q * d + 100 * t * t + F.when(q > 25, 3 * d).otherwise(q * t))
+
+
+def _shapley_sql() -> str:
+    f = lambda q, d, t: f"({q} * {d} + 100 * {t} * {t} + CASE WHEN {q} > 25 THEN 3 * {d} ELSE {q} * {t} END)"
+    named = ", ".join(f"{c}::DOUBLE AS f{k}" for k, c in enumerate(AM_FEATURES))
+    values = ", ".join(
+        f"avg({f(*[('ex' if m >> k & 1 else 'bg') + f'.f{k}' for k in range(3)])}) AS v{m}" for m in range(8)
+    )
+    weight = {0: "1.0 / 3", 1: "1.0 / 6", 2: "1.0 / 3"}
+    parts = []
+    for k, c in enumerate(AM_FEATURES):
+        terms = " + ".join(f"{weight[bin(m).count('1')]} * (v{m | 1 << k} - v{m})" for m in range(8) if not m >> k & 1)
+        parts.append(f"SELECT id, '{c}' AS feature, ({terms})::DOUBLE AS attribution FROM val")
+    return f"""
+WITH li AS (SELECT {LI_KEY_SQL} AS k, {named} FROM lineitem),
+ex AS (SELECT * FROM li ORDER BY substr(md5('3:' || k), 1, 8), k LIMIT 10),
+bg AS (SELECT * FROM li ORDER BY substr(md5('4:' || k), 1, 8), k LIMIT 50),
+val AS (SELECT ex.k AS id, {values} FROM ex, bg GROUP BY ex.k)
+""" + " UNION ALL ".join(parts)
+
+
+@query("i10_shapley", _shapley_sql())
+def i10_shapley(spark, sf):
+    explain, background = _attr_sets(spark, sf)
+    return X.shapley_attributions(explain, background, AM_FEATURES, _curved, id_col="k")
+
+
 @query("i10_attributions_model", None)
 def i10_model(spark, sf):
     li = table(spark, sf, "lineitem")

@@ -21,10 +21,13 @@ transcript (``speaker_texts``) gather a group.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions import text as T
+from convlens.operators import phrases
 from convlens.operators.sequence import DEFAULT_BUCKET, exclusive_prefix_sum, ordinal
 
 SPEAKERS = (("interviewer", T.INTERVIEWER_LABEL), ("interviewee", T.INTERVIEWEE_LABEL))
@@ -224,8 +227,13 @@ def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=Non
     """``(id, filler, n)`` hits of each dictionary entry in one speaker's joined text.
 
     Counted per part (patterns are literals, compiled once) and summed, then
-    corrected for the runs of parts that an entry can reach across.
+    corrected for the runs of parts that an entry can reach across.  A large
+    dictionary of literals is counted by tokens instead (``phrases``), with
+    equal results.
     """
+    entries = list(fillers or T.DEFAULT_FILLERS)
+    if len(entries) > MANY_FILLERS and all(p is None and phrases.plain(n) for n, p in entries):
+        return _phrase_fillers(labelled, speaker, [n for n, _ in entries], bucket_size)
     table = T.filler_table(fillers)
     mine = labelled.where(F.col("speaker") == F.lit(speaker))
     lowered = F.lower(F.col("text"))
@@ -244,6 +252,50 @@ def filler_counts(labelled: DataFrame, speaker: str = "interviewee", fillers=Non
     )
 
 
+MANY_FILLERS = 50
+
+
+def _phrase_fillers(labelled: DataFrame, speaker: str, names: list[str], bucket_size: int) -> DataFrame:
+    """``filler_counts`` of literals by their tokens.
+
+    Two parts are joined only where the last word of one and the first of the
+    next are neighbours in an entry: the pairs meet in a hash join.
+    """
+    mine = labelled.where(F.col("speaker") == F.lit(speaker))
+    lowered = {n: n.lower() for n in names}
+    hits = phrases.phrase_counts(mine, ["id"], "text", list(lowered.values()))
+    last, first = F.regexp_extract(F.lower("text"), r"(?U)(\w+)\z", 1), F.regexp_extract(F.lower("text"), r"(?U)^(\w+)", 1)
+    pairs = set()
+    for n in lowered.values():
+        words = n.split(" ")
+        for a, b in zip(words, words[1:]):
+            x, y = re.search(r"(\w+)\Z", a), re.match(r"\w+", b)
+            if x and y:
+                pairs.add((x[1], y[0]))
+    extra = None
+    if pairs:
+        near = labelled.sparkSession.createDataFrame(sorted(pairs), "left_word string, right_word string")
+        ordered = ordinal(mine.select("id", "turn", "sub", "text"), ["id"], ["turn", "sub"], "ord", bucket_size)
+        rows = ordered.select("id", "ord", "text", last.alias("last"), first.alias("first"))
+        next_ = rows.select("id", (F.col("ord") - 1).alias("ord"), F.col("first").alias("next"))
+        borders = rows.join(next_, ["id", "ord"]).join(near, (F.col("last") == F.col("left_word")) & (F.col("next") == F.col("right_word")), "left_semi").select("id", "ord")
+        to_next = borders.withColumn("on", F.lit(True))
+        to_prev = borders.select("id", (F.col("ord") + 1).alias("ord"), F.lit(True).alias("back"))
+        runs = rows.join(to_next, ["id", "ord"], "left").join(to_prev, ["id", "ord"], "left").where("on OR back")
+        runs = runs.select("id", "ord", "text", F.when(F.col("back"), 0).otherwise(1).alias("start"))
+        numbered = exclusive_prefix_sum(runs, ["id"], ["ord"], "start", "earlier", bucket_size)
+        inside = phrases.phrase_counts(runs, ["id"], "text", list(lowered.values())).select("id", "phrase", (-F.col("n")).alias("n"))
+        whole = numbered.groupBy("id", (F.col("earlier") + F.col("start")).alias("run")).agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text")
+        )
+        extra = phrases.phrase_counts(whole, ["id"], "text", list(lowered.values())).unionByName(inside)
+    counts = (hits if extra is None else hits.unionByName(extra)).groupBy("id", "phrase").agg(F.sum("n").alias("n"))
+    named = labelled.sparkSession.createDataFrame(list(lowered.items()), "filler string, phrase string")
+    # every entry of every speaker, as in the other form
+    every = mine.select("id").distinct().withColumn("filler", F.explode(F.split(F.lit("\u0001".join(names)), "\u0001"))).join(named, "filler")
+    return every.join(counts, ["id", "phrase"], "left").select("id", "filler", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def _cross_part_hits(mine: DataFrame, fillers, bucket_size: int = DEFAULT_BUCKET) -> DataFrame | None:
     """``(id, filler, x)``: hits of the joined text less the hits of its parts; None when no entry can span parts.
 

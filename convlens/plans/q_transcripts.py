@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convlens.functions import text as T
 from convlens.operators import boundaries as BO
+from convlens.operators import phrases as PH
 from convlens.operators import subwords as W
 from convlens.operators import transcripts as TR
 from convlens.plans.registry import query, table
@@ -128,6 +129,26 @@ def b11(spark, sf):
     return TR.filler_counts(conv_labelled(spark, sf), "interviewee", DRIVER_FILLERS)
 
 
+_W = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}"
+
+
+@query("b11_many_phrases", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[{_W}]+|[^{_W}]+') AS t FROM documents),
+g AS (SELECT doc_id, unnest([t[i] || t[i + 1] || t[i + 2] FOR i IN range(1, len(t) - 1)]) AS gram FROM d WHERE len(t) > 2),
+b AS (SELECT regexp_extract_all(lower(text), '[{_W}]+|[^{_W}]+') AS t FROM benchmark),
+e AS (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM b WHERE len(t) > 2),
+dict AS (SELECT DISTINCT t[i] || t[i + 1] || t[i + 2] AS gram FROM e
+         WHERE t[i + 1] = ' ' AND regexp_matches(t[i], '^[{_W}]') AND t[i] <> t[i + 2])
+SELECT doc_id, gram AS phrase, count(*) AS n FROM g JOIN dict USING (gram) GROUP BY doc_id, gram""")
+def b11_many(spark, sf):
+    """Every pair of neighbouring words of the benchmark passages, counted in every document."""
+    t = F.regexp_extract_all(F.lower("text"), F.lit(PH.TOKEN), F.lit(0))
+    three = F.transform("t", lambda x, i: F.struct(x.alias("a"), F.get("t", i + 1).alias("s"), F.get("t", i + 2).alias("b")))
+    pairs = table(spark, sf, "benchmark").select(t.alias("t")).select(F.inline(three)).where("s = ' ' AND a <> b")
+    names = [r[0] for r in pairs.select(F.concat("a", "s", "b")).distinct().collect()]
+    return PH.phrase_counts(table(spark, sf, "documents"), ["doc_id"], "text", sorted(n for n in names if PH.plain(n)))
+
+
 @query(
     "b12_filler_percent",
     "WITH " + TURNS_CTE + ", f AS (" + _filler_sql_rows() + "), h AS (SELECT id, sum(n) AS hits FROM f GROUP BY id)\n"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from convlens.functions.common import as_col, md5_hex8
 from convlens.functions.stats import safe_corr
+from convlens.operators import gram
 from convlens.operators.align import cleanse_id_column, drop_columns, join_scores
 from convlens.operators.sequence import global_rank
 
@@ -101,9 +102,14 @@ def train_test_split(df: DataFrame, key, test_size: float = 0.5, seed: int = 42,
 
 
 # ---------------------------------------------------------------- H5 correlation
+WIDE = 60  # columns up to which every pair is an expression of its own
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """H5: long ``(a, b, corr)`` Pearson matrix in one aggregation; nulls dropped pairwise,
-    constant column -> null."""
+    constant column -> null.  Over ``WIDE`` columns it comes from blocked sums (``gram``)."""
+    if len(cols) > WIDE:
+        return gram.correlations(df, cols)
     pairs = [(a, b) for a in cols for b in cols]
     uniq = list(combinations(cols, 2))
     # one aggregation: every pairwise correlation and every column's deviation
@@ -143,13 +149,14 @@ def f_regression(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
     One aggregation computes every correlation and the row count.
     """
-    agg = df.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(f, label).alias(f) for f in features])
-    rows = agg.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in features])).alias("e"))
-    scored = rows.select(
-        "e.feature",
-        "e.r",
-        F.try_divide(F.col("e.r") * F.col("e.r"), F.lit(1.0) - F.col("e.r") * F.col("e.r")) * (F.col("n") - 2),
-    ).toDF("feature", "r", "f_score")
+    if len(features) > WIDE:
+        rows = gram.label_correlations(df, features, label)
+    else:
+        agg = df.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(f, label).alias(f) for f in features])
+        rows = agg.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in features])).alias("e"))
+        rows = rows.select("e.feature", "e.r", "n")
+    score = F.try_divide(F.col("r") * F.col("r"), F.lit(1.0) - F.col("r") * F.col("r")) * (F.col("n") - 2)
+    scored = rows.select("feature", "r", score.alias("f_score"))
     # k is tiny (number of features): a global window over one row per feature
     from pyspark.sql import Window
 

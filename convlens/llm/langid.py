@@ -136,8 +136,9 @@ def fit(docs: DataFrame, use: Column, id_col="doc_id", text_col="text", lang_col
     each = level([r["n"] for r in sizes], rows)
     bounds = [(r["l"], max(int(each / r["n"] * (1 << 40)), r["least"] + 1)) for r in sizes if r["n"] > each]
     if bounds:
-        bound = docs.sparkSession.createDataFrame(bounds, "l string, bound long")
-        given = given.join(bound, "l", "left").where(F.col("bound").isNull() | (F.col("h") < F.col("bound")))
+        # a condition, not a join: texts stay where they are, however few languages there are
+        bound = F.create_map(*[F.lit(x) for r in bounds for x in r])
+        given = given.where(F.coalesce(F.col("h") < F.element_at(bound, F.col("l")), F.lit(True)))
 
     def run(batches):
         # counts of one task by language; the last places count words by script

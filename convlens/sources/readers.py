@@ -2,6 +2,10 @@
 
 Readers have a fixed schema or take one; only A4 and A5, whose columns are the
 caller's, infer one when none is given.  Later projections are pruned at the scan.
+
+``multi_line``: records that hold line breaks (quoted transcripts) can be read
+only with whole files a task, so it is on for transcripts; tables of numbers
+and ids have one line a record, and their files are split among tasks.
 """
 
 from __future__ import annotations
@@ -30,22 +34,22 @@ FEATURE_COLUMNS = [
 CSV_NAME_MAP = {"filler%": "filler_pct", "8+ words": "word_length_8_plus"}
 
 
-def _csv(spark: SparkSession, path: str, schema=None):
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False):
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
 
 
-def read_transcripts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """A1: first two columns by position -> ``(id, transcript)``; error with fewer than two."""
-    df = _csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    df = _csv(spark, path, multi_line=multi_line) if fmt == "csv" else spark.read.format(fmt).load(path)
     return read_transcript_table(df)
 
 
-def read_scores(spark: SparkSession, path: str, key: str = "Participant") -> DataFrame:
+def read_scores(spark: SparkSession, path: str, key: str = "Participant", multi_line: bool = False) -> DataFrame:
     """A2: ``(id, Overall, Excited)``; ids stay strings."""
-    return _csv(spark, path, SCORES_SCHEMA).withColumnRenamed(key, "id")
+    return _csv(spark, path, SCORES_SCHEMA, multi_line).withColumnRenamed(key, "id")
 
 
 def feature_schema(columns=FEATURE_COLUMNS) -> TY.StructType:
@@ -54,10 +58,10 @@ def feature_schema(columns=FEATURE_COLUMNS) -> TY.StructType:
     )
 
 
-def read_features(spark: SparkSession, path: str, schema: TY.StructType | None = None, fmt: str = "csv") -> DataFrame:
+def read_features(spark: SparkSession, path: str, schema: TY.StructType | None = None, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """A3: feature matrix with a fixed schema; CSV names with symbols are renamed."""
     if fmt == "csv":
-        df = _csv(spark, path, schema or feature_schema())
+        df = _csv(spark, path, schema or feature_schema(), multi_line)
     else:
         reader = spark.read.format(fmt)
         df = (reader.schema(schema) if schema is not None else reader).load(path)

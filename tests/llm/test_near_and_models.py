@@ -303,3 +303,20 @@ def test_language_of_texts_without_letters_and_of_marked_letters(spark):
     assert [(s.begin, s.end) for s in got[5].spans] == [(0, len(texts[5]))]  # vowel signs don't cut words
     assert langid._WORD.findall("ha\u0308tte में") == ["ha\u0308tte", "में"]
     assert langid.NAMES[langid.scripts_of(np.array([0x0C24]))[0]] == "telugu"
+
+
+def test_near_copies_of_the_documents_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_copies(docs).collect()}
+    assert got == brute_near(rows)
+    assert sum(n > 0 for _, n in got.values()) > 20
+
+
+def test_language_of_held_out_documents(spark):
+    from convlens.llm.queries import held_out
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, ~held_out())
+    found = langid.identify(docs, model).join(docs.where(held_out() & F.col("lang").isNotNull()).select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.97

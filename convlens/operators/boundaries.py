@@ -55,7 +55,7 @@ def token_type(token: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
 def _marks(token: Column) -> tuple[Column, Column, Column]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # (?U): word characters are Unicode ones whatever the Java version's default
-TOKEN = r"(?U)\w+|\W+"
+BORDER = r"(?U)\b"
 _WORD = r"(?U)^\w"
 
 
@@ -29,13 +29,14 @@ def plain(phrase: str) -> bool:
     return bool(re.match(r"\w", phrase)) and bool(re.search(r"\w\Z", phrase))
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column) -> Column:
+    """Words and what stands between them, alternating."""
+    return F.filter(F.split(F.lower(text), BORDER), lambda t: t != "")
 
 
 def dictionary(spark, phrases: list[str]) -> tuple[DataFrame, list[int]]:
     """``(phrase, gram, overlaps)`` and the different numbers of tokens."""
-    rows = spark.createDataFrame([(p,) for p in dict.fromkeys(phrases)], "phrase string").select("phrase", _tokens(F.col("phrase")).alias("t"))
+    rows = spark.createDataFrame([(p,) for p in dict.fromkeys(phrases)], "phrase string").select("phrase", tokens(F.col("phrase")).alias("t"))
     out, lengths = [], set()
     for r in rows.collect():  # the dictionary is the caller's
         t = list(r["t"])
@@ -52,7 +53,7 @@ def phrase_counts(df: DataFrame, keys: list[str], text_col: str, phrases: list[s
     if not phrases:
         return df.select(*keys, F.lit("").alias("phrase"), F.lit(0).cast("long").alias("n")).limit(0)
     known, lengths = dictionary(df.sparkSession, phrases)
-    cut = df.where(F.col(text_col).isNotNull()).select(*keys, F.monotonically_increasing_id().alias("__row"), _tokens(F.col(text_col)).alias("t"))
+    cut = df.where(F.col(text_col).isNotNull()).select(*keys, F.monotonically_increasing_id().alias("__row"), tokens(F.col(text_col)).alias("t"))
     first = F.when(F.get("t", F.lit(0)).rlike(_WORD), 0).otherwise(1)  # words and the rest alternate
     starts = F.when(F.size("t") > first, F.sequence(first, F.size("t") - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
     grams = F.flatten(

@@ -142,7 +142,7 @@ dict AS (SELECT DISTINCT t[i] || t[i + 1] || t[i + 2] AS gram FROM e
 SELECT doc_id, gram AS phrase, count(*) AS n FROM g JOIN dict USING (gram) GROUP BY doc_id, gram""")
 def b11_many(spark, sf):
     """Every pair of neighbouring words of the benchmark passages, counted in every document."""
-    t = F.regexp_extract_all(F.lower("text"), F.lit(PH.TOKEN), F.lit(0))
+    t = PH.tokens(F.col("text"))
     three = F.transform("t", lambda x, i: F.struct(x.alias("a"), F.get("t", i + 1).alias("s"), F.get("t", i + 2).alias("b")))
     pairs = table(spark, sf, "benchmark").select(t.alias("t")).select(F.inline(three)).where("s = ' ' AND a <> b")
     names = [r[0] for r in pairs.select(F.concat("a", "s", "b")).distinct().collect()]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANCHORS = 2
 LEAST = 0.8
@@ -79,8 +80,18 @@ TEMPLATES = BASE + NOTICES
 
 
 def words_of(text: Column) -> Column:
+    """The matches of ``WORD``, cut out by what stands between them: that class is plain ASCII, and its runs are found many
+    times faster than those of its complement."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
+
+    def inner(parts: Column) -> Column:
+        # only the ends can be empty, both of them in an empty text
+        before = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+        behind = F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+        return F.slice(parts, before + 1, F.greatest(F.size(parts) - before - behind, F.lit(0)))
+
+    # an array of one, so that the parts are cut once
+    return F.get(F.transform(F.array(F.split(lower, BETWEEN)), inner), 0)
 
 
 def document_frequencies(docs: DataFrame, text_col: str, templates=TEMPLATES) -> dict[str, int]:

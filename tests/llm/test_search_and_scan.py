@@ -139,3 +139,11 @@ def test_chat_examples_read_back(spark):
         assert (got[c].n_turns, got[c].turns_sha256) == (len(own), sha)
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chatformat.read_back(chatformat.format_examples(df.limit(0))).count() == 0
+
+
+def test_words_equal_the_pattern(spark):
+    texts = [None, "", " ", "a", " a", "a ", "..", "MIT License", "é À 漢字 😀x", "a\x00b\x7fc", "x" * 1000 + "," * 1000, "1.2-3_4`5{6", "Kelvin K"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, r in zip(texts, df.select(licenses.words_of(F.col("t")).alias("w")).collect(), strict=True):
+        low = (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
+        assert r.w == re.findall(licenses.WORD, low)

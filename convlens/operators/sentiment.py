@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 15.0
-SENTIMENT_TOKEN = r"[\p{L}\p{N}_']+"
+_BETWEEN = r"[^\p{L}\p{N}_']+"
 
 # Fixed values of the published rule set (vaderSentiment, Copyright (c) 2016 C.J. Hutto, MIT licence).
 NEGATION_SCALAR = -0.74
@@ -63,6 +63,11 @@ BOOST_DOWN = [
 ]
 
 
+def sentiment_tokens(c):
+    """Runs of letters, digits, ``_`` and ``'``; cut at what is none of them, which takes time in proportion to the text."""
+    return F.filter(F.split(c, _BETWEEN), lambda t: t != "")
+
+
 def lexicon_frame(spark, lexicon) -> DataFrame:
     """Accept a DataFrame ``(token, valence)`` or a dict and return the DataFrame."""
     if isinstance(lexicon, DataFrame):
@@ -91,7 +96,7 @@ def score_sentences(
     lex = lexicon_frame(spark, lexicon)
     toks = sentences.select(
         *keys,
-        F.posexplode(F.regexp_extract_all(F.col(sentence_col), F.lit(SENTIMENT_TOKEN), 0)).alias("pos", "orig"),
+        F.posexplode(sentiment_tokens(F.col(sentence_col))).alias("pos", "orig"),
     ).withColumn("token", F.lower("orig"))
     scored = toks.join(lex, "token", "left").withColumn(
         "v", F.coalesce(F.col("valence"), F.lit(0.0))
@@ -151,7 +156,7 @@ def score_pieces(pieces: DataFrame, lexicon, keys=("id", "sentence_no"), piece_c
     toks = pieces.select(
         *keys,
         (F.regexp_replace(F.col(piece_col), r"^\s+|\s+$", "") != F.lit("")).alias("nonblank"),
-        F.explode_outer(F.regexp_extract_all(F.col(piece_col), F.lit(SENTIMENT_TOKEN), 0)).alias("orig"),
+        F.explode_outer(sentiment_tokens(F.col(piece_col))).alias("orig"),
     ).withColumn("token", F.lower("orig"))
     scored = toks.join(lex, "token", "left").withColumn(
         "v", F.when(F.col("token").isNotNull(), F.coalesce(F.col("valence"), F.lit(0.0)))

@@ -69,6 +69,34 @@ def i2(spark, sf):
     return M.predict_evaluate(model, test, DOC_FEATURES, "quality")
 
 
+#: Rows of the test side, and whether the errors lie in what the labels allow.
+_BOUNDS_SQL = f"""
+SELECT count(*) AS n, true AS within FROM documents JOIN labels USING (doc_id)
+WHERE substr(md5('42:' || doc_id), 1, 8) < '{"%08x" % int(0.5 * 2**32)}' AND quality IS NOT NULL"""
+
+
+def _bounds(scores):
+    return scores.select("n", ((F.col("mae") >= 0) & (F.col("mae") <= 1) & (F.coalesce(F.abs("r"), F.lit(0.0)) <= 1 + 1e-9) & (F.col("n_dropped") == 0)).alias("within"))
+
+
+@query("i2_bounds", _BOUNDS_SQL)
+def i2_bounds(spark, sf):
+    return _bounds(i2(spark, sf))
+
+
+@query("i6_bounds", _BOUNDS_SQL)
+def i6_bounds(spark, sf):
+    return _bounds(i6(spark, sf))
+
+
+@query("h6_bounds", "SELECT unnest([" + ", ".join(f"'{f}'" for f in DOC_FEATURES) + "]) AS feature, true AS within FROM (SELECT count(*) FROM documents)")
+def h6_bounds(spark, sf):
+    """Every feature has an importance from 0 to 1; together they are 1."""
+    rows = cut_lineage(H.rf_importance(doc_features(spark, sf), DOC_FEATURES, "quality", num_trees=100, seed=42))
+    whole = rows.agg(F.sum("importance")).scalar()
+    return rows.select("feature", (F.col("importance").between(0, 1) & (F.abs(whole - 1) < 1e-9)).alias("within"))
+
+
 #: The space of the reference's first search (its second stops at depth 5).
 RANDOM_SPACE = {"maxIter": [30, 50, 70], "maxDepth": [2, 3, 4, 5, 6]}
 

@@ -31,7 +31,8 @@ def doc_features(spark, sf):
     wl = B.word_length_features(counts, docs, "doc_id").withColumnRenamed("id", "doc_id")
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
     feats = docs.select("doc_id", F.col("n_chars").cast("double").alias("n_chars")).join(wl, "doc_id").join(lab, "doc_id")
-    return feats.fillna(0.0, subset=DOC_FEATURES)
+    # one short row per document, written once: splits, fits and scores all read it, none counts the words again
+    return cut_lineage(feats.fillna(0.0, subset=DOC_FEATURES))
 
 
 def _split(spark, sf):

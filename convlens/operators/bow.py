@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from convlens.functions import text as T
 from convlens.functions.common import md5_hex8
 from convlens.functions.stopwords import ENGLISH
-from convlens.session import cut_lineage
+from convlens.session import cut_lineage, local_table
 
 
 def default_stop_words() -> tuple[str, ...]:
@@ -30,7 +30,7 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = T.TOKEN_P
 def remove_stop_words(tokens: DataFrame, stop_words=None, term_col: str = "term") -> DataFrame:
     """Drop stop words (default: Spark's English list); one anti join for a list of any size."""
     words = list(stop_words if stop_words is not None else default_stop_words())
-    stop = tokens.sparkSession.createDataFrame([(w,) for w in words], f"{term_col} string")
+    stop = local_table(tokens.sparkSession, [(w,) for w in words], f"{term_col} string")
     return tokens.join(stop, term_col, "left_anti")
 
 

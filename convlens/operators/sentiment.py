@@ -9,15 +9,20 @@ token as 1.  The lexicon is data supplied by the caller as a DataFrame
 
 Execution: tokens are exploded and joined to the lexicon (Spark broadcasts it
 when its size in bytes allows), then summed per sentence.  Optional modifiers
-look back at most three tokens and ahead two inside the same sentence through
-windows partitioned by sentence.
+look back at most three tokens and ahead two inside the same sentence: sentences
+are brought together by key as texts, and every token leaves its sentence with
+its neighbours beside it, so tokens are neither shuffled nor sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlens.session import local_table
+
 ALPHA = 15.0
 _BETWEEN = r"[^\p{L}\p{N}_']+"
 
@@ -73,7 +78,7 @@ def lexicon_frame(spark, lexicon) -> DataFrame:
     if isinstance(lexicon, DataFrame):
         return lexicon.select(F.lower(F.col("token")).alias("token"), F.col("valence").cast("double").alias("valence"))
     rows = [(k.lower(), float(v)) for k, v in dict(lexicon).items()]
-    return spark.createDataFrame(rows, "token string, valence double")
+    return local_table(spark, rows, "token string, valence double")
 
 
 def score_sentences(
@@ -94,29 +99,35 @@ def score_sentences(
     spark = sentences.sparkSession
     keys = list(keys)
     lex = lexicon_frame(spark, lexicon)
-    toks = sentences.select(
-        *keys,
-        F.posexplode(sentiment_tokens(F.col(sentence_col))).alias("pos", "orig"),
-    ).withColumn("token", F.lower("orig"))
-    scored = toks.join(lex, "token", "left").withColumn(
-        "v", F.coalesce(F.col("valence"), F.lit(0.0))
-    )
+    if modifiers:
+        grouped = sentences.groupBy(*keys).agg(F.collect_list(F.struct(sentence_col)).alias("__s"))
+        toks = _with_neighbours(grouped, keys, sentence_col, modifiers is True)
+    else:
+        toks = sentences.select(*keys, F.explode(sentiment_tokens(F.col(sentence_col))).alias("orig")).withColumn("token", F.lower("orig"))
+    # a modifier only changes valences, so only tokens of the lexicon go on
+    scored = toks.join(lex, "token", "inner" if modifiers else "left").withColumn("v", F.coalesce(F.col("valence"), F.lit(0.0)))
     if modifiers is True:
-        scored = _apply_rules(scored, keys, negations or NEGATIONS)
+        scored = _apply_rules(scored, lex, negations or NEGATIONS)
     elif modifiers:
-        scored = _apply_negation(scored, keys, negations or NEGATIONS)
+        scored = _apply_negation(scored, negations or NEGATIONS)
     agg = scored.groupBy(*keys).agg(
         F.sum("v").alias("s"),
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("pos_sum"),
         F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("neg_sum"),
         F.sum(F.when(F.col("v") == 0, 1).otherwise(0)).alias("neu_count"),
+        F.sum(F.when(F.col("v") != 0, 1).otherwise(0)).alias("hits"),
     )
-    base = sentences.select(*keys, sentence_col)
-    if modifiers is True:
-        base = base.withColumn("emph", _punctuation_emphasis(F.col(sentence_col)))
+    if modifiers:
+        # tokens of the key without a valence; null keys meet no sums
+        n = F.aggregate("__s", F.lit(0), lambda a, s: a + F.greatest(F.size(sentiment_tokens(s[sentence_col])), F.lit(0)))
+        met = functools.reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+        base = grouped.select(*keys, "__s", F.when(met, n).otherwise(0).alias("n")).join(agg.drop("neu_count"), keys, "left")
+        base = base.withColumn("neu_count", F.col("n") - F.coalesce("hits", F.lit(0)))
+        joined = base.select(*keys, "s", "pos_sum", "neg_sum", "neu_count", F.inline("__s"))
     else:
-        base = base.withColumn("emph", F.lit(0.0))
-    out = base.join(agg, keys, "left").select(
+        joined = sentences.select(*keys, sentence_col).join(agg, keys, "left")
+    emph = _punctuation_emphasis(F.col(sentence_col)) if modifiers is True else F.lit(0.0)
+    out = joined.withColumn("emph", emph).select(
         *keys,
         sentence_col,
         F.coalesce("s", F.lit(0.0)).alias("s"),
@@ -185,20 +196,46 @@ def _punctuation_emphasis(c):
     return ex + q
 
 
-def _apply_negation(scored: DataFrame, keys, negations) -> DataFrame:
+def _with_neighbours(grouped: DataFrame, keys, sentence_col: str, rules: bool) -> DataFrame:
+    """``keys, pos, orig, token`` of every token and the tokens before it, ``p1..p3``; with ``rules`` also ``upper``, ``u1..u3``
+    (whether those are upper case), ``n1, n2`` (tokens behind), ``mixed`` (the sentence has upper-case words and others) and
+    ``but`` (place of its first ``but``).  ``grouped`` lists the sentences ``__s`` of a key; several are one, in the order of
+    ``pos``."""
+    placed = F.transform("__s", lambda s: F.transform(sentiment_tokens(s[sentence_col]), lambda t, k: F.struct(k.alias("pos"), t.alias("orig"))))
+    several = F.array_sort(F.flatten(F.filter(placed, lambda t: t.isNotNull())))
+    one = sentiment_tokens(F.col("__s")[0][sentence_col])
+    # tokens of one row stand in order already
+    d = grouped.select(*keys, F.when(F.size("__s") > 1, several).alias("__t"), one.alias("__one"))
+    d = d.withColumn("__o", F.coalesce(F.col("__t.orig"), F.col("__one"))).withColumn("__a", F.transform("__o", lambda t: F.lower(t)))
+    d = d.withColumn("__p", F.coalesce(F.col("__t.pos"), F.sequence(F.lit(0), F.size("__o"))))
+    back = lambda c, k, kind: F.concat(F.array_repeat(F.lit(None).cast(kind), k), F.col(c))
+    fields = [F.col("__p").alias("pos"), F.col("__o").alias("orig"), F.col("__a").alias("token")]
+    fields += [back("__a", k, "string").alias(f"p{k}") for k in (1, 2, 3)]
+    beside = []
+    if rules:
+        d = d.withColumn("__u", F.transform("__o", lambda t: t.rlike(r"\p{L}") & (t == F.upper(t))))
+        d = d.withColumn("mixed", F.array_contains("__u", True) & F.array_contains("__u", False))
+        d = d.withColumn("but", F.get("__p", F.nullif(F.array_position("__a", F.lit("but")), F.lit(0)).cast("int") - 1))
+        fields += [F.col("__u").alias("upper"), *[back("__u", k, "boolean").alias(f"u{k}") for k in (1, 2, 3)]]
+        fields += [F.slice("__a", k + 1, F.size("__a")).alias(f"n{k}") for k in (1, 2)]
+        beside = ["mixed", "but"]
+    # the shifted arrays are longer: what is behind the last token is no token
+    return d.select(*keys, *beside, F.inline(F.arrays_zip(*fields))).where(F.col("orig").isNotNull())
+
+
+def _apply_negation(scored: DataFrame, negations) -> DataFrame:
     """Each of the three positions before a token applies the factor once."""
-    w = Window.partitionBy(*keys).orderBy("pos")
     neg_words = F.array(*[F.lit(x) for x in negations])
 
     def is_neg(c):
         return F.coalesce(F.array_contains(neg_words, c) | c.endswith("n't"), F.lit(False))
 
-    before = sum((is_neg(F.lag("token", k).over(w)).cast("int") for k in (2, 3)), is_neg(F.lag("token", 1).over(w)).cast("int"))
+    before = sum((is_neg(F.col(f"p{k}")).cast("int") for k in (2, 3)), is_neg(F.col("p1")).cast("int"))
     factor = F.element_at(F.array(*[F.lit(NEGATION_SCALAR**k) for k in range(4)]), before + 1)
     return scored.withColumn("before", factor).withColumn("v", F.when(F.col("v") != 0, F.col("v") * F.col("before")).otherwise(F.col("v")))
 
 
-def _apply_rules(scored: DataFrame, keys, negations) -> DataFrame:
+def _apply_rules(scored: DataFrame, lex: DataFrame, negations) -> DataFrame:
     """The published rules, in their order, for every token with a valence:
 
     1. ``no`` before a lexicon word is no word of its own; a lexicon word behind
@@ -214,19 +251,11 @@ def _apply_rules(scored: DataFrame, keys, negations) -> DataFrame:
 
     Boosters and ``kind`` of ``kind of`` have no valence of their own.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    whole = Window.partitionBy(*keys)
-    word = F.regexp_count("orig", F.lit(r"\p{L}")) > 0
-    upper = word & (F.col("orig") == F.upper("orig"))
-    d = scored.withColumn("known", F.col("valence").isNotNull()).withColumn("upper", upper)
-    for k in (1, 2, 3):
-        for name, c in (("p", "token"), ("k", "known"), ("u", "upper")):
-            d = d.withColumn(f"{name}{k}", F.lag(c, k).over(w))
-    for k in (1, 2):
-        d = d.withColumn(f"n{k}", F.lead("token", k).over(w))
-    d = d.withColumn("nk", F.lead("known", 1).over(w))
-    d = d.withColumn("mixed", F.max(F.col("upper").cast("int")).over(whole) > F.min(F.col("upper").cast("int")).over(whole))
-    d = d.withColumn("but", F.min(F.when(F.col("token") == "but", F.col("pos"))).over(whole))
+    d = scored.withColumn("known", F.col("valence").isNotNull())
+    # which neighbours are in the lexicon themselves
+    held = lex.where(F.col("valence").isNotNull()).select("token").distinct()
+    for name, c in (("k1", "p1"), ("k2", "p2"), ("k3", "p3"), ("nk", "n1")):
+        d = d.join(held.select(F.col("token").alias(c), F.lit(True).alias(name)), c, "left").withColumn(name, F.col(name).isNotNull())
 
     def listed(c, words):
         return F.coalesce(c.isin(list(words)), F.lit(False))

@@ -136,5 +136,16 @@ def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Caller's rows as a table whose size Spark knows, so that a join with a short list is a broadcast and shuffles nothing."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds), schema)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from convlens.functions import vectors as V
+from convlens.session import cut_lineage
 
 
 # ---------------------------------------------------------------- E1 embedders
@@ -33,7 +34,8 @@ def hashed_embedding(counts: DataFrame, ids: DataFrame, dim: int = 256, idf: boo
     if idf:
         n_docs = ids.agg(F.count("*")).scalar()  # scalar subquery
         df = counts.groupBy("term").agg(F.count("*").alias("df"))
-        w = df.select("term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"))
+        # written, so that Spark knows its size: below the broadcast limit the counts aren't dealt by term
+        w = cut_lineage(df.select("term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf")))
         c = counts.join(w, "term").withColumn("w", F.col("n") * F.col("idf"))
     else:
         c = counts.withColumn("w", F.col("n").cast("double"))

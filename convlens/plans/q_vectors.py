@@ -33,7 +33,9 @@ reps AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY di
 @query("e1_embed_hashed", None)
 def e1(spark, sf):
     docs = table(spark, sf, "documents")
-    counts = B.term_counts(B.tokenize(docs, "doc_id", "text"))
+    # texts are dealt by id once: counts, buckets and vectors of a document then need no other shuffle
+    dealt = docs.select("doc_id", "text").repartition("doc_id")
+    counts = B.term_counts(B.tokenize(dealt, "doc_id", "text"))
     ids = docs.select(F.col("doc_id").alias("id"))
     return VO.hashed_embedding(counts, ids, dim=64).withColumnRenamed("id", "doc_id")
 

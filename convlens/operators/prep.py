@@ -131,13 +131,22 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H6 importance
+FOREST_ROWS = 100_000  # of a task
+
+
+def _spread(data: DataFrame) -> DataFrame:
+    """Every level of a forest reads all rows again: the rows of a task must not grow with the table."""
+    tasks = -(-data.count() // FOREST_ROWS)
+    return data.repartition(tasks) if tasks > data.rdd.getNumPartitions() else data
+
+
 def rf_importance(df: DataFrame, features: list[str], label: str, num_trees: int = 100, seed: int = 42) -> DataFrame:
     """H6: random-forest feature importance ``(feature, importance)`` sorted descending."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
-    model = RandomForestRegressor(numTrees=num_trees, seed=seed, labelCol=label, featuresCol="features").fit(data)
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df).select(label, "features")
+    model = RandomForestRegressor(numTrees=num_trees, seed=seed, labelCol=label, featuresCol="features").fit(_spread(data))
     imp = model.featureImportances.toArray().tolist()
     rows = [(f, float(v)) for f, v in zip(features, imp)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))

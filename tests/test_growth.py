@@ -21,3 +21,40 @@ def test_document_features_are_counted_once(spark):
     assert train.count() + test.count() == spark.read.parquet(f"{SMOKE}/labels.parquet").join(
         spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id"), "doc_id"
     ).where(F.col("doc_id").isNotNull()).count()
+
+
+def test_modifiers_neither_sort_nor_shuffle_tokens(spark):
+    from convlens.operators import sentiment as S
+
+    rows = [(1, 0, "NOT the best but the very GOOD one"), (2, 0, "no good!"), (2, 0, "no good!"), (None, 0, "good"), (3, 0, None), (4, 0, "")]
+    df = spark.createDataFrame(rows, "id long, sentence_no long, sentence string")
+    for modifiers in (True, "negation"):
+        out = S.score_sentences(df, {"good": 1.9, "best": 3.2}, modifiers=modifiers)
+        assert "Window" not in plan_of(out)
+        got = sorted(((r["id"] or 0, r["compound"], r["neu"]) for r in out.collect()))
+        assert [g[0] for g in got] == [0, 1, 2, 2, 3, 4]
+        assert got[0][1:] == (0.0, 1.0) and got[4][1:] == (0.0, 1.0) and got[5][1:] == (0.0, 1.0)
+        assert got[2] == got[3] and got[2][1] < 0
+
+
+def test_short_word_lists_are_broadcast(spark):
+    from convlens.operators import bow as B
+
+    tokens = spark.range(1000).selectExpr("id", "cast(id as string) as term")
+    assert "Exchange hashpartitioning" not in plan_of(B.remove_stop_words(tokens))
+
+
+def test_forest_rows_of_a_task_are_bounded(spark, monkeypatch):
+    from convlens.operators import prep as H
+
+    monkeypatch.setattr(H, "FOREST_ROWS", 100)
+    df = spark.range(1000).selectExpr("cast(id as double) as x", "cast(id % 7 as double) as z", "cast(id * 2 as double) as y").coalesce(1)
+    assert H._spread(df).rdd.getNumPartitions() == 10
+    assert abs(sum(r["importance"] for r in H.rf_importance(df, ["x", "z"], "y", num_trees=5).collect()) - 1) < 1e-9
+
+
+def test_hashed_embedding_deals_texts_by_id_only(spark):
+    from convlens.plans import q_vectors
+
+    plan = plan_of(q_vectors.e1(spark, SMOKE))
+    assert "hashpartitioning(term" not in plan and ", b#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)

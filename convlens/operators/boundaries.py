@@ -105,10 +105,12 @@ def abbreviation_scores(types: DataFrame) -> DataFrame:
 
 def type_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``(type, with_period, without)``: tokens of every type with and without a final period."""
-    each = df.select(F.explode(_tokens(F.col(text_col))).alias("t"))
+    # every different token is looked at once
+    each = df.select(F.explode(_tokens(F.col(text_col))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     period, _, _ = _marks(F.col("t"))
-    typed = each.select(token_type(F.col("t")).alias("type"), period.alias("p")).where(F.col("type") != "")
-    return typed.groupBy("type").agg(F.count(F.when(F.col("p"), 1)).alias("with_period"), F.count(F.when(~F.col("p"), 1)).alias("without"))
+    typed = each.select(token_type(F.col("t")).alias("type"), period.alias("p"), "n").where(F.col("type") != "")
+    counted = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return typed.groupBy("type").agg(counted(F.col("p")).alias("with_period"), counted(~F.col("p")).alias("without"))
 
 
 def train(df: DataFrame, text_col: str = "text") -> Boundaries:
@@ -118,7 +120,10 @@ def train(df: DataFrame, text_col: str = "text") -> Boundaries:
 
     words = _tokens(F.col(text_col))
     pairs = df.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("a"), words.alias("b"))).alias("e")).select("e.a", "e.b")
-    pairs = pairs.where(F.col("b").isNotNull())
+    # a first token without a terminator is only a class; every different pair is looked at once
+    a = F.col("a")
+    plain = (a != "") & ~a.contains(".") & ~a.contains("!") & ~a.contains("?")
+    pairs = pairs.where(F.col("b").isNotNull()).groupBy(F.when(plain, "x").otherwise(a).alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     period, other, initial = _marks(F.col("a"))
     ends = F.when(F.col("a") == "", "start").when(period, "period").when(other, "other").otherwise("none")
     kept = pairs.select(
@@ -129,8 +134,9 @@ def train(df: DataFrame, text_col: str = "text") -> Boundaries:
         _first_upper(F.col("b")).alias("upper"),
         _first_lower(F.col("b")).alias("lower"),
         (F.regexp_count("b", F.lit(r"^[\"'\(\[]*\p{L}")) > 0).alias("alpha"),
+        "n",
     )
-    counted = cut_lineage(kept.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("n")))
+    counted = cut_lineage(kept.groupBy(*kept.columns[:-1]).agg(F.sum("n").alias("n")))
     named = counted.join(abbreviations.select(F.col("type").alias("first"), F.lit(True).alias("abbr")), "first", "left")
     breaks = (F.col("ends") == "other") | ((F.col("ends") == "period") & F.col("abbr").isNull())
     place = F.when(breaks | (F.col("ends") == "start"), "first").when(F.col("abbr"), "unknown").otherwise("inside")
@@ -197,7 +203,8 @@ def split(df: DataFrame, model: Boundaries, id_col: str = "id", text_col: str =
     first = lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1)
     each = F.transform("p", lambda x, k: F.struct(k.alias("no"), x.alias("piece"), last(x).alias("a"), F.coalesce(first(F.get("p", k + 1)), F.lit("")).alias("b")))
     rows = pieces.select("id", F.inline(each))
-    decided = decide(rows, model).withColumn("step", F.when(F.col("breaks"), 1).otherwise(0))
+    # written: the totals and the numbers both read it
+    decided = cut_lineage(decide(rows, model).select("id", "no", "piece", F.when(F.col("breaks"), 1).otherwise(0).alias("step")))
     numbered = exclusive_prefix_sum(decided, ["id"], ["no"], "step", "sentence_no", bucket_size)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "piece"))), lambda x: x["piece"]), "")
     out = numbered.groupBy("id", "sentence_no").agg(T.strip_ws(joined).alias("sentence"))

@@ -58,3 +58,26 @@ def test_hashed_embedding_deals_texts_by_id_only(spark):
 
     plan = plan_of(q_vectors.e1(spark, SMOKE))
     assert "hashpartitioning(term" not in plan and ", b#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_cuts_are_decided_once_and_chunks_are_packed_in_one_pass(spark):
+    from convlens.operators import boundaries as BO
+    from convlens.operators import subwords as W
+
+    df = spark.createDataFrame([(1, "Dr. Who is in. He left! Why? No."), (2, None), (3, " "), (4, "one two. three four. five")], "doc_id long, text string")
+    cut = BO.split(df, BO.train(df), "doc_id")
+    assert "Generate" not in plan_of(cut)  # reads the written cuts
+    vocabulary = {"one", "two", "three", "four", "five"}
+    out = W.chunk_subwords(df, "text", vocabulary, max_length=6)
+    assert "aggregate(" not in plan_of(out)
+    got = {r["doc_id"]: [tuple(c) for c in r["chunks"]] for r in out.collect()}
+    assert got[2] == [] and got[3] == []
+    assert got[4] == [("one two three four", 4), ("five", 1)]
+
+
+def test_stub_model_counts_letters():
+    from convlens.plans import q_vectors
+
+    text = "Ab zÄKKİ {`9"
+    want = [sum(ch == chr(97 + k) for ch in text.lower()) for k in range(26)]
+    assert q_vectors._stub_embedder([text, ""]).tolist() == [want, [0] * 26]

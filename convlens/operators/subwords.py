@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions import text as T
-from convlens.session import ship_package
+from convlens.session import cut_lineage, scratch, ship_package
 
 LONGEST = 100
 _CONTROL = ("Cc", "Cf", "Co", "Cs")
@@ -121,10 +121,11 @@ def piece_vocabulary(df: DataFrame, text_col: str, size: int = 8000, reach: int
 
     pieces = counted.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     one = F.length(F.regexp_replace("piece", r"^##(?=.)", "")) == 1
-    rows = pieces.withColumn("one", one)
-    single = rows.where("one").select("piece")  # at most twice the characters there are
-    frequent = rows.where("NOT one").orderBy(F.desc("n"), "piece").limit(size).select("piece")
-    return {r["piece"] for r in single.unionByName(frequent).collect()}
+    with scratch(df.sparkSession):
+        rows = cut_lineage(pieces.withColumn("one", one))  # written: both parts read it
+        single = rows.where("one").select("piece")  # at most twice the characters there are
+        frequent = rows.where("NOT one").orderBy(F.desc("n"), "piece").limit(size).select("piece")
+        return {r["piece"] for r in single.unionByName(frequent).collect()}
 
 
 def _counts(df: DataFrame, texts: str, vocabulary: set[str]) -> DataFrame:
@@ -155,24 +156,47 @@ def subword_counts(df: DataFrame, text_col: str, vocabulary: set[str], out: str
 def chunk_subwords(df: DataFrame, text_col: str, vocabulary: set[str], max_length: int = 128, out: str = "chunks") -> DataFrame:
     """B15 with subword counts: a text of over ``max_length - 2`` tokens is packed greedily into chunks of whole sentences, a
     shorter one is one chunk, a blank one none; ``chunks array<struct<chunk, n_tokens>>``."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructField, StructType
+
+    ship_package(df.sparkSession)
     limit = max_length - 2
     # the whole text first, then its sentences
     every = F.concat(F.array(F.coalesce(F.col(text_col), F.lit(""))), T.split_sentences_runs(F.coalesce(F.col(text_col), F.lit(""))))
-    counted = _counts(df.withColumn("__t", every), "__t", vocabulary)
-    total = F.col("__n")[0]
-    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
-    sentences = F.transform(F.arrays_zip(rest(F.col("__t")).alias("s"), rest(F.col("__n")).alias("n")), lambda x: F.struct(x["s"].alias("chunk"), x["n"].alias("n_tokens")))
     kind = "array<struct<chunk:string,n_tokens:int>>"
+    names = [*df.columns, "__c"]
 
-    def step(acc, x):
-        # the last chunk is the one being filled
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["n_tokens"] + x["n_tokens"] <= limit)
-        grown = F.struct(F.concat(last["chunk"], F.lit(" "), x["chunk"]).alias("chunk"), (last["n_tokens"] + x["n_tokens"]).alias("n_tokens"))
-        more = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))
-        return F.when(fits, more).otherwise(F.concat(acc, F.array(x))).cast(kind)
-
-    packed = F.aggregate(sentences, F.expr(f"cast(array() as {kind})"), step)
-    whole = F.array(F.struct(F.col(text_col).alias("chunk"), total.alias("n_tokens"))).cast(kind)
-    chunks = F.when(F.col(text_col).isNull() | T.is_blank(F.col(text_col)), F.expr(f"cast(array() as {kind})")).when(total > limit, packed).otherwise(whole)
-    return counted.withColumn(out, chunks).drop("__t", "__n")
+    def run(batches):
+        pieces = Pieces(vocabulary)
+        for batch in batches:
+            ends, chunks, counts = [0], [], []
+            for whole, *sentences in batch.column(len(names) - 1).to_pylist():
+                for text, n in pack(whole, pieces.count(whole), sentences, pieces, limit):
+                    chunks.append(text)
+                    counts.append(n)
+                ends.append(len(chunks))
+            packed = pa.StructArray.from_arrays([pa.array(chunks, pa.string()), pa.array(counts, pa.int32())], names=["chunk", "n_tokens"])
+            packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), packed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=names)
+
+    schema = StructType([*df.schema.fields, StructField("__c", StructType.fromDDL(f"c {kind}")["c"].dataType)])
+    packed = df.withColumn("__t", every).mapInArrow(run, schema)
+    blank = F.col(text_col).isNull() | T.is_blank(F.col(text_col))
+    return packed.withColumn(out, F.when(blank, F.expr(f"cast(array() as {kind})")).otherwise(F.col("__c"))).drop("__c")
+
+
+def pack(whole: str, total: int, sentences: list[str], pieces: Pieces, limit: int) -> list[tuple[str, int]]:
+    """Chunks of a text and their tokens: the whole one where it fits, else sentences joined while they fit."""
+    if total <= limit:
+        return [(whole, total)]
+    out: list[tuple[str, int]] = []
+    held: list[str] = []
+    n = 0
+    for s in sentences:
+        k = pieces.count(s)
+        if held and n + k > limit:
+            out.append((" ".join(held), n))
+            held, n = [], 0
+        held.append(s)
+        n += k
+    return out + ([(" ".join(held), n)] if held else [])

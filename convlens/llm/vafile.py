@@ -6,9 +6,10 @@
    so no other can be among the ``k`` best.  Per dimension the range is cut into ``CELLS`` equal cells; the approximation file holds one byte per
    component, in blocks of ``BLOCK`` vectors, the exact vectors a table beside it.
 2. Scan: every block of cells meets every block of queries.  Cell borders give
-   each vector a lower and an upper bound of its score.  In a block a query
-   keeps the vectors whose upper bound reaches the block's k-th largest lower
-   bound; over all blocks, those that reach the k-th largest lower bound of all.
+   each vector a lower and an upper bound of its score: the score of its cell's
+   middle, less or more the query's reach.  In a task a query keeps the vectors
+   whose upper bound reaches the k-th largest lower bound of the blocks it has
+   met there; over all blocks, those that reach the k-th largest lower bound of all.
 3. Refinement: candidates are read in the order of their bound, best first.
    ``FIRST * k`` of each query are read and scored exactly; the k-th exact
    score then settles which of the rest can still matter, and only those are
@@ -16,8 +17,11 @@
 
 The query set is given in blocks and meets the table in blocks: a pair of
 blocks is one row of an equi-join on a deal number, streamed through a map of
-bounded memory.  Nothing is sampled and nothing but two numbers a dimension
-and length reaches the driver.
+bounded memory.  Each side is copied to every deal of the other, and Spark's
+estimate knows neither the copies nor how far a file was compressed: joins that
+carry vectors are always merge joins, never broadcasts.  Nothing is sampled, and of
+the vectors nothing but two numbers a dimension and length and their count
+reaches the driver.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 or have a null id take no part; only vectors of the query's length are its
@@ -42,6 +46,12 @@ CELLS = 256
 BLOCK = 4096
 QUERIES = 512
 FIRST = 4
+#: Pairs of blocks that make a task worth its copies; blocks of cells that a task keeps at hand.
+PAIRS = 8
+AT_HAND = 64
+#: Candidates that a task holds back, and those it hands on at once.
+HELD = 1 << 20
+HANDED = 1 << 18
 EXACT = float(1 << 62)
 
 
@@ -84,14 +94,20 @@ class Grid:
         return np.clip(np.floor(wide), 0, self.cells - 1).astype(np.uint8)
 
     def borders(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest value of a cell, one unit and a rounding wider than the cell itself."""
+        """Least and greatest whole number of a cell, and a rounding more."""
         x = c.astype(np.float64)
-        slack = 1 + np.abs(self.lo) * 4e-15 + self.width * 4e-15
-        low = np.floor(self.lo + x * self.width / self.cells) - slack
-        high = np.ceil(self.lo + (x + 1) * self.width / self.cells) + slack
+        slack = (np.abs(self.lo) + self.width) * 4e-15
+        low = np.ceil(self.lo + x * self.width / self.cells - slack)
+        high = np.floor(self.lo + (x + 1) * self.width / self.cells + slack)
         # the ends are as exact as a double holds them
         return np.maximum(low, self.lo - slack), np.minimum(high, self.lo + self.width + slack)
 
+    def middles(self) -> tuple[np.ndarray, np.ndarray]:
+        """The middle of every cell of every dimension; by dimension, how far a value lies from its cell's middle at most."""
+        low, high = self.borders(np.repeat(np.arange(self.cells)[:, None], len(self.lo), axis=1))
+        middle = low / 2 + high / 2
+        return middle, np.maximum(high - middle, middle - low).max(axis=0)
+
 
 def approximation_file(exact: DataFrame, grids: dict[int, Grid], block: int) -> DataFrame:
     """``d, ids, cells``: blocks of up to ``block`` vectors of one length; a map without shuffle."""
@@ -138,49 +154,122 @@ def query_blocks(queries: DataFrame, size: int) -> DataFrame:
     return queries.mapInArrow(run, "d int, qids binary, values binary")
 
 
-def block_candidates(qids, q, ids, low, high, k: int):
-    """``(query id, vector id, lower, upper)`` of the candidates of one pair of blocks."""
-    pos, neg = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    upper = pos @ high.T + neg @ low.T
-    lower = pos @ low.T + neg @ high.T
-    slack = (np.abs(q).astype(np.float64) @ np.maximum(np.abs(low), np.abs(high)).T) * 1e-14
-    upper += slack
-    lower -= slack
-    names, first = np.unique(ids, return_index=True)
-    if len(names) < len(ids):  # a repeated id counts once, by its best bounds
+class Asked:
+    """A block of queries on its way past blocks of cells of its length: for every query the ``k`` largest lower bounds
+    so far, each of another id, and the candidates that may still reach them."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, middle: np.ndarray, reach: np.ndarray, k: int):
+        self.qids, self.q, self.middle, self.k = qids, q.astype(np.float64), middle, k
+        # a sum's rounding grows with its terms, here and in the exact score
+        rounding = np.abs(middle).max(axis=0) * (len(reach) + 16) * 4.5e-16
+        self.reach = np.abs(self.q) @ (reach + rounding)
+        self.low = np.full((len(qids), k), -np.inf)
+        self.low_id = np.zeros((len(qids), k), np.int64)
+        self.held, self.rows = [], 0
+
+    def meet(self, ids: np.ndarray, cells: np.ndarray) -> None:
+        score = self.q @ self.middle[cells, np.arange(cells.shape[1])].T
         order = np.argsort(ids, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids[order])) + 1])
-        upper, lower = (np.maximum.reduceat(x[:, order], cuts, axis=1) for x in (upper, lower))
-        ids = names
-    own = qids[:, None] == ids[None, :]
-    lower[own] = -np.inf
-    upper[own] = -np.inf
-    if lower.shape[1] > k:
-        kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
-    else:
-        kth = np.full(len(qids), -np.inf)
-    row, col = np.nonzero((upper >= kth[:, None]) & ~own)
-    return qids[row], ids[col], lower[row, col], upper[row, col]
-
-
-def scan(cells: DataFrame, blocks: DataFrame, grids: dict[int, Grid], k: int, deals: int) -> DataFrame:
-    """``query_id, id, lower, upper`` of every block's candidates."""
+        named = ids[order]
+        new = np.concatenate([[True], named[1:] != named[:-1]])
+        if not new.all():  # a repeated id counts once, by its best bounds
+            score = np.maximum.reduceat(score[:, order], np.flatnonzero(new), axis=1)
+            ids = named = named[new]
+            order = np.arange(len(ids))
+        at = np.minimum(np.searchsorted(named, self.qids), len(ids) - 1)
+        own = np.flatnonzero(named[at] == self.qids)
+        score[own, order[at[own]]] = -np.inf
+        known = self.low.min(axis=1)
+        kth = known
+        if len(ids) > self.k and np.isinf(known).any():
+            kth = np.maximum(known, np.partition(score, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - self.reach)
+        at = np.flatnonzero(score >= np.maximum(kth - self.reach, -np.finfo(np.float64).max)[:, None])
+        row, col = np.divmod(at, len(ids))
+        found = score.ravel()[at]
+        lower, upper = found - self.reach[row], found + self.reach[row]
+        self.held.append((row, ids[col], lower, upper))
+        self.rows += len(row)
+        more = lower > known[row]
+        if more.any():
+            self._raise(row[more], ids[col[more]], lower[more])
+
+    def _raise(self, row: np.ndarray, ids: np.ndarray, lower: np.ndarray) -> None:
+        """Takes lower bounds of a block among the ``k`` largest; an id counts once, by its best."""
+        mine = np.unique(row)
+        row = np.concatenate([np.repeat(mine, self.k), row])
+        ids = np.concatenate([self.low_id[mine].ravel(), ids])
+        lower = np.concatenate([self.low[mine].ravel(), lower])
+        there = np.flatnonzero(lower > -np.inf)
+        there = there[np.lexsort((-lower[there], ids[there], row[there]))]
+        row, ids, lower = row[there], ids[there], lower[there]
+        best = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])]))
+        best = best[np.lexsort((-lower[best], row[best]))]
+        row, ids, lower = row[best], ids[best], lower[best]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        top = place < self.k
+        self.low[row[top], place[top]] = lower[top]
+        self.low_id[row[top], place[top]] = ids[top]
+
+    def candidates(self):
+        """``(query ids, vector ids, lower, upper)``: those held that reach the k-th largest lower bound so far; no more are held then."""
+        if not self.held:
+            return
+        row, ids, lower, upper = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.rows = [], 0
+        kept = np.flatnonzero(upper >= self.low.min(axis=1)[row])
+        for a in range(0, len(kept), HANDED):
+            part = kept[a : a + HANDED]
+            yield self.qids[row[part]], ids[part], lower[part], upper[part]
+
+
+def dealing(n: int, asked: int, block: int, most: int) -> tuple[int, int]:
+    """Into how many deals the blocks of ``n`` vectors and the blocks of ``asked`` queries go; about ``most`` pairs of deals.
+
+    Each deal of vectors costs a copy of the queries and of their candidates, about 16 times the bytes of as many
+    vectors' cells; each deal of queries costs a copy of the cells.
+    """
+    blocks, sets = -(-n // block), -(-asked // QUERIES)
+    tasks = min(most, -(-blocks * sets // PAIRS))
+    a = max(1, round((tasks * n / max(1, 16 * asked)) ** 0.5), -(-blocks // AT_HAND))
+    a = max(1, min(a, blocks, max(tasks, -(-blocks // AT_HAND))))
+    return a, max(1, min(sets, -(-tasks // a)))
+
+
+def scan(cells: DataFrame, blocks: DataFrame, grids: dict[int, Grid], k: int, deals: tuple[int, int]) -> DataFrame:
+    """``query_id, id, lower, upper`` of the candidates of every block of queries in every pair of deals."""
     import pyarrow as pa
 
-    dealt = cells.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deals)))
-    asked = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
-    pairs = dealt.join(asked, ["deal", "d"]).select("d", "ids", "cells", "qids", "values")
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    dealt = cells.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deals[0]))).withColumn("part", every(deals[1]))
+    asked = blocks.withColumn("part", F.pmod(F.xxhash64("qids", "values"), F.lit(deals[1]))).withColumn("deal", every(deals[0]))
+    # a merge join streams its left side: a block of queries meets all the cells of its deal, then comes the next
+    pairs = asked.join(dealt.hint("merge"), ["deal", "part", "d"]).select("d", "qids", "values", "ids", "cells")
 
     def run(batches):
+        of, block, middles = None, None, {}
+
+        def handed():
+            for found in block.candidates():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "id", "lower", "upper"])
+
         for batch in batches:
             for row in batch.to_pylist():
-                d, grid = row["d"], grids[row["d"]]
-                ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
-                q = np.frombuffer(row["values"], np.int64).reshape(-1, d)
-                low, high = grid.borders(np.frombuffer(row["cells"], np.uint8).reshape(-1, d))
-                for a in range(0, len(qids), 256):
-                    found = block_candidates(qids[a : a + 256], q[a : a + 256], ids, low, high, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "id", "lower", "upper"])
+                d = row["d"]
+                if of != (d, row["qids"], row["values"]):
+                    if block:
+                        yield from handed()
+                    of = (d, row["qids"], row["values"])
+                    if d not in middles:
+                        middles = {d: grids[d].middles()}
+                    q = np.frombuffer(row["values"], np.int64).reshape(-1, d)
+                    block = Asked(np.frombuffer(row["qids"], np.int64), q, *middles[d], k)
+                block.meet(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cells"], np.uint8).reshape(-1, d))
+                if block.rows > HELD:
+                    yield from handed()
+        if block:
+            yield from handed()
 
     return pairs.mapInArrow(run, "query_id long, id long, lower double, upper double")
 
@@ -204,7 +293,7 @@ def top_k(
     exact = cut_lineage(candidates(whole, k))
     grids = {d: Grid(lo, hi, cells) for d, (lo, hi) in ranges(exact).items()}
     asked = cut_lineage(whole.where(is_query).dropDuplicates(["id", "v"]))
-    deals = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deals = dealing(exact.count(), asked.count(), block, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = scan(approximation_file(exact, grids, block), query_blocks(asked, QUERIES), grids, k, deals)
     found = cut_lineage(found.groupBy("query_id", "id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper")))
     mine = Window.partitionBy("query_id")
@@ -221,7 +310,8 @@ def top_k(
     q = asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
 
     def scored(part: DataFrame) -> DataFrame:
-        both = part.select("query_id", "id").join(exact, "id").join(q, "query_id").where(F.size("v") == F.size("qv"))
+        both = part.select("query_id", "id").join(exact.hint("merge"), "id").join(q.hint("merge"), "query_id")
+        both = both.where(F.size("v") == F.size("qv"))
         wide = F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double"))
         whole = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
         near = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x)

@@ -70,6 +70,58 @@ def test_copies_of_a_hot_vector_bring_k_and_one_candidates(spark, monkeypatch):
     assert found[0].groupBy("query_id").count().agg(F.max("count")).first()[0] < 80
 
 
+def test_vectors_are_never_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(420)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    scan, found = vafile.scan, []
+    monkeypatch.setattr(vafile, "scan", lambda *a: found.append(scan(*a)) or found[0])
+    got = vafile.top_k(df, F.col("id") % 100 == 0, k=10, block=16)
+    assert got.count() == 50
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(found[0]) and "Broadcast" not in plan(found[0])
+    assert not any("BroadcastExchange" in x and "array<" in x for x in plan(got).splitlines())
+
+
+def test_copies_follow_the_blocks_and_not_the_partitions():
+    assert vafile.dealing(2000, 20, 4096, 600) == (1, 1) == vafile.dealing(0, 0, 4096, 8)
+    for n, asked, most in ((615384, 6156, 25), (615384, 6156, 600), (15_000_000, 150_000, 600), (10**6, 10**6, 200)):
+        a, b = vafile.dealing(n, asked, 4096, most)
+        assert most / 2 <= a * b or most > n / 4096
+        assert a <= -(-n // 4096) and a >= n / 4096 / vafile.AT_HAND and b <= -(-asked // vafile.QUERIES)
+        assert a * asked * 16 + b * n <= 9 * n * max(1, (most * asked / n) ** 0.5)
+
+
+def test_an_id_in_several_blocks_counts_once():
+    v = np.array([[100], [90], [50], [40], [30], [90]])
+    ids = np.array([1, 1, 3, 4, 5, 0])
+    grid = vafile.Grid(v.min(0), v.max(0), 256)
+    block = vafile.Asked(np.array([0]), np.array([[1]]), *grid.middles(), 2)
+    for part in ([0], [1], [5, 4], [2], [3]):
+        block.meet(ids[part], grid.cell(v[part]))
+    _, found, lower, upper = (np.concatenate(x) for x in zip(*block.candidates(), strict=True))
+    assert set(found) == {1, 3} and not list(block.candidates())
+    assert all(any(low <= x <= high for x in v[ids == i, 0]) for i, low, high in zip(found, lower, upper, strict=True))
+
+
+@pytest.mark.parametrize("block", [7, 300])
+def test_what_a_block_of_queries_keeps_holds_the_best(block):
+    rng = np.random.default_rng(3)
+    v, ids = rng.integers(-3000, 3000, (600, 16)), np.concatenate([np.arange(500), rng.integers(0, 500, 100)])
+    grid, asked = vafile.Grid(v.min(0), v.max(0), 64), np.arange(0, 600, 9)
+    held = vafile.Asked(ids[asked], v[asked], *grid.middles(), 10)
+    for a in range(0, 600, block):
+        held.meet(ids[a : a + block], grid.cell(v[a : a + block]))
+    found = list(zip(*(np.concatenate(x) for x in zip(*held.candidates(), strict=True)), strict=True))
+    pairs = {(q, i) for q, i, _, _ in found}
+    assert not any(q == i for q, i in pairs) and len(pairs) < 40 * len(asked)
+    for q in set(ids[asked].tolist()):
+        mine = [k for k in asked if ids[k] == q]
+        best = {i: max(int(v[k] @ v[j]) for k in mine for j in np.flatnonzero(ids == i)) for i in set(ids.tolist()) - {q}}
+        kth = sorted(best.values())[-10]
+        assert all((q, i) in pairs for i, x in best.items() if x >= kth)
+
+
 def test_bounds_hold_the_score():
     rng = np.random.default_rng(1)
     v = rng.integers(-3000, 3000, (300, 16))
@@ -78,6 +130,19 @@ def test_bounds_hold_the_score():
     assert (low <= v).all() and (v <= high).all()
 
 
+@pytest.mark.parametrize("top", [1, 3, 255, 256, 257, 70_000, 1 << 40, 1 << 56, (1 << 63) - 1])
+def test_middles_reach_every_value(top):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([[0, top, -top, top - 1], rng.integers(-top, top, 3000)])
+    v = np.stack([x, np.abs(x), np.full(len(x), top)], axis=1)
+    grid = vafile.Grid(v.min(0), v.max(0), 256)
+    middle, reach = grid.middles()
+    cell = grid.cell(v)
+    for j in range(3):
+        wide = [abs(int(a) - int(b)) for a, b in zip(v[:, j], middle[cell[:, j], j], strict=True)]
+        assert max(wide) <= int(reach[j]) + 1 and reach[j] <= grid.width[j] / 256 + 2 + top * 1e-14
+
+
 LICENSE_ROWS = [
     "", None, "Released under the MIT License.", "mit\nlicense MIT-License mit licenses", "Apache License, Version 2.0",
     "Licensed under the Apache License, Version 2.0; see CC BY 4.0 or CC-BY", "gnu GENERAL public license version 3",
